@@ -150,12 +150,25 @@ def title_or_default(title: Column) -> Column:
 
 
 def union_tags(*tag_lists: Column) -> Column:
-    """Union of tag lists in order, without regard to case; the first spelling stays."""
-    tags = F.filter(
-        F.transform(F.concat(*tag_lists), lambda tag: strip(tag)), lambda tag: tag != ""
-    )
-    keys = F.transform(tags, lambda tag: F.lower(tag))
-    return F.filter(tags, lambda tag, at: F.array_position(keys, F.lower(tag)) == at + 1)
+    """Union of tag lists in order, without regard to case; the first spelling stays.
+
+    One pass carries the keys seen so far along with the tags kept, so that no
+    step looks at the whole input again.
+    """
+    none = F.array().cast("array<string>")
+
+    def keep_new(kept: Column, raw: Column) -> Column:
+        tag = strip(raw)
+        key = F.lower(tag)
+        known = (key == "") | F.array_contains(kept["keys"], key)
+        longer = F.struct(
+            F.array_append(kept["keys"], key).alias("keys"),
+            F.array_append(kept["tags"], tag).alias("tags"),
+        )
+        return F.when(known, kept).otherwise(longer)
+
+    start = F.struct(none.alias("keys"), none.alias("tags"))
+    return F.aggregate(F.concat(*tag_lists), start, keep_new, lambda kept: kept["tags"])
 
 
 def tag_lines(tags: Column) -> Column:

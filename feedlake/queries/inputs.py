@@ -56,6 +56,10 @@ def lang_parser() -> Column:
     return by_lang("wordpress", "khoros", "default", F.lit(None))
 
 
+def lang_parser_or_default() -> Column:
+    return by_lang("wordpress", "khoros", "default", "wordpress")
+
+
 LANG_ORD = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
 LANG_PARSER = "CASE lang WHEN 'en' THEN 'wordpress' WHEN 'fr' THEN 'khoros' WHEN 'de' THEN 'default' END"
 
