@@ -97,8 +97,8 @@ def site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     writer = F.format_string("writer-%d", "number")
     no_people = F.array().cast("array<struct<name:string>>")
-    # Each feed states a summary: the paragraphs of its page's article.
-    summary = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
+    # The feed's own text: from a few words to well above the stub threshold.
+    summary = F.repeat(F.concat("lang", F.lit(" text ")), F.col("number").cast("int"))
     return pages.join(feeds, ["source", "lang"]).select(
         "page_id",
         "lang",
@@ -154,7 +154,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as stub sightings and, for large purchases, captures."""
     captured = (F.col("event_type") == "purchase") & (F.col("value") > 60)
     return table(spark, sf_dir, "events").select(
-        F.format_string("https://s.example/%d", "user_id").alias("url_key"),
+        F.format_string("https://s.example/%d/%d", "user_id", F.floor("value")).alias("url_key"),
         F.when(captured, "captured").otherwise("seen").alias("kind"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
@@ -164,7 +164,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIGHTINGS = """
 sightings AS (
-  SELECT 'https://s.example/' || user_id AS url_key,
+  SELECT 'https://s.example/' || user_id || '/' || CAST(floor(value) AS BIGINT) AS url_key,
     CASE WHEN event_type = 'purchase' AND value > 60 THEN 'captured' ELSE 'seen' END AS kind,
     ts, event_id, CAST(floor(value * 10) AS BIGINT) AS body_chars
   FROM events)"""
