@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # --- Fixed values: suffixes, limits and patterns that decide the results ---------
@@ -16,6 +18,14 @@ PLAIN_IMAGE = r"!\[([^\]]*)\]\(([^)\s]+(?:\s+\"[^\"]*\")?)\)"
 
 ANY_IMAGE = f"(?U)(?:{CLICKABLE_IMAGE})|(?:{PLAIN_IMAGE})"
 SUFFIX = r"(?s)^\.*[^.].*(\.[^.]+)$"
+UNKNOWN_SUFFIX = r"(?is)\A(?!\.*[^.].*(?:{})\z).*\z".format(
+    "|".join(suffix.replace(".", r"\.") for suffix in IMAGE_SUFFIXES)
+)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def image_refs(markdown: Column) -> Column:
@@ -67,20 +77,29 @@ def url_file_name(url: Column) -> Column:
 
 
 def with_image_suffix(name: Column) -> Column:
-    known = F.lower(name_suffix(name)).isin(*IMAGE_SUFFIXES)
-    return F.when(known, name).otherwise(F.concat(name, F.lit(DEFAULT_SUFFIX)))
+    """Append the default suffix to names without a known one."""
+    return F.regexp_replace(name, UNKNOWN_SUFFIX, f"$0{DEFAULT_SUFFIX}")
 
 
-def bounded_name(name: Column) -> Column:
+def shortened(name: Column) -> Column:
     """Shorten the stem in fixed steps until the name fits the byte limit."""
-    stem, suffix = name_stem(name), name_suffix(name)
-    room = NAME_BYTES - F.octet_length(suffix)
-    lengths = F.sequence(
-        F.length(stem), F.length(stem) % NAME_STEP, F.lit(-NAME_STEP)
+
+    def fit(part: Column) -> Column:
+        stem, suffix = part["stem"], part["suffix"]
+        room = NAME_BYTES - F.octet_length(suffix)
+        lengths = F.sequence(F.length(stem), F.length(stem) % NAME_STEP, F.lit(-NAME_STEP))
+        fitting = F.filter(
+            lengths, lambda n: F.octet_length(F.substring(stem, F.lit(1), n)) <= room
+        )
+        return F.concat(F.substring(stem, F.lit(1), F.get(fitting, 0)), suffix)
+
+    return let(F.struct(name_stem(name).alias("stem"), name_suffix(name).alias("suffix")), fit)
+
+
+def bounded_name(name: Column) -> Column:
+    return let(
+        name, lambda n: F.when(F.octet_length(n) <= NAME_BYTES, n).otherwise(shortened(n))
     )
-    fitting = F.filter(lengths, lambda n: F.octet_length(F.substring(stem, F.lit(1), n)) <= room)
-    short = F.concat(F.substring(stem, F.lit(1), F.get(fitting, 0)), suffix)
-    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(short)
 
 
 def image_file_name(url: Column) -> Column:

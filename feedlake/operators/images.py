@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from feedlake.functions import images
 from feedlake.operators.lookup import lookup_assets
 from feedlake.operators.ranking import AssetNames, assign_names
+from feedlake.session import state_dir
+from feedlake.sources.snapshots import stage
 
 
 def references(notes: DataFrame, markdown: str, carry: list[str]) -> DataFrame:
@@ -97,13 +99,18 @@ def localize_images(
     ``note`` is a long that sorts notes in writing order. Notes without assets
     settings or references pass through unchanged.
     """
+    spark = notes.sparkSession
     placed = lookup_assets(notes, asset_cfg, "source", title)
-    refs = references(placed, markdown, [note, "assets_dir", folder])
-    remote = eligible(refs)
-    planned = planned_assets(remote, note)
-    named = named_assets(accepted(planned, fetch_result), asset_manifest, note)
+    # Texts are scanned once; all that follows works on narrow staged rows.
+    refs = stage(
+        references(placed, markdown, [note, "assets_dir", folder]), state_dir(spark, "image-refs")
+    )
+    planned = planned_assets(eligible(refs), note)
+    fetched = stage(accepted(planned, fetch_result), state_dir(spark, "image-names"))
+    named = named_assets(fetched, asset_manifest, note)
+    configured = refs.filter(F.col("assets_dir").isNotNull())
     return {
-        "notes": rewrite(notes, refs.filter(F.col("assets_dir").isNotNull()), named, note, markdown, folder),
+        "notes": rewrite(notes, configured, named, note, markdown, folder),
         "assets": named,
         "planned": planned,
         "counts": reference_counts(refs, [note]),

@@ -133,7 +133,9 @@ def drain(
     first = (
         narrow.filter(F.col("route") == stubs.NOTE).groupBy(*group).agg(F.min("seq").alias("_writer"))
     )
-    placed = joins.spread_join(narrow, first, group, ["seq"], "left")
+    placed = stage(
+        joins.spread_join(narrow, first, group, ["seq"], "left"), state_dir(spark, "drain-placed")
+    )
     writers = placed.filter(F.col("seq") == F.col("_writer"))
     repeated = placed.filter(F.col("seq") > F.col("_writer")).select("seq")
 

@@ -93,6 +93,7 @@ def sync(
     kept = dedup.free_of_earlier_notes(narrow, ["seq"])
     if max_articles is not None:
         kept = first_n(kept, ["feed_ord"], ["seq"], max_articles)
+    kept = stage(kept, state_dir(spark, "sync-kept"))
     writers = kept.filter(F.col("route") == stubs.NOTE).select("seq", "vault_folder", "safe_name")
     published = text.published_text(F.col("published_parsed"), F.col("published_raw"))
     built = built_notes(articles, named_notes(writers, notes), published, run_ts)

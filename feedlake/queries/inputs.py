@@ -150,10 +150,10 @@ order_queue AS (
   FROM orders)"""
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as stub sightings and, for large purchases, captures."""
+def sightings_of(events: DataFrame) -> DataFrame:
+    """Events, as a table or a stream, as stub sightings; large purchases as captures."""
     captured = (F.col("event_type") == "purchase") & (F.col("value") > 60)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.format_string("https://s.example/%d/%d", "user_id", F.floor("value")).alias("url_key"),
         F.when(captured, "captured").otherwise("seen").alias("kind"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -162,6 +162,10 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sightings_of(table(spark, sf_dir, "events"))
+
+
 SIGHTINGS = """
 sightings AS (
   SELECT 'https://s.example/' || user_id || '/' || CAST(floor(value) AS BIGINT) AS url_key,
