@@ -11,8 +11,10 @@ from pyspark.sql import Column, functions as F, types as T
 MALFORMED_ENTITY = r"&(x?[0-9A-Fa-f]+;)"
 UNSAFE_CHARACTERS = '/\\:|?*"<>'
 UNSAFE_REPLACEMENT = "–"
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
-EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 TITLE_LIMIT = 200
 CATEGORY_LINE = r"(?dmU)^- \[.*?\]\(/[\w-]+/blog/category/([\w-]+)\)\s*$"
 EMPTY_HEADING = r"(?dmU)^#+\s*$\n?"
@@ -43,7 +45,7 @@ _unescape_udf = F.pandas_udf(_unescape, T.StringType())
 
 def strip(text: Column) -> Column:
     """Remove whitespace of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(text, EDGE_WHITESPACE, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def repair_entities(text: Column) -> Column:
@@ -66,7 +68,7 @@ def safe_characters(text: Column) -> Column:
 
 
 def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(text, f"[{BLANKS}]+", " "))
 
 
 def cut_title(text: Column) -> Column:

@@ -55,16 +55,19 @@ def extract_articles(
 def fetched_articles(
     wanted: DataFrame, pages: DataFrame, parsers: Mapping[str, html.Parser] = html.PARSERS
 ) -> DataFrame:
-    """Markdown and tags of the wanted ``(url, parser)`` pairs that have a page and a body.
+    """Markdown and tags of the wanted ``(url, parser)`` pairs that have a page.
 
-    Each pair is parsed once however many rows want it, and only the pages asked
-    for reach the Python workers. ``pages`` has one row per URL.
+    A page without a body has no Markdown but keeps its tags. Each pair is parsed
+    once however many rows want it, and only the pages asked for reach the Python
+    workers. ``pages`` has one row per URL. The repartition spreads the parsing
+    when the wanted keys were broadcast; after a shuffled join Spark drops it,
+    since the rows are partitioned by URL already.
     """
     asked = wanted.select("url", "parser").distinct()
-    found = pages.select("url", "html").join(asked, "url")
-    articles = extract_articles(found, parsers).filter(F.coalesce("body", F.lit("")) != "")
-    return articles.select(
-        "url", "parser", markdown_of(F.col("body")).alias("page_md"), F.col("tags").alias("page_tags")
+    found = pages.select("url", "html").join(asked, "url").repartition("url")
+    body = F.nullif(F.col("body"), F.lit(""))
+    return extract_articles(found, parsers).select(
+        "url", "parser", markdown_of(body).alias("page_md"), F.col("tags").alias("page_tags")
     )
 
 

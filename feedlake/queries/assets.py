@@ -24,7 +24,7 @@ REFERENCES = (
 
 def illustrated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per page: its article text with image references between the words."""
-    pages = i.site_pages(spark, sf_dir)
+    pages = i.site_pages(spark, sf_dir, spread=True)
     number = F.col("number").cast("string")
     pieces = []
     for reference in REFERENCES:

@@ -16,17 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that is heavy per row.
+
+    A table in a few files would leave cores idle, so its rows are spread over
+    them. One with as many splits as cores is read as it is, without a shuffle.
+    """
+    rows = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def by_lang(en, fr, de, es) -> Column:
     """Value by the language of a page's URL."""
     lang = F.col("lang")
     return F.when(lang == "en", en).when(lang == "fr", fr).when(lang == "de", de).otherwise(es)
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Pages with the parts of their URL: host as source, language, number."""
+    if spread:
+        pages = spread_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    else:
+        pages = table(spark, sf_dir, "pages")
     part = r"^https?://([^/]+)/([a-z]+)/([0-9]+)"
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select(
+    return pages.select(
         "page_id",
         "url",
         F.regexp_extract(url, part, 1).alias("source"),
@@ -98,7 +113,7 @@ def site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = F.format_string("writer-%d", "number")
     no_people = F.array().cast("array<struct<name:string>>")
     # The feed's own text: from a few words to well above the stub threshold.
-    summary = F.repeat(F.concat("lang", F.lit(" text ")), F.col("number").cast("int"))
+    summary = F.repeat(F.concat("lang", F.lit(" text ")), (F.col("number") % 400).cast("int"))
     return pages.join(feeds, ["source", "lang"]).select(
         "page_id",
         "lang",

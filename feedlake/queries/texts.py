@@ -24,7 +24,7 @@ def sanitize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages, decoded; they state the entities amp, quot, copy and middot."""
-    pages = i.table(spark, sf_dir, "pages")
+    pages = i.spread_table(spark, sf_dir, "pages", "page_id", "html")
     return pages.select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
 
 
@@ -45,7 +45,7 @@ def iso_published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A note per page, its article text as body and its language as tag."""
-    pages = i.site_pages(spark, sf_dir)
+    pages = i.site_pages(spark, sf_dir, spread=True)
     body = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
     tags = F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(
         F.array("lang", F.col("number").cast("string"))
@@ -90,7 +90,7 @@ def stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with category lines, empty headings and blank lines put in."""
-    documents = i.table(spark, sf_dir, "documents")
+    documents = i.spread_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     source = F.col("source")
     lines = F.concat(
         F.lit("# \n# Head\n\n- [L]("), F.lit("/en-us/blog/category/"), source, F.lit(")\n\n\n\n"),
@@ -114,21 +114,21 @@ def empty_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = i.table(spark, sf_dir, "documents")
+    documents = i.spread_table(spark, sf_dir, "documents", "doc_id", "text")
     spaced = F.regexp_replace("text", r"\n", "\n\n\n\n")
     return documents.select("doc_id", text.squeeze_blank_lines(spaced).alias("cleaned"))
 
 
 def protocol_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose links were made protocol-relative; script text keeps its own ``//``."""
-    pages = i.table(spark, sf_dir, "pages")
+    pages = i.spread_table(spark, sf_dir, "pages", "page_id", "html")
     page = F.replace(F.replace("html", F.lit('href="/'), F.lit('href="//cdn.example/')), F.lit("track("), F.lit("src='//x';track("))
     return pages.select("page_id", text.absolute_links(page).alias("html"))
 
 
 def tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation links of each page as its tags, in two spellings and with blanks."""
-    pages = i.table(spark, sf_dir, "pages")
+    pages = i.spread_table(spark, sf_dir, "pages", "page_id", "html")
     links = F.regexp_extract_all("html", F.lit(r'<a href="/([^"]*)">'), F.lit(1))
     loud = F.transform(links, lambda tag: F.concat(F.lit(" "), F.lower(tag), F.lit("\t")))
     tags = text.union_tags(links, F.array(F.lit(" "), F.lit("News ")), loud, F.array(F.lit("news")))

@@ -16,6 +16,8 @@ SETTINGS = {
     # Pages are wide rows: bound an Arrow batch by its bytes, not only its rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Plans here are long; recording a call site per column slows their building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
