@@ -32,6 +32,11 @@ def already_stored(rows: DataFrame, notes: DataFrame, spread_by: list[str]) -> D
     return joins.with_known(rows, notes, ["vault_folder", "url_key"], spread_by)
 
 
+def with_stored_flag(rows: DataFrame, notes: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Rows with ``is_stored``: whether their folder has a note for their key."""
+    return joins.flag_known(rows, notes, ["vault_folder", "url_key"], spread_by, "is_stored")
+
+
 def free_of_earlier_notes(rows: DataFrame, spread_by: list[str]) -> DataFrame:
     """Drop rows of a later feed whose key an earlier feed wrote in this run.
 

@@ -1,9 +1,9 @@
 """Order-dependent numbering that holds when one key has a third of all rows.
 
-A plain window puts all rows of a key into one task. Here the rows of a key are
-first cut into chunks of their order column; chunk totals are aggregated before
-any shuffle, only these totals are windowed per key, and the rows themselves are
-windowed per (key, chunk).
+A plain window puts all rows of a key into one task. Where a key may have more
+rows than a task should take, its rows are first cut into chunks of their order
+column; chunk totals are aggregated before any shuffle, only these totals are
+windowed per key, and the rows themselves are windowed per (key, chunk).
 """
 
 from __future__ import annotations
@@ -22,46 +22,55 @@ def sequence_of(feed_ord: Column, entry_ord: Column) -> Column:
     return F.shiftleft(feed_ord.cast("long"), SEQ_BITS) + entry_ord
 
 
+def groups_fit(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether every key has few enough rows for a plain window (runs one small job)."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+    return (sizes.first()["n"] or 0) <= 1 << CHUNK_BITS
+
+
 def running_total(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
     out: str,
     value: Column | None = None,
-    chunk_bits: int = CHUNK_BITS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the inclusive running total of ``value`` (default 1) per key.
 
     ``keys`` must not be null. ``order[0]`` must be a long; its values, or those
-    of all order columns together, must be unique within a key.
+    of all order columns together, must be unique within a key. ``bounded`` says
+    that no key has more rows than a chunk may have.
     """
-    value = F.lit(1) if value is None else value
+    value = (F.lit(1) if value is None else value).cast("long")
+    whole = Window.unboundedPreceding
+    if bounded:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(whole, Window.currentRow)
+        return rows.withColumn(out, F.sum(value).over(window))
     chunked = rows.withColumns(
-        {"_value": value.cast("long"), "_chunk": F.shiftright(F.col(order[0]), chunk_bits)}
+        {"_value": value, "_chunk": F.shiftright(F.col(order[0]), CHUNK_BITS)}
     )
     chunk_keys = [*keys, "_chunk"]
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*chunk_keys).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(whole, -1)
     offsets = (
         chunked.groupBy(*chunk_keys)
         .agg(F.sum("_value").alias("_total"))
-        .select(
-            *chunk_keys,
-            F.coalesce(F.sum("_total").over(before.partitionBy(*keys)), F.lit(0)).alias("_offset"),
-        )
+        .select(*chunk_keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     )
-    up_to_here = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*chunk_keys).orderBy(*order).rowsBetween(whole, Window.currentRow)
     return (
-        chunked.withColumn("_here", F.sum("_value").over(up_to_here))
+        chunked.withColumn("_here", F.sum("_value").over(within))
         .join(offsets, chunk_keys)
         .withColumn(out, F.col("_offset") + F.col("_here"))
         .drop("_value", "_chunk", "_here", "_offset")
     )
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+def numbered(
+    rows: DataFrame, keys: list[str], order: list[str], out: str, bounded: bool = False
+) -> DataFrame:
     """Add the row number per key, starting at 1."""
-    return running_total(rows, keys, order, out)
+    return running_total(rows, keys, order, out, bounded=bounded)
 
 
 def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -145,11 +154,10 @@ def assign_names(
     another row has that form, so all assigned names differ. The r-th free number
     is r plus the count of reserved numbers t, each with i reserved ones below it,
     for which t - i <= r; that count is a running total over rows and reserved
-    numbers together.
+    numbers together. Group sizes are measured first: only if one is too large for
+    a task are the totals formed in chunks.
     """
     keys = [scope, name]
-    ranked = numbered(rows, keys, order, "_rank")
-
     wanted = rows.select(*keys).distinct()
     existing = taken.select(*keys).distinct()
     forms = existing.unionByName(wanted).withColumn("_number", style.number_of(F.col(name)))
@@ -161,8 +169,11 @@ def assign_names(
         .join(wanted, keys, "left_semi")
         .distinct()
     )
+    bounded = groups_fit(rows.select(*keys).unionByName(reserved.select(*keys)), keys)
+
+    ranked = numbered(rows, keys, order, "_rank", bounded)
     jumps = (
-        numbered(reserved, keys, ["_number"], "_below")
+        numbered(reserved, keys, ["_number"], "_below", bounded)
         .withColumn("_at", F.col("_number") - (F.col("_below") - 1))
         .groupBy(*keys, "_at")
         .agg(F.count("*").alias("_jump"))
@@ -171,7 +182,7 @@ def assign_names(
     placed = ranked.withColumns(
         {"_at": F.col("_rank") - 1, "_is_row": F.lit(1), "_jump": F.lit(0).cast("long")}
     ).unionByName(jumps, allowMissingColumns=True)
-    shifted = running_total(placed, keys, ["_at", "_is_row"], "_jumped", F.col("_jump"))
+    shifted = running_total(placed, keys, ["_at", "_is_row"], "_jumped", F.col("_jump"), bounded)
     return (
         shifted.filter(F.col("_is_row") == 1)
         .withColumn(out, style.write(F.col(name), F.col("_at") + F.col("_jumped")))

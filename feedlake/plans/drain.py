@@ -48,13 +48,13 @@ def preview(
 ) -> dict[str, DataFrame]:
     """Names a drain would plan, and the rows it would find already stored."""
     rows = taken_rows(queue, feeds, kind, max_articles)
-    stored = note_keys(notes)
-    fresh = dedup.unseen(rows, stored, ["seq"])
+    flagged = dedup.with_stored_flag(rows, note_keys(notes), ["seq"])
+    fresh = flagged.filter(~F.col("is_stored"))
     return {
         "would_create": planned_names(
             fresh.withColumn("safe_name", text.sanitize_title(F.col("title")))
         ),
-        "already_present": dedup.already_stored(rows, stored, ["seq"]),
+        "already_present": flagged.filter("is_stored").drop("is_stored"),
     }
 
 
@@ -103,10 +103,13 @@ def drain(
     then count as already present.
     """
     spark = queue.sparkSession
-    rows = taken_rows(queue, feeds, kind, max_articles)
     stored = note_keys(notes)
-    fresh = dedup.unseen(rows, stored, ["seq"])
-    present = dedup.already_stored(rows, stored, ["seq"]).select("seq")
+    rows = stage(
+        dedup.with_stored_flag(taken_rows(queue, feeds, kind, max_articles), stored, ["seq"]),
+        state_dir(spark, "drain-rows"),
+    )
+    fresh = rows.filter(~F.col("is_stored")).drop("is_stored")
+    present = rows.filter("is_stored").select("seq")
 
     got = fetched(fresh, pages, parsers)
     if on_miss == FALLBACK:

@@ -17,28 +17,37 @@ from feedlake.sources.notes import note_keys
 from feedlake.sources.snapshots import stage
 
 
-def candidates(entries: DataFrame, notes: DataFrame) -> DataFrame:
-    """Entries without a stored note, with their keys, titles and order."""
-    keyed = with_url(entries, "link").withColumns(
+def keyed_entries(entries: DataFrame) -> DataFrame:
+    """Entries that have a link, with their order and keys."""
+    return with_url(entries, "link").withColumns(
         {
             "seq": sequence_of(F.col("feed_ord"), F.col("entry_ord")),
             "url_key": keys.vault_key(F.col("link")),
             "parser": text.parser_or_default(F.col("parser")),
-            "title": text.decode_entities(text.title_or_default(F.col("title"))),
-            "author": text.pick_author(F.col("author"), F.col("authors")),
         }
     )
-    return dedup.unseen(keyed, note_keys(notes), ["seq"])
 
 
-def routed(fresh: DataFrame, pages: DataFrame, parsers: Mapping[str, html.Parser]) -> DataFrame:
-    """Candidates with their Markdown and the route it sends them on.
+def titled(entries: DataFrame) -> DataFrame:
+    return entries.withColumn(
+        "title", text.decode_entities(text.title_or_default(F.col("title")))
+    )
+
+
+def routed(
+    entries: DataFrame, fresh: DataFrame, pages: DataFrame, parsers: Mapping[str, html.Parser]
+) -> DataFrame:
+    """Fresh entries with their Markdown and the route it sends them on.
 
-    Feed text is converted only where the page gave no body.
+    ``fresh`` holds narrow ``(seq, link, parser)`` rows. Feed text is converted
+    only where the page gave no body.
     """
     wanted = fresh.select(F.col("link").alias("url"), "parser")
     articles = fetched_articles(wanted, pages, parsers).withColumnRenamed("url", "link")
-    joined = fresh.join(articles, ["link", "parser"], "left")
+    rows = titled(entries.join(fresh.select("seq"), "seq")).withColumn(
+        "author", text.pick_author(F.col("author"), F.col("authors"))
+    )
+    joined = rows.join(articles, ["link", "parser"], "left")
     own_text = body_choice(F.col("content"), F.col("summary"))
     fallback = markdown_of(F.when(F.col("page_md").isNull(), own_text))
     return (
@@ -56,10 +65,12 @@ def routed(fresh: DataFrame, pages: DataFrame, parsers: Mapping[str, html.Parser
 
 def preview(entries: DataFrame, notes: DataFrame, max_articles: int | None = None) -> DataFrame:
     """Names a sync would plan. Nothing is fetched, so nothing is held back either."""
-    fresh = candidates(entries, notes)
+    fresh = dedup.unseen(keyed_entries(entries), note_keys(notes), ["seq"])
     if max_articles is not None:
         fresh = first_n(fresh, ["feed_ord"], ["seq"], max_articles)
-    return planned_names(fresh.withColumn("safe_name", text.sanitize_title(F.col("title"))))
+    return planned_names(
+        titled(fresh).withColumn("safe_name", text.sanitize_title(F.col("title")))
+    )
 
 
 def sync(
@@ -84,9 +95,10 @@ def sync(
     meet their text again.
     """
     spark = entries.sparkSession
-    articles = stage(
-        routed(candidates(entries, notes), pages, parsers), state_dir(spark, "sync-articles")
-    )
+    keyed = keyed_entries(entries)
+    narrow = keyed.select("seq", "vault_folder", "url_key", "link", "parser")
+    fresh = stage(dedup.unseen(narrow, note_keys(notes), ["seq"]), state_dir(spark, "sync-fresh"))
+    articles = stage(routed(keyed, fresh, pages, parsers), state_dir(spark, "sync-articles"))
     narrow = articles.select(
         "seq", "feed_ord", "entry_ord", "vault_folder", "url_key", "route", "safe_name"
     )

@@ -119,7 +119,12 @@ def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planned_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return localized(spark, sf_dir)["planned"].select("note_id", "image_url", F.col("ord").cast("long").alias("ord"), "file_name")
+    """Images that would be fetched, each once per note."""
+    notes = lookup.lookup_assets(illustrated_notes(spark, sf_dir), asset_config(spark, sf_dir), "source", "safe_name")
+    refs = ops.eligible(ops.references(notes, "note_text", ["note_id", "assets_dir"]))
+    return ops.planned_assets(refs, "note_id").select(
+        "note_id", "image_url", F.col("ord").cast("long").alias("ord"), "file_name"
+    )
 
 
 def image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:

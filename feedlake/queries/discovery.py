@@ -163,7 +163,7 @@ def per_feed_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = i.site_pages(spark, sf_dir).select("source", "page_id", "url")
     capped = first_n(rows, ["source"], ["page_id"], 3)
     size = capped.groupBy("source").agg(F.count("*").alias("n_in_run"))
-    return numbered(capped, ["source"], ["page_id"], "position").join(size, "source")
+    return numbered(capped, ["source"], ["page_id"], "position", bounded=True).join(size, "source")
 
 
 def kind_then_cap(spark: SparkSession, sf_dir: str) -> DataFrame:

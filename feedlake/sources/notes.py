@@ -11,14 +11,18 @@ from feedlake.sources.feeds import path_exists
 from feedlake.sources.snapshots import read_snapshot
 
 
-def note_keys(notes: DataFrame, note_text: str = "note_text") -> DataFrame:
-    """Distinct ``(vault_folder, url_key)`` of notes, by the link in their frontmatter."""
-    key = keys.vault_key(text.frontmatter_link(F.col(note_text)))
-    return (
-        notes.select("vault_folder", key.alias("url_key"))
-        .filter(F.col("url_key").isNotNull())
-        .distinct()
-    )
+def note_keys(notes: DataFrame) -> DataFrame:
+    """Distinct ``(vault_folder, url_key)`` of notes.
+
+    The notes table states the key in a column of its own, so no text is read;
+    bare note files give it through the link in their frontmatter.
+    """
+    if "url_key" in notes.columns:
+        keyed = notes.select("vault_folder", "url_key")
+    else:
+        key = keys.vault_key(text.frontmatter_link(F.col("note_text")))
+        keyed = notes.select("vault_folder", key.alias("url_key"))
+    return keyed.filter(F.col("url_key").isNotNull()).distinct()
 
 
 def read_note_files(spark: SparkSession, root: str) -> DataFrame:
