@@ -11,6 +11,8 @@ from feedlake.functions import text
 # does not cost the other items.
 ITEM_BLOCK = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
 
+BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"
+
 ITEM_SCHEMA = """
     title struct<_VALUE string>,
     link array<struct<_VALUE string, _href string, _rel string>>,
@@ -67,10 +69,15 @@ def parse_feed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
     """Entries of whole feed files, in file order.
 
     A malformed file still gives its readable items; one without any gives none.
-    Items that cannot be read by themselves are left out.
+    What cannot be read of an item is null; without a link it is no entry.
     """
     blocks = F.regexp_extract_all(F.col(xml), F.lit(ITEM_BLOCK), F.lit(0))
     items = files.select(*carry, F.posexplode(blocks).alias("entry_ord", "_block"))
+    # Ampersands that start no XML entity are text; marked sections hold them as they are.
+    plain = F.regexp_replace("_block", BARE_AMPERSAND, "&amp;")
+    items = items.withColumn(
+        "_block", F.when(F.col("_block").contains("<![CDATA["), F.col("_block")).otherwise(plain)
+    )
     # The element's own name is the row tag; both kinds are read under one name.
     block = F.regexp_replace(
         F.regexp_replace("_block", r"^<(item|entry)", "<item"), r"</(item|entry)\s*>$", "</item>"
