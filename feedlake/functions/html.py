@@ -72,11 +72,9 @@ class Page(HTMLParser):
             start[3] = len(self.events)
             self.events.append([END, start[1], None, 0])
 
-    def find(self, tag: str, class_test: Callable[[str], object] | None = None, within=None):
+    def find(self, tag: str, class_test: Callable[[str], object] | None = None) -> int | None:
         """Position of the first element of that name whose class passes, or None."""
-        begin, end = (within, self.events[within][3]) if within is not None else (0, len(self.events))
-        for at in range(begin, end):
-            kind, name, attrs, _ = self.events[at]
+        for at, (kind, name, attrs, _) in enumerate(self.events):
             if kind == START and name == tag:
                 if class_test is None or class_test(attrs.get("class", "")):
                     return at
@@ -106,50 +104,65 @@ def has_class(name: str) -> Callable[[str], bool]:
     return lambda classes: name in classes.split()
 
 
-def serialise(events: Iterator[list]) -> str:
-    """Well-formed HTML of an event sequence."""
-    out = []
-    for kind, name, attrs, _ in events:
-        if kind == TEXT:
-            out.append(escape(name, quote=False))
-        elif kind == END:
-            out.append(f"</{name}>")
-        else:
-            pairs = "".join(f' {key}="{escape(value)}"' for key, value in attrs.items())
-            out.append(f"<{name}{pairs}/>" if name in VOID_TAGS else f"<{name}{pairs}>")
-    return "".join(out)
+class Body:
+    """One element of a page without its junk: HTML as text, or events to convert."""
+
+    def __init__(self, page: Page, at: int, junk_tags=JUNK_TAGS, junk_classes=None):
+        self._walk = lambda: page.walk(at, junk_tags, junk_classes)
+
+    def events(self) -> Iterator[list]:
+        return self._walk()
+
+    def __str__(self) -> str:
+        out = []
+        for kind, name, attrs, _ in self._walk():
+            if kind == TEXT:
+                out.append(escape(name, quote=False))
+            elif kind == END:
+                out.append(f"</{name}>")
+            else:
+                pairs = "".join(f' {key}="{escape(value)}"' for key, value in attrs.items())
+                out.append(f"<{name}{pairs}/>" if name in VOID_TAGS else f"<{name}{pairs}>")
+        return "".join(out)
 
 
-def container_or_body(page: Page, container: int | None) -> str | None:
+# A parser takes a page's HTML and gives its body and tags. Feeds choose one by name.
+# The body is HTML as text, or a Body, which spares a second reading of the page.
+Article = tuple[Body | str | None, list[str]]
+Parser = Callable[[str], Article]
+
+
+def container_or_body(page: Page, container: int | None) -> Body | None:
     """The cleaned container; without one, the cleaned body; without that, None."""
     if container is not None:
-        return serialise(page.walk(container, JUNK_TAGS, JUNK_CLASSES))
+        return Body(page, container, junk_classes=JUNK_CLASSES)
     body = page.find("body")
-    return None if body is None else serialise(page.walk(body, JUNK_TAGS | {"header"}))
+    return None if body is None else Body(page, body, JUNK_TAGS | {"header"})
 
 
-def first_found(*positions: int | None) -> int | None:
-    return next((at for at in positions if at is not None), None)
+def first_found(*searches: Callable[[], int | None]) -> int | None:
+    return next((at for at in (search() for search in searches) if at is not None), None)
 
 
-def extract_wordpress(html: str) -> tuple[str | None, list[str]]:
+def extract_wordpress(html: str) -> Article:
     page = Page(html)
-    return container_or_body(
-        page, first_found(page.find("article"), page.find("div", POST_CLASSES.search))
-    ), []
+    container = first_found(
+        lambda: page.find("article"), lambda: page.find("div", POST_CLASSES.search)
+    )
+    return container_or_body(page, container), []
 
 
-def extract_default(html: str) -> tuple[str | None, list[str]]:
+def extract_default(html: str) -> Article:
     page = Page(html)
-    return container_or_body(
-        page,
-        first_found(
-            page.find("article"), page.find("div", ARTICLE_CLASSES.search), page.find("main")
-        ),
-    ), []
+    container = first_found(
+        lambda: page.find("article"),
+        lambda: page.find("div", ARTICLE_CLASSES.search),
+        lambda: page.find("main"),
+    )
+    return container_or_body(page, container), []
 
 
-def extract_khoros(html: str) -> tuple[str | None, list[str]]:
+def extract_khoros(html: str) -> Article:
     """Labels come from the whole page, so they remain when the body is missing."""
     page = Page(html)
     tags = []
@@ -165,8 +178,6 @@ def extract_khoros(html: str) -> tuple[str | None, list[str]]:
     return (None if body is None else container_or_body(page, body)), tags
 
 
-# A parser takes a page's HTML and gives its body and tags. Feeds choose one by name.
-Parser = Callable[[str], tuple[str | None, list[str]]]
 PARSERS: dict[str, Parser] = {
     "wordpress": extract_wordpress,
     "khoros": extract_khoros,
@@ -278,8 +289,9 @@ def _text(data: str, around: list[str], after_block: bool) -> str:
     return data
 
 
-def to_markdown(html: str) -> str:
+def to_markdown(html: str | Body) -> str:
     """Markdown with ATX headings and ``-`` bullets; images stay external."""
+    events = html.events() if isinstance(html, Body) else Page(html).events
     outputs: list[list[str]] = [[]]
     names: list[str] = []
     details: list[dict] = []
@@ -291,7 +303,7 @@ def to_markdown(html: str) -> str:
         if piece:
             target.append(piece)
 
-    for kind, name, attrs, _ in Page(html).events:
+    for kind, name, attrs, _ in events:
         if kind == TEXT:
             before = outputs[-1][-1] if outputs[-1] else ("" if names else "\n")
             put(_text(name, names, before.endswith("\n")))

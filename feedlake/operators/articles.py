@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -10,24 +10,46 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from feedlake.functions import html, text
 from feedlake.operators.lookup import FALLBACK_PARSER, dispatched_parser
 
-ARTICLE = T.StructType(
-    [T.StructField("body", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))]
-)
+TAGS = T.ArrayType(T.StringType())
+ARTICLE = T.StructType([T.StructField("body", T.StringType()), T.StructField("tags", TAGS)])
+CONVERTED = T.StructType([T.StructField("md", T.StringType()), T.StructField("tags", TAGS)])
 
 
-def article_of(page: Column, parser: Column, parsers: Mapping[str, html.Parser] = html.PARSERS) -> Column:
-    """Struct of body and tags. ``parsers`` maps a name to a function of the page."""
+def _parsed(
+    page: Column,
+    parser: Column,
+    parsers: Mapping[str, html.Parser],
+    schema: T.StructType,
+    write: Callable[[html.Body | str], str],
+) -> Column:
+    """Struct of the written body (null if there is none) and the tags of each page."""
     registry = dict(parsers)
 
-    def extract(pages: pd.Series, names: pd.Series) -> pd.DataFrame:
-        found = [
-            registry.get(name, registry[FALLBACK_PARSER])(page) if page is not None else (None, [])
-            for page, name in zip(pages, names)
-        ]
-        return pd.DataFrame(found, columns=["body", "tags"])
+    def parse(html_text: str | None, name: str) -> tuple[str | None, list[str]]:
+        if html_text is None:
+            return None, []
+        body, tags = registry.get(name, registry[FALLBACK_PARSER])(html_text)
+        return (write(body) if body else None), tags
 
-    extract.__annotations__ = {"pages": pd.Series, "names": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(extract, ARTICLE)(page, dispatched_parser(parser, registry))
+    def parse_batch(pages: pd.Series, names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(map(parse, pages, names), columns=schema.names)
+
+    parse_batch.__annotations__ = {"pages": pd.Series, "names": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(parse_batch, schema)(page, dispatched_parser(parser, registry))
+
+
+def article_of(
+    page: Column, parser: Column, parsers: Mapping[str, html.Parser] = html.PARSERS
+) -> Column:
+    """Struct of HTML body and tags. ``parsers`` maps a name to a function of the page."""
+    return _parsed(page, parser, parsers, ARTICLE, str)
+
+
+def converted_article_of(
+    page: Column, parser: Column, parsers: Mapping[str, html.Parser] = html.PARSERS
+) -> Column:
+    """Struct of raw Markdown and tags: each page is read once and its HTML not written."""
+    return _parsed(page, parser, parsers, CONVERTED, html.to_markdown)
 
 
 def _convert(bodies: pd.Series) -> pd.Series:
@@ -65,9 +87,12 @@ def fetched_articles(
     """
     asked = wanted.select("url", "parser").distinct()
     found = pages.select("url", "html").join(asked, "url").repartition("url")
-    body = F.nullif(F.col("body"), F.lit(""))
-    return extract_articles(found, parsers).select(
-        "url", "parser", markdown_of(body).alias("page_md"), F.col("tags").alias("page_tags")
+    article = converted_article_of(F.col("html"), F.col("parser"), parsers)
+    return found.select("url", "parser", article.alias("_article")).select(
+        "url",
+        "parser",
+        text.tidy_markdown(F.col("_article.md")).alias("page_md"),
+        F.col("_article.tags").alias("page_tags"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.functions import images
+from feedlake.operators import joins
 from feedlake.operators.lookup import lookup_assets
 from feedlake.operators.ranking import AssetNames, assign_names
 from feedlake.session import state_dir
@@ -41,12 +42,12 @@ def planned_assets(refs: DataFrame, note: str) -> DataFrame:
     )
 
 
-def accepted(planned: DataFrame, fetch_result: DataFrame) -> DataFrame:
-    """Planned images whose fetch succeeded within the limits."""
+def accepted(planned: DataFrame, fetch_result: DataFrame, note: str) -> DataFrame:
+    """Planned images whose fetch succeeded within the limits; one may be in any number of notes."""
     good = fetch_result.filter(
         images.acceptable_image(F.col("ok"), F.col("content_length"), F.col("n_bytes"))
     ).select("image_url")
-    return planned.join(good, "image_url", "left_semi")
+    return joins.with_known(planned, good, ["image_url"], [note])
 
 
 def named_assets(planned: DataFrame, asset_manifest: DataFrame, note: str) -> DataFrame:
@@ -100,13 +101,13 @@ def localize_images(
     settings or references pass through unchanged.
     """
     spark = notes.sparkSession
-    placed = lookup_assets(notes, asset_cfg, "source", title)
+    placed = lookup_assets(notes, asset_cfg, "source", title, [note])
     # Texts are scanned once; all that follows works on narrow staged rows.
     refs = stage(
         references(placed, markdown, [note, "assets_dir", folder]), state_dir(spark, "image-refs")
     )
     planned = planned_assets(eligible(refs), note)
-    fetched = stage(accepted(planned, fetch_result), state_dir(spark, "image-names"))
+    fetched = stage(accepted(planned, fetch_result, note), state_dir(spark, "image-names"))
     named = named_assets(fetched, asset_manifest, note)
     configured = refs.filter(F.col("assets_dir").isNotNull())
     return {

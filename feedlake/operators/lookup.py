@@ -7,17 +7,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.functions import images, text
+from feedlake.operators import joins
 
 FALLBACK_PARSER = "default"
 
 
-def lookup_feeds(rows: DataFrame, feeds: DataFrame, source: str, parser: str) -> DataFrame:
+def lookup_feeds(
+    rows: DataFrame, feeds: DataFrame, source: str, parser: str, spread_by: list[str]
+) -> DataFrame:
     """Add the struct ``feed_cfg``: the feed that a row's source and parser name.
 
     The exact pair comes first, then the source's default-kind feed, then the
     source's first feed; null if the source is unknown. Of duplicate pairs the
     last one counts, at the place of the first. Both tables are reduced to one
-    row per key, so rows are neither multiplied nor grouped.
+    row per key, so rows are neither multiplied nor grouped, and the rows of one
+    source are spread over several tasks.
     """
     kind = text.parser_or_default(F.col("parser"))
     config = F.struct(
@@ -32,9 +36,11 @@ def lookup_feeds(rows: DataFrame, feeds: DataFrame, source: str, parser: str) ->
     asked = rows.withColumn("_parser", text.parser_or_default(F.col(parser))).withColumn(
         "_source", F.col(source)
     )
+    exact = joins.spread_join(
+        asked, pairs.drop("_place"), ["_source", "_parser"], spread_by, "left"
+    )
     return (
-        asked.join(pairs.drop("_place"), ["_source", "_parser"], "left")
-        .join(sources, "_source", "left")
+        joins.spread_join(exact, sources, ["_source"], spread_by, "left")
         .withColumn("feed_cfg", F.coalesce("_exact", "_any"))
         .drop("_source", "_parser", "_exact", "_any")
     )
@@ -50,7 +56,9 @@ def dispatched_parser(parser: Column, registered: Iterable[str]) -> Column:
     return F.when(named.isin(*registered), named).otherwise(F.lit(FALLBACK_PARSER))
 
 
-def lookup_assets(rows: DataFrame, assets: DataFrame, source: str, title: str) -> DataFrame:
+def lookup_assets(
+    rows: DataFrame, assets: DataFrame, source: str, title: str, spread_by: list[str]
+) -> DataFrame:
     """Add ``assets_dir``; null for sources that keep their images external."""
     config = assets.select(
         F.col("source").alias(source),
@@ -59,7 +67,7 @@ def lookup_assets(rows: DataFrame, assets: DataFrame, source: str, title: str) -
     )
     path = images.assets_dir(F.col("_asset_folder"), F.col("_asset_subfolder"), F.col(title))
     return (
-        rows.join(config, source, "left")
+        joins.spread_join(rows, config, [source], spread_by, "left")
         .withColumn("assets_dir", path)
         .drop("_asset_folder", "_asset_subfolder")
     )

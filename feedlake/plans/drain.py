@@ -22,7 +22,7 @@ def taken_rows(
     queue: DataFrame, feeds: DataFrame, kind: str | None, cap: int | None
 ) -> DataFrame:
     """Rows of this run, with their feed's settings; unknown feeds stay pending."""
-    rows = lookup_feeds(q.take_pending(queue, kind, cap), feeds, "feed", "parser")
+    rows = lookup_feeds(q.take_pending(queue, kind, cap), feeds, "feed", "parser", ["queue_ord"])
     return known_feed(rows).select(
         F.col("queue_ord").alias("seq"),
         F.col("feed_cfg.feed_ord").alias("feed_ord"),

@@ -92,7 +92,7 @@ def asset_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("vault/%s", "source").alias("vault_folder"),
         F.format_string("%s - articleassets", "source").alias("assets_subfolder"),
     )
-    found = lookup.lookup_assets(documents, config, "source", "title")
+    found = lookup.lookup_assets(documents, config, "source", "title", ["doc_id"])
     return found.select("doc_id", F.coalesce("assets_dir", F.lit("none")).alias("assets_dir"))
 
 
@@ -120,7 +120,7 @@ def asset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planned_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images that would be fetched, each once per note."""
-    notes = lookup.lookup_assets(illustrated_notes(spark, sf_dir), asset_config(spark, sf_dir), "source", "safe_name")
+    notes = lookup.lookup_assets(illustrated_notes(spark, sf_dir), asset_config(spark, sf_dir), "source", "safe_name", ["note_id"])
     refs = ops.eligible(ops.references(notes, "note_text", ["note_id", "assets_dir"]))
     return ops.planned_assets(refs, "note_id").select(
         "note_id", "image_url", F.col("ord").cast("long").alias("ord"), "file_name"

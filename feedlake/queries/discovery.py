@@ -249,7 +249,7 @@ def feed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["source", "lang"],
         "left_semi",
     )
-    found = lookup.known_feed(lookup.lookup_feeds(asked_feeds(spark, sf_dir), feeds, "feed", "parser"))
+    found = lookup.known_feed(lookup.lookup_feeds(asked_feeds(spark, sf_dir), feeds, "feed", "parser", ["page_id"]))
     return found.select("page_id", "feed_cfg.name", F.col("feed_cfg.parser").alias("cfg_parser"), "feed_cfg.vault_folder")
 
 

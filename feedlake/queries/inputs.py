@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from feedlake.operators.joins import spread_join
+
 RUN_TS = "2001-08-02 00:00:00"
 KEEP_DAYS = 90
 PAGE_RUN_TS = "2026-03-20 12:00:00"
@@ -114,7 +116,7 @@ def site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_people = F.array().cast("array<struct<name:string>>")
     # The feed's own text: from a few words to well above the stub threshold.
     summary = F.repeat(F.concat("lang", F.lit(" text ")), (F.col("number") % 400).cast("int"))
-    return pages.join(feeds, ["source", "lang"]).select(
+    return spread_join(pages, feeds, ["source", "lang"], ["page_id"], "inner").select(
         "page_id",
         "lang",
         "feed_ord",

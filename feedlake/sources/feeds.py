@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlake import schemas
 from feedlake.functions import text
+from feedlake.operators.joins import spread_join
 
 # One item (RSS) or entry (Atom), read by itself: a fault elsewhere in its file
 # does not cost the other items.
@@ -129,8 +130,9 @@ def read_feed_files(spark: SparkSession, path: str, feeds: DataFrame) -> DataFra
 
 
 def with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Entries with the source, parser and folder of their feed."""
-    return entries.join(feeds.select("feed_ord", "source", "parser", "vault_folder"), "feed_ord")
+    """Entries with the source, parser and folder of their feed, however many it has."""
+    settings = feeds.select("feed_ord", "source", "parser", "vault_folder")
+    return spread_join(entries, settings, ["feed_ord"], ["entry_ord"], "inner")
 
 
 def healthy_feeds(files: DataFrame, xml: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_feed_lookup(spark):
     )
     asked = [("A", "khoros"), ("A", "zzz"), ("A", None), ("B", "wordpress"), ("B", "zzz"), ("C", "x"), (None, None)]
     rows = spark.createDataFrame([(n, *a) for n, a in enumerate(asked)], "n long, feed string, parser string")
-    found = lookup.lookup_feeds(rows, feeds, "feed", "parser").orderBy("n").collect()
+    found = lookup.lookup_feeds(rows, feeds, "feed", "parser", ["n"]).orderBy("n").collect()
     names = [r.feed_cfg and r.feed_cfg.name for r in found]
     # The second (A, wordpress) replaces the first one, in its place.
     assert names == ["k", "w2", "w2", "d", "z", None, None]
