@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from feedlake.functions import text
 from feedlake.operators import dedup, queue as q, reports
 from feedlake.operators.ranking import sequence_of
+from feedlake.session import state_dir
+from feedlake.sources.snapshots import stage
+
+
+# What a queue record states of an entry; feed texts are not carried through the dedup.
+STATED = [
+    "feed_ord", "entry_ord", "link", "title", "author", "authors",
+    "published_parsed", "published_raw", "source", "parser",
+]
 
 
 def discover(
@@ -20,14 +29,18 @@ def discover(
 
     ``entries`` carry the source and parser of their feed. A row that this run
     prunes still counts as known, so its URL is found again on the next run only.
+    The new records are staged, as the queue and the counts both read them.
     """
-    new = dedup.discover_new(entries, queue, ["feed_ord", "entry_ord"])
+    new = dedup.discover_new(entries.select(*STATED), queue, ["feed_ord", "entry_ord"])
     placed = new.withColumn("seq", sequence_of(F.col("feed_ord"), F.col("entry_ord")))
-    records = q.queue_records(placed, run_ts, keep=["seq"])
-    counted = reports.feed_counts(feeds, new.select("feed_ord"), ["feed_ord"])
+    records = stage(
+        q.queue_records(placed, run_ts, keep=["seq", "feed_ord"]),
+        state_dir(queue.sparkSession, "discover-new"),
+    )
+    counted = reports.feed_counts(feeds, records.select("feed_ord"), ["feed_ord"])
     return {
-        "queue": q.append(q.prune(queue, run_ts, keep_days), records, "seq"),
-        "new": records.drop("seq"),
+        "queue": q.append(q.prune(queue, run_ts, keep_days), records.drop("feed_ord"), "seq"),
+        "new": records.drop("seq", "feed_ord"),
         "pruned": q.prune_counts(queue, run_ts, keep_days),
         "feed_counts": counted,
         "total": reports.total(counted),

@@ -47,9 +47,12 @@ def read_notes(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
-    """Append notes to their table, one directory per folder."""
-    columns = schemas.NOTE.names
-    notes.select(*columns).write.mode("append").partitionBy("vault_folder").parquet(path)
+    """Append notes to their table, one directory per folder.
+
+    Rebalancing gathers a folder's notes into few files, and splits a large folder.
+    """
+    rows = notes.select(*schemas.NOTE.names).hint("rebalance", F.col("vault_folder"))
+    rows.write.mode("append").partitionBy("vault_folder").parquet(path)
 
 
 def write_assets(assets: DataFrame, path: str) -> None:
