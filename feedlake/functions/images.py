@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from feedlake.functions.binding import let
+
 # --- Fixed values: suffixes, limits and patterns that decide the results ---------
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".webp", ".svg", ".bmp", ".ico")
 DEFAULT_SUFFIX = ".png"
@@ -23,11 +23,6 @@ UNKNOWN_SUFFIX = r"(?is)\A(?!\.*[^.].*(?:{})\z).*\z".format(
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` as often as needed."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def image_refs(markdown: Column) -> Column:
     """All image references in reading order, as an array of structs."""
     matches = F.regexp_extract_all(markdown, F.lit(ANY_IMAGE), F.lit(0))

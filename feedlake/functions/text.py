@@ -7,6 +7,8 @@ import html
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from feedlake.functions.binding import let
+
 # --- Fixed values: patterns, limits and formats that decide the results ---------
 MALFORMED_ENTITY = r"&(x?[0-9A-Fa-f]+;)"
 UNSAFE_CHARACTERS = '/\\:|?*"<>'
@@ -17,6 +19,7 @@ BLANKS = (
 )
 TITLE_LIMIT = 200
 CATEGORY_LINE = r"(?dmU)^- \[.*?\]\(/[\w-]+/blog/category/([\w-]+)\)\s*$"
+CATEGORY_MARK = "/blog/category/"
 EMPTY_HEADING = r"(?dmU)^#+\s*$\n?"
 BLANK_LINES = r"\n{3,}"
 FRONTMATTER = r"(?s)\A---(.*?)---"
@@ -100,21 +103,44 @@ def absolute_links(page: Column) -> Column:
     return page
 
 
+# Most texts hold none of what the patterns below look for. A plain search tells so
+# at a fraction of a pattern's cost.
+
+
 def squeeze_blank_lines(markdown: Column) -> Column:
-    return F.regexp_replace(markdown, BLANK_LINES, "\n\n")
+    return let(
+        markdown,
+        lambda md: F.when(
+            md.contains("\n\n\n"), F.regexp_replace(md, BLANK_LINES, "\n\n")
+        ).otherwise(md),
+    )
 
 
 def category_slugs(markdown: Column) -> Column:
     """Tags stated as category links on lines of their own."""
-    return F.regexp_extract_all(markdown, F.lit(CATEGORY_LINE), F.lit(1))
+    found = F.regexp_extract_all(markdown, F.lit(CATEGORY_LINE), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.when(markdown.contains(CATEGORY_MARK), found).otherwise(none)
 
 
 def without_categories(markdown: Column) -> Column:
-    return squeeze_blank_lines(F.regexp_replace(markdown, CATEGORY_LINE, ""))
+    cleaned = let(
+        markdown,
+        lambda md: F.when(
+            md.contains(CATEGORY_MARK), F.regexp_replace(md, CATEGORY_LINE, "")
+        ).otherwise(md),
+    )
+    return squeeze_blank_lines(cleaned)
 
 
 def without_empty_headings(markdown: Column) -> Column:
-    return squeeze_blank_lines(F.regexp_replace(markdown, EMPTY_HEADING, ""))
+    cleaned = let(
+        markdown,
+        lambda md: F.when(
+            md.startswith("#") | md.contains("\n#"), F.regexp_replace(md, EMPTY_HEADING, "")
+        ).otherwise(md),
+    )
+    return squeeze_blank_lines(cleaned)
 
 
 def tidy_markdown(markdown: Column) -> Column:

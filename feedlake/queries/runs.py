@@ -130,10 +130,15 @@ def drain_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.select("seq", "rel_path", F.substring_index("note_text", "\n# Content\n", 1).alias("head"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; as a pattern, the path may name a file or a folder."""
+    schema = i.table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
 def stream_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as landed entries, found once per URL by the streaming job."""
-    schema = i.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = event_stream(spark, sf_dir)
     loud = F.col("event_type").isin("click", "view")
     url = F.format_string("https://e.example/%d/Item-%d", "user_id", F.floor("value"))
     entries = stream.select(
@@ -149,8 +154,7 @@ def stream_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_stub_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stub life cycle kept as streaming state; the same rows as the batch manifest."""
-    schema = i.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = event_stream(spark, sf_dir)
     state = session.state_dir(spark, "stream-stubs")
     stub_stream.stub_stream(i.sightings_of(stream), f"{state}/changes", f"{state}/checkpoint").awaitTermination()
     return shown(stub_stream.open_stubs(stub_stream.current_state(spark, f"{state}/changes")))
