@@ -110,9 +110,11 @@ def localize_images(
     fetched = stage(accepted(planned, fetch_result, note), state_dir(spark, "image-names"))
     named = named_assets(fetched, asset_manifest, note)
     configured = refs.filter(F.col("assets_dir").isNotNull())
+    local = named.groupBy(note).agg(F.count("*").alias("n_localised"))
+    counts = reference_counts(refs, [note]).join(local, note, "left")
     return {
         "notes": rewrite(notes, configured, named, note, markdown, folder),
         "assets": named,
         "planned": planned,
-        "counts": reference_counts(refs, [note]),
+        "counts": counts.fillna(0, ["n_localised"]),
     }

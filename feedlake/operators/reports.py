@@ -8,9 +8,7 @@ from feedlake.functions import text
 from feedlake.operators.queue import run_time
 from feedlake.operators.ranking import union_all
 
-# --- Fixed value: head of a new log ----------------------------------------------
-LOG_HEAD = "# RSS Sync Log\n\nThis log is automatically maintained by the RSS feed sync script.\n"
-# ---------------------------------------------------------------------------------
+LOG_HEAD = "# Sync Log\n\nThis log is maintained automatically, one section per run.\n"
 
 
 def feed_counts(feeds: DataFrame, rows: DataFrame, feed: list[str]) -> DataFrame:
@@ -25,6 +23,11 @@ def total(counted: DataFrame) -> DataFrame:
     return counted.agg(F.coalesce(F.sum("new_count"), F.lit(0)).alias("total_new"))
 
 
+def stamped(counted: DataFrame, run_ts, name: str) -> DataFrame:
+    """One-row counts with the time of their run, as ISO text."""
+    return counted.withColumn(name, text.iso_time(run_time(run_ts)))
+
+
 def log_lines(counted: DataFrame, notes: DataFrame, run_ts, trigger: str) -> DataFrame:
     """The section of one run, one row per line, with the columns that order it.
 

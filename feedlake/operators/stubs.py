@@ -102,6 +102,10 @@ def update_manifest(manifest: DataFrame, records: DataFrame, notes: DataFrame, r
     return drop_captured(upsert(manifest, run_stubs(records, run_ts)), notes)
 
 
+def manifest_size(manifest: DataFrame) -> DataFrame:
+    return manifest.agg(F.count("*").alias("n_stubs"))
+
+
 def oldest_first(manifest: DataFrame) -> DataFrame:
     """Presentation order; a missing time sorts first."""
     return manifest.orderBy(F.asc_nulls_first("first_seen"), "url_key")

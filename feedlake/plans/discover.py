@@ -43,5 +43,5 @@ def discover(
         "new": records.drop("seq", "feed_ord"),
         "pruned": q.prune_counts(queue, run_ts, keep_days),
         "feed_counts": counted,
-        "total": reports.total(counted),
+        "total": reports.stamped(reports.total(counted), run_ts, "last_checked"),
     }

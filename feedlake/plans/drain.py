@@ -94,6 +94,7 @@ def drain(
     fetch_result: DataFrame | None = None,
     asset_manifest: DataFrame | None = None,
     parsers: Mapping[str, html.Parser] = html.PARSERS,
+    trigger: str = "pull-and-sync",
 ) -> dict[str, DataFrame]:
     """One run over the pending rows.
 
@@ -155,7 +156,7 @@ def drain(
         "notes": new_notes,
         "already_present": present.unionByName(repeated),
         "feed_counts": counted,
-        "log": reports.log_lines(counted, built, run_ts, "pull-and-sync"),
+        "log": reports.log_lines(counted, built, run_ts, trigger),
         **parts,
     }
     if on_miss == FALLBACK:

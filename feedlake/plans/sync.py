@@ -115,10 +115,12 @@ def sync(
     held = stubs.stub_records(articles.join(kept.select("seq"), "seq", "left_semi"))
     stored = note_keys(notes).unionByName(built.select("vault_folder", "url_key"))
     counted = reports.feed_counts(feeds, writers_per_feed(kept), ["feed_ord"])
+    after = stubs.update_manifest(manifest, held, stored, run_ts)
     return {
         "notes": new_notes,
         "stubs": held,
-        "manifest": stubs.update_manifest(manifest, held, stored, run_ts),
+        "manifest": after,
+        "manifest_size": reports.stamped(stubs.manifest_size(after), run_ts, "generated"),
         "feed_counts": counted,
         "total": reports.total(counted),
         "log": reports.log_lines(counted, built, run_ts, trigger),

@@ -91,5 +91,5 @@ def test_localize(spark):
     )
     assert texts[2] == "![other](<assets/T (1)/j_3.png>)"
     assert texts[3] == REFS
-    counts = {r.note_id: (r.n_found, r.n_clickable, r.n_remote, r.n_images) for r in out["counts"].collect()}
-    assert counts[1] == (6, 1, 4, 3)
+    counts = {r.note_id: (r.n_found, r.n_clickable, r.n_remote, r.n_images, r.n_localised) for r in out["counts"].collect()}
+    assert counts[1] == (6, 1, 4, 3, 2) and counts[3] == (2, 1, 2, 2, 0)

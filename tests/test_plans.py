@@ -97,6 +97,8 @@ def test_sync_keeps_stubs_in_the_manifest(spark, feeds):
     run = sync.sync(feeds, found, no_notes(spark), pages(spark), empty(spark, schemas.MANIFEST), NOW)
     assert [(r.url_key, r.vault_folder, r.first_seen) for r in run["manifest"].collect()] == [("http://s", "vault/a", NOW)]
     assert run["notes"].count() == 0 and run["total"].first().total_new == 0
+    size = run["manifest_size"].first()
+    assert (size.n_stubs, size.generated) == (1, "2026-03-20T12:00:00+00:00")
 
 
 def test_sync_cap_and_preview(spark, feeds):
@@ -189,7 +191,8 @@ def test_discover_then_discover_again(spark, feeds):
     ]
     assert {r.name: r.new_count for r in first["feed_counts"].collect()} == {"A one": 1, "A two": 0, "B": 1, "silent": 0}
     again = discover.discover(feeds, found, first["queue"], NOW)
-    assert again["total"].first().total_new == 0 and again["queue"].count() == 2
+    assert tuple(again["total"].first()) == (0, "2026-03-20T12:00:00+00:00")
+    assert again["queue"].count() == 2
 
 
 def test_pruned_rows_still_count_as_known_in_their_run(spark, feeds):

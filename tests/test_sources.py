@@ -152,7 +152,7 @@ def test_run_log(spark, tmp_path):
     read = lambda name: "".join(
         file.read_text() for file in sorted((tmp_path / "log" / name).glob("part-*"))
     )
-    assert read("0-head").startswith("# RSS Sync Log\n\nThis log")
+    assert read("0-head").startswith("# Sync Log\n\nThis log")
     assert read("run-1") == (
         "\n## 2026-03-20T12:00:00+00:00\n\n- Feed: A — 2 new articles\n- Feed: B — 0 new articles\n"
         "- New articles:\n  - [[f/one]]\n  - [[f/two]]\n- Trigger: manual\n"
