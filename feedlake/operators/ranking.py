@@ -139,6 +139,16 @@ class AssetNames(NameStyle):
         return F.when(number == 0, name).otherwise(numbered_name)
 
 
+def names_with_bases(names: DataFrame, name: str, style: NameStyle) -> DataFrame:
+    """Each name under itself and under the name it is a numbered form of.
+
+    Groups of these are at least as large as any that the numbering forms.
+    """
+    base = F.nullif(style.base_of(F.col(name)), F.lit(""))
+    others = [column for column in names.columns if column != name]
+    return names.select(*others, F.explode(F.array_compact(F.array(F.col(name), base))).alias(name))
+
+
 def assign_names(
     rows: DataFrame,
     taken: DataFrame,
@@ -169,7 +179,8 @@ def assign_names(
         .join(wanted, keys, "left_semi")
         .distinct()
     )
-    bounded = groups_fit(rows.select(*keys).unionByName(reserved.select(*keys)), keys)
+    everyone = rows.select(*keys).unionByName(taken.select(*keys))
+    bounded = groups_fit(names_with_bases(everyone, name, style), keys)
 
     ranked = numbered(rows, keys, order, "_rank", bounded)
     jumps = (

@@ -115,7 +115,7 @@ def site_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = F.format_string("writer-%d", "number")
     no_people = F.array().cast("array<struct<name:string>>")
     # The feed's own text: from a few words to well above the stub threshold.
-    summary = F.repeat(F.concat("lang", F.lit(" text ")), (F.col("number") % 400).cast("int"))
+    summary = F.repeat(F.concat("lang", F.lit(" text ")), F.least(F.col("number"), F.lit(400)).cast("int"))
     return spread_join(pages, feeds, ["source", "lang"], ["page_id"], "inner").select(
         "page_id",
         "lang",
@@ -145,7 +145,7 @@ def order_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("Order %d", "o_orderkey").alias("title"),
         F.lit(None).cast("string").alias("author"),
         F.lit("").alias("published"),
-        F.format_string("src%d", F.col("o_custkey") % 20).alias("feed"),
+        F.concat(F.lit("src"), F.substring(priority, 1, 1)).alias("feed"),
         F.when(priority.startswith("1"), "khoros").when(priority.startswith("2"), "default")
         .when(priority.startswith("3"), "wordpress").alias("parser"),
         F.col("o_orderdate").cast("timestamp").alias("discovered"),
@@ -158,7 +158,7 @@ ORDER_QUEUE = """
 order_queue AS (
   SELECT o_orderkey AS queue_ord, 'https://q.example/' || o_orderkey AS url,
     'Order ' || o_orderkey AS title, CAST(NULL AS VARCHAR) AS author, '' AS published,
-    'src' || (o_custkey % 20) AS feed,
+    'src' || substring(o_orderpriority, 1, 1) AS feed,
     CASE WHEN o_orderpriority LIKE '1%' THEN 'khoros' WHEN o_orderpriority LIKE '2%' THEN 'default'
       WHEN o_orderpriority LIKE '3%' THEN 'wordpress' END AS parser,
     o_orderdate AS discovered,

@@ -173,12 +173,12 @@ HEAD = """'---' || chr(10) || 'link: ' || url || chr(10) || 'author: ' || {autho
     || 'published: ' || {published} || chr(10) || 'clipped: 2026-03-20T12:00:00+00:00' || chr(10)
     || 'source: ' || source || chr(10) || 'feed_kind: ' || {kind} || chr(10) || 'tags:' || chr(10) || '---' || chr(10)"""
 
-# The feed's own text of a page is '<lang> text ', up to 399 times. French
+# The feed's own text of a page is '<lang> text ', up to 400 times. French
 # feeds name a parser that finds no body in these pages, so they use that text too.
 SYNCED = f"""
 fresh AS (
   SELECT p.*, f.feed_ord, f.vault_folder, {TITLES} AS safe,
-    CASE WHEN (url LIKE 'https:%' AND p.lang <> 'fr') OR 8 * (number % 400) - 1 >= 1500 THEN 'note' ELSE 'stub' END AS route,
+    CASE WHEN (url LIKE 'https:%' AND p.lang <> 'fr') OR 8 * least(number, 400) - 1 >= 1500 THEN 'note' ELSE 'stub' END AS route,
     {HEAD.format(author="CASE WHEN p.lang IN ('en', 'fr') THEN 'writer-' || number ELSE '' END",
                  published=PUBLISHED.replace("lang", "p.lang"),
                  kind="CASE p.lang WHEN 'fr' THEN 'khoros' WHEN 'de' THEN 'default' ELSE 'wordpress' END")
@@ -231,7 +231,7 @@ SELECT feed_ord, page_id AS entry_ord, route,
   vault_folder || '/' || safe || CASE WHEN n = 1 THEN '' ELSE ' (' || n || ')' END AS path, head, -1 AS body_chars
 FROM named
 UNION ALL
-SELECT feed_ord, page_id, route, vault_folder, '', greatest(8 * (number % 400) - 1, 0) FROM fresh WHERE route = 'stub'""",
+SELECT feed_ord, page_id, route, vault_folder, '', 8 * least(number, 400) - 1 FROM fresh WHERE route = 'stub'""",
     "stream_discover": """
 SELECT url_key, url, entry_ord, 'pending' AS status FROM (
   SELECT lower(u) AS url_key, CASE WHEN event_type IN ('click', 'view') THEN upper(u) ELSE u END AS url,

@@ -32,11 +32,11 @@ def iso_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates in the forms that feeds state, read back and written as ISO text."""
     orders = i.table(spark, sf_dir, "orders")
     ts = F.col("o_orderdate").cast("timestamp")
-    form = F.col("o_custkey") % 4
+    form = F.substring("o_orderpriority", 1, 1)
     raw = (
-        F.when(form == 0, F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
-        .when(form == 1, F.concat(F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" +0200")))
-        .when(form == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"))
+        F.when(form == "1", F.concat(F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(form == "2", F.concat(F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" +0200")))
+        .when(form == "3", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssXXX"))
         .otherwise(F.concat(F.lit("about "), F.col("o_orderpriority")))
     )
     rows = orders.select("o_orderkey", raw.alias("raw")).withColumn("parsed", text.parse_feed_time(F.col("raw")))
@@ -215,8 +215,8 @@ FROM safe""",
 SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS decoded
 FROM pages""",
     "iso_published": """
-SELECT o_orderkey, CASE o_custkey % 4 WHEN 1 THEN strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S+00:00')
-  WHEN 3 THEN 'about ' || o_orderpriority ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') END AS published
+SELECT o_orderkey, CASE substring(o_orderpriority, 1, 1) WHEN '2' THEN strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S+00:00')
+  WHEN '4' THEN 'about ' || o_orderpriority WHEN '5' THEN 'about ' || o_orderpriority ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00') END AS published
 FROM orders""",
     "note_build": i.with_cte(i.SITE_PAGES, NOTES) + "\nSELECT page_id, note_text FROM rendered",
     "frontmatter_link": i.with_cte(i.SITE_PAGES) + """
