@@ -20,7 +20,12 @@ def present_keys(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFram
 def spread_join(
     rows: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str], how: str
 ) -> DataFrame:
-    """Join rows with a narrow table of unique keys; one key's rows go to several tasks."""
+    """Join rows with a narrow table of unique keys; one key's rows go to several tasks.
+
+    The salt spreads every key over a fixed number of partitions. It also gives
+    both sides a shuffle of their own, so that adaptive execution can split, by
+    measured size, what is still too large. A small table is broadcast by Spark.
+    """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
     return (

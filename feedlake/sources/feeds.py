@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlake import schemas
@@ -50,20 +53,25 @@ def explode_config(config: DataFrame, root: str | None = None) -> DataFrame:
     )
 
 
+def if_present(load: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``load`` reads; None if there is nothing at its path."""
+    try:
+        return load()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def read_config(
     spark: SparkSession, path: str, root: str | None = None, defaults: DataFrame | None = None
 ) -> DataFrame:
     """Feeds of a configuration file; ``defaults`` if there is no such file."""
-    if defaults is not None and not path_exists(spark, path):
-        return defaults
-    config = spark.read.schema(schemas.FEED_CONFIG).option("multiLine", True).json(path)
-    return explode_config(config, root)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists, on whatever file system it names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    reader = spark.read.schema(schemas.FEED_CONFIG).option("multiLine", True)
+    if defaults is None:
+        return explode_config(reader.json(path), root)
+    config = if_present(lambda: reader.json(path))
+    return defaults if config is None else explode_config(config, root)
 
 
 def parse_feed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from feedlake import schemas
 from feedlake.functions import keys, text
 from feedlake.operators.reports import LOG_HEAD
-from feedlake.sources.feeds import path_exists
+from feedlake.sources.feeds import if_present
 from feedlake.sources.snapshots import read_snapshot
 
 
@@ -27,11 +27,13 @@ def note_keys(notes: DataFrame) -> DataFrame:
 
 def read_note_files(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files below a root as ``(vault_folder, note_name, note_text)``."""
-    if not path_exists(spark, root):
+    reader = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True)
+    files = if_present(lambda: reader.text(root, wholetext=True))
+    if files is None:
         return spark.createDataFrame([], "vault_folder string, note_name string, note_text string")
-    files = spark.read.text(
-        root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True
-    ).select(F.col("_metadata.file_path").alias("_uri"), F.col("value").alias("note_text"))
+    files = files.select(
+        F.col("_metadata.file_path").alias("_uri"), F.col("value").alias("note_text")
+    )
     # Paths come back as encoded URIs; '+' is a plain character in them.
     path = F.url_decode(F.replace("_uri", F.lit("+"), F.lit("%2B")))
     below = F.substring_index(path, root.rstrip("/") + "/", -1)
@@ -66,10 +68,8 @@ def write_run_log(lines: DataFrame, path: str, run: str) -> None:
     Runs are named so that they sort by time. Reading the folder by name gives
     the whole log.
     """
-    spark = lines.sparkSession
-    if not path_exists(spark, path):
-        head = spark.createDataFrame([(LOG_HEAD,)], "value string")
-        head.coalesce(1).write.mode("errorifexists").text(f"{path}/0-head")
+    head = lines.sparkSession.createDataFrame([(LOG_HEAD,)], "value string")
+    head.coalesce(1).write.mode("ignore").text(f"{path}/0-head")
     ordered = lines.orderBy(
         "part", F.asc_nulls_first("feed_ord"), F.asc_nulls_first("entry_ord")
     ).select(F.col("line").alias("value"))

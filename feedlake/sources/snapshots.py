@@ -7,18 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from feedlake import schemas
 from feedlake.functions import keys
 from feedlake.operators.stubs import oldest_first
-from feedlake.sources.feeds import path_exists
+from feedlake.sources.feeds import if_present
 
 
 def read_snapshot(
     spark: SparkSession, path: str | None, schema: T.StructType, required: bool = False
 ) -> DataFrame:
     """A written snapshot; empty where none exists, unless it is required."""
-    if path is None or not path_exists(spark, path):
-        if required:
-            raise FileNotFoundError(f"no snapshot at {path}")
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    found = None if path is None else if_present(lambda: spark.read.schema(schema).parquet(path))
+    if found is None and required:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -51,11 +50,11 @@ def read_json_queue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A stub manifest kept as JSON; empty if absent or unreadable, last duplicate wins."""
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], schemas.MANIFEST)
     entry = T.StructType([f for f in schemas.MANIFEST.fields if f.name != "url_key"])
     document = T.StructType([T.StructField("stubs", T.ArrayType(entry))])
-    raw = spark.read.schema(document).option("multiLine", True).json(path)
+    raw = if_present(lambda: spark.read.schema(document).option("multiLine", True).json(path))
+    if raw is None:
+        return spark.createDataFrame([], schemas.MANIFEST)
     rows = (
         raw.select(F.posexplode("stubs").alias("_ord", "s"))
         .filter(F.coalesce("s.url", F.lit("")) != "")
