@@ -30,13 +30,14 @@ DEFAULT_TITLE = "Untitled"
 DEFAULT_KEEP_DAYS = 90
 # ---------------------------------------------------------------------------------
 
-# Date forms found in feeds, besides ISO-8601.
-FEED_DATE_FORMATS = (
-    "d MMM yyyy HH:mm:ss xx",
-    "d MMM yyyy HH:mm:ss zzz",
-    "d MMM yyyy HH:mm xx",
-    "d MMM yyyy HH:mm zzz",
-)
+# Date forms found in feeds besides ISO-8601, by their shape after the week day. The shape
+# picks one form per text: a failed attempt at parsing costs far more than a pattern.
+FEED_DATE_FORMS = {
+    r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d [+-]\d{4}$": "d MMM yyyy HH:mm:ss xx",
+    r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d [A-Za-z]+$": "d MMM yyyy HH:mm:ss zzz",
+    r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d [+-]\d{4}$": "d MMM yyyy HH:mm xx",
+    r"^\d{1,2} [A-Za-z]{3} \d{4} \d\d:\d\d [A-Za-z]+$": "d MMM yyyy HH:mm zzz",
+}
 
 
 def _unescape(texts: pd.Series) -> pd.Series:
@@ -155,9 +156,13 @@ def iso_time(ts: Column) -> Column:
 
 def parse_feed_time(raw: Column) -> Column:
     """Timestamp of a feed date (RFC 822 or ISO-8601); null if it is neither."""
-    day = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3,9},\s*", "")
-    tries = [F.try_to_timestamp(day, F.lit(form)) for form in FEED_DATE_FORMATS]
-    return F.coalesce(*tries, F.try_to_timestamp(F.trim(raw)))
+    text = F.trim(raw)
+    day = F.regexp_replace(text, r"^[A-Za-z]{3,9},\s*", "")
+    tries = [
+        F.when(day.rlike(shape), F.try_to_timestamp(day, F.lit(form)))
+        for shape, form in FEED_DATE_FORMS.items()
+    ]
+    return F.coalesce(*tries, F.try_to_timestamp(text))
 
 
 def published_text(parsed: Column, raw: Column) -> Column:

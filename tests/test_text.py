@@ -78,6 +78,10 @@ def test_iso_time(value):
         ("Fri, 20 Mar 2026 12:00:00 GMT", "2026-03-20T12:00:00+00:00"),
         ("Fri, 20 Mar 2026 14:00:00 +0200", "2026-03-20T12:00:00+00:00"),
         ("2 Jan 2024 03:04:05 EST", "2024-01-02T08:04:05+00:00"),
+        ("20 Mar 2026 12:00 +0000", "2026-03-20T12:00:00+00:00"),
+        ("Friday, 20 Mar 2026 12:00 UT", "2026-03-20T12:00:00+00:00"),
+        ("31 Feb 2026 12:00:00 GMT", "31 Feb 2026 12:00:00 GMT"),
+        ("1 Foo 2026 12:00:00 GMT", "1 Foo 2026 12:00:00 GMT"),
         ("2026-03-20T12:00:00Z", "2026-03-20T12:00:00+00:00"),
         ("2026-03-20T14:00:00+02:00", "2026-03-20T12:00:00+00:00"),
         ("last week", "last week"),
