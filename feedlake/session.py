@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,14 +31,12 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def state_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` for one run's written state.
+    """A fresh folder for one run's written state, in a place all executors share.
 
-    Only a local session may go without that setting; on a cluster a folder of
-    one machine would be lost with it, so the setting is required there.
+    The place is ``spark.checkpoint.dir``, or the warehouse where that is unset. The
+    folder may be removed once the results that were read from it are written.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="feedlake-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/state"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
