@@ -1,8 +1,9 @@
 """The registered queries of this subpackage."""
 
-from feedlake.llm import chat, line_dedup
+from feedlake.llm import chat, line_dedup, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_chat_format": chat.op4_chat_format,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
