@@ -47,12 +47,12 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about SLICE_BYTES of text each."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes of text each."""
     _, offsets = utf8(batch.column(text))
     at = 0
     while at < batch.num_rows:
-        upto = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1
+        upto = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         upto = min(max(upto, at + 1), batch.num_rows)
         yield batch.slice(at, upto - at)
         at = upto

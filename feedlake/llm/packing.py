@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from feedlake.llm import tokens
+from feedlake.llm import bytescan, tokens
 from feedlake.llm.common import documents, staged
 
 CAPACITY = 2048
@@ -119,10 +119,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId(), Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in bytescan.slices(whole, size=tokens.BATCH_BYTES)):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            all_ids, offsets = encode(batch.column("text"))
+            for doc_id, begin, upto in zip(batch.column(0).to_pylist(), offsets, offsets[1:]):
+                ids = all_ids[begin:upto].tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4
@@ -149,6 +150,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys = (plan[:, 0] << 48) + plan[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.release()
         for batch in batches:
             length, number = (batch.column(name).to_numpy() for name in ("length", "number"))
             row = plan[np.searchsorted(keys, (length << 48) + number, side="right") - 1]

@@ -1,25 +1,31 @@
-"""Token ids of whole texts by a public tokenizer, with the pieces of common text cached.
+"""Token ids of whole texts by a public tokenizer, each distinct piece of a batch looked up once.
 
-A text is cut where neither tokenizer can join what stands on both sides, the pieces are
-looked up, and only new ones reach the tokenizer. Texts for which that cut is not proven
-(white space in runs or of rare kinds) go to the tokenizer whole. The ids equal those of ``encode(text,
-add_special_tokens=False)`` with ``encode_special_tokens`` set, so the strings of special
-tokens are ordinary text.
+Texts are cut where the tokenizer can join nothing that stands on both sides, Arrow numbers the
+distinct pieces of a batch, and only pieces that are new to the process reach the tokenizer.
+Texts for which that cut is not proven (white space in runs or of rare kinds) go to the
+tokenizer whole. The ids equal those of ``encode(text, add_special_tokens=False)`` with
+``encode_special_tokens`` set, so the strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000  # of one Python worker; at this many the cache starts again
+BATCH_BYTES = 1 << 23  # of text that is cut and numbered at a time
+CACHE_PIECES = 500_000  # of one Python worker; at this many the cache starts again
 
-# White space other than single blanks and line feeds between words.
-_ODD = regex.compile(
-    r"^\s|\s$|\s\s|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space other than single blanks and line feeds between words; NUL marks the cuts.
+_ODD = (
+    r"^\s|\s$|\s\s|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+_MARK = r"([A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:|&*%$#])"
 # Pieces of these characters are cut and mapped to bytes here; they have no normal form but
 # their own and their lower case is one character.
 _PLAIN = regex.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
@@ -40,7 +46,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """``encode`` gives the ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of texts by one tokenizer file, with caches that are bounded by CACHE_PIECES."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,41 +54,51 @@ class Encoder:
         self.lower = self.tokenizer.normalizer is not None
         self.parts = _WORD_PARTS if self.lower else _BYTE_PARTS
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = _Pieces(self)
 
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, part: str) -> bytes:
-        found = self.words.get(part)
-        if found is None:
-            letters = "".join(map(self.letters.__getitem__, part.encode()))
-            found = pack([token.id for token in self.tokenizer.model.tokenize(letters)])
-            if len(part) <= 32:
-                if len(self.words) >= CACHE_PIECES:
-                    self.words.clear()
-                self.words[part] = found
-        return found
+        letters = "".join(map(self.letters.__getitem__, part.encode()))
+        return pack([token.id for token in self.tokenizer.model.tokenize(letters)])
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and the offsets between them."""
+        texts = texts.fill_null("")
         if self.lower:
-            # This kind drops white space: blanks and line feeds stand between pieces anywhere.
-            pieces = text.replace("\n", " ").split(" ")
-        elif _ODD.search(text):
-            return self.whole(text)
+            # This kind drops white space, so blanks and line feeds are cuts anywhere.
+            odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+            for mark in (" ", "\n"):
+                plain = pc.replace_substring(plain, mark, "\0")
         else:
-            # Each piece but the first begins with its blank or line feed.
-            pieces = text.replace("\n", " \n").split(" ")
-            if len(pieces) > 1:
-                head = self.first(pieces[0])
-                return head + b"".join(map(self.pieces.__getitem__, pieces[1:]))
-            return self.first(text)
-        return b"".join(map(self.pieces.__getitem__, pieces))
-
-    def first(self, piece: str) -> bytes:
-        """A piece with nothing before it."""
-        return self.cut(piece) if piece else b""
+            # A piece begins with the blank or line feed before it.
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+            for mark in (" ", "\n"):
+                plain = pc.replace_substring(plain, mark, "\0" + mark)
+        # A mark after a letter or digit begins a new word for both kinds.
+        plain = pc.replace_substring_regex(plain, _MARK, "\\1\0\\2")
+        pieces = pc.split_pattern(plain, "\0")
+        numbered = pieces.flatten().dictionary_encode()
+        which = numbered.indices.to_numpy(zero_copy_only=False)
+        found = list(map(self.pieces.__getitem__, numbered.dictionary.to_pylist()))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(size) - size
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        shift = np.repeat(begin[which] - upto[:-1], n)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.arange(upto[-1]) + shift]
+        ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        offsets = upto[ends]
+        if odd.any():
+            parts = np.split(ids, offsets[1:-1])
+            for i in np.flatnonzero(odd):
+                parts[i] = np.frombuffer(self.whole(texts[int(i)].as_py()), dtype="<u4")
+            ids = np.concatenate(parts)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, offsets
 
     def cut(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
@@ -96,10 +112,7 @@ class _Pieces(dict):
         self.encoder = encoder
 
     def __missing__(self, piece: str) -> bytes:
-        if self.encoder.lower:
-            found = self.encoder.cut(piece) if piece else b""
-        else:
-            found = self.encoder.cut(piece if piece.startswith("\n") else " " + piece)
+        found = self.encoder.cut(piece) if piece else b""
         if len(piece) <= 48:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -114,6 +127,11 @@ def pack(ids: list[int]) -> bytes:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Drop the encoders of this process: later steps of its worker need the memory."""
+    _ENCODERS.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this process; it outlives a task, as the worker does."""
     if path not in _ENCODERS:
