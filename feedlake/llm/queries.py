@@ -1,14 +1,16 @@
 """The registered queries of this subpackage."""
 
-from feedlake.llm import chat, fingerprints, jaccard, line_dedup, packing, token_files
+from feedlake.llm import chat, decontaminate, fingerprints, jaccard, line_dedup, packing, suffix_dedup, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_chat_format": chat.op4_chat_format,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_token_files": token_files.op6_token_files,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op4_chat_format": chat.OP4_SQL,

@@ -58,14 +58,7 @@ def suffix_array(text: bytes) -> list[int]:
     return order
 
 
-def common_prefixes(text: bytes, order: list[int], limits: list[int], enough: int) -> list[bool]:
-    """Whether each suffix and the one before it in order share ``enough`` bytes.
-
-    ``limits`` tell how many bytes each position may count.
-    """
-    shared = [False] * len(order)
-    for k in range(1, len(order)):
-        i, j = order[k - 1], order[k]
-        if limits[i] >= enough and limits[j] >= enough:
-            shared[k] = text[i : i + enough] == text[j : j + enough]
-    return shared
+def common_prefixes(text: bytes, order: list[int], enough: int) -> list[bool]:
+    """Whether each suffix and the one before it in order share ``enough`` bytes."""
+    heads = [text[i : i + enough] for i in order]
+    return [False, *(a == b for a, b in zip(heads, heads[1:]))][: len(order)]
