@@ -1,6 +1,18 @@
 """The registered queries of this subpackage."""
 
-from feedlake.llm import chat, decontaminate, fingerprints, jaccard, line_dedup, packing, suffix_dedup, token_files
+import corpus_pipeline
+from feedlake.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    jaccard,
+    line_dedup,
+    packing,
+    quality,
+    suffix_dedup,
+    token_files,
+    toxicity,
+)
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,8 +21,11 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_token_files": token_files.op6_token_files,
+    "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_chat_format": chat.OP4_SQL,
