@@ -5,9 +5,9 @@ windows of twice the longest item of a shard with a step of its length, so each
 where an item may stand lies whole in one. An item's score for a passage is the sum of its BM25
 weights over the item's words that the passage has, as a share of its sum over all its
 words; all items of at least ``MIN_SCORE`` are retrieved. Postings of a word are in blocks of ``BLOCK``
-items with the largest share in each. Windows whose words cannot reach the score with their best
-blocks are left out by running sums over the whole slice. For the others WAND walks the
-postings: the lists are kept by their next item, the pivot is the first item at which the
+items with the largest share in each. For all passages of a slice at once, the best shares of each
+block are summed over the passage's distinct words; where no block can reach the score,
+nothing is retrieved. For the others WAND walks the postings: the lists are kept by their next item, the pivot is the first item at which the
 lists' best shares reach the score, and a pivot whose blocks fall short is skipped up to the
 end of the nearest block.
 
@@ -41,7 +41,7 @@ RUN = 5
 MIN_OVERLAP = 0.8
 MIN_PART = 0.5
 MIN_SCORE = 0.6
-BLOCK = 8  # items in a block of postings
+BLOCK = 2  # items in a block of postings
 SHARD = 4096  # items of one index
 K1, B = 1.2, 0.75
 SLICE = 1 << 20
@@ -107,6 +107,16 @@ class Index:
             [max(s for _, s in p[i : i + BLOCK]) for i in range(0, len(p), BLOCK)] for p in self.postings
         ]
         self.best = np.array([max(blocks) for blocks in self.block_best])
+        # All blocks of all terms in one list, for sums over many passages at once.
+        self.n_blocks = -(-len(self.items) // BLOCK)
+        grouped = [{} for _ in self.postings]
+        for blocks, p in zip(grouped, self.postings):
+            for number, share in p:
+                blocks[number // BLOCK] = max(blocks.get(number // BLOCK, 0.0), share)
+        self.flat_size = np.array([len(b) for b in grouped], dtype=np.int64)
+        self.flat_begin = np.cumsum(self.flat_size) - self.flat_size
+        self.flat_block = np.array([k for b in grouped for k in b], dtype=np.int64)
+        self.flat_share = np.array([v for b in grouped for v in b.values()])
         self.longest = max((len(item.words) for item in self.items), default=0)
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
@@ -187,24 +197,43 @@ def build_indexes(rows: list[Row]) -> list[Index]:
 
 
 def matches(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
-    """(row, item, score, overlaps) of the texts of a slice that have an item."""
+    """(row, item, score, overlaps) of the texts of a slice that have an item.
+
+    A passage is two neighbouring segments of the longest item's length.
+    """
     if not index.longest or not len(hashes):
         return
-    number = index.look_up(hashes)
-    share = np.where(number >= 0, index.best[number], 0.0)
-    sums = np.concatenate([[0.0], np.cumsum(share)])
-    step = index.longest
+    number, step = index.look_up(hashes), index.longest
     n_words = np.diff(first)
-    n_windows = np.where(n_words > 0, np.maximum(-(-(n_words - step) // step), 1), 0)
-    row = np.repeat(np.arange(len(n_words)), n_windows)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    n_segments = -(-n_words // step)
+    row = np.repeat(np.arange(len(n_words)), n_segments)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(n_segments) - n_segments, n_segments)
     begin = first[row] + nth * step
+    last = nth == n_segments[row] - 1
     end = np.minimum(begin + 2 * step, first[row + 1])
-    for k in np.flatnonzero(sums[end] - sums[begin] >= MIN_SCORE - 1e-6):
+    known = np.flatnonzero(number >= 0)
+    segment = np.searchsorted(begin, known, side="right") - 1
+    pairs = np.unique(segment * len(index.terms) + number[known])
+    segment, term = np.divmod(pairs, len(index.terms))
+    possible = np.zeros(len(begin), dtype=bool)
+    width = max(1, (1 << 21) // max(index.n_blocks, 1))
+    cuts = np.searchsorted(segment, np.arange(0, len(begin) + width, width))
+    carried = np.zeros(index.n_blocks)
+    for at in reversed(range(len(cuts) - 1)):
+        low = at * width
+        n = min(width, len(begin) - low)
+        own_segment, own_term = segment[cuts[at] : cuts[at + 1]] - low, term[cuts[at] : cuts[at + 1]]
+        size = index.flat_size[own_term]
+        place = np.arange(size.sum()) + np.repeat(index.flat_begin[own_term] - (np.cumsum(size) - size), size)
+        cell = np.repeat(own_segment, size) * index.n_blocks + index.flat_block[place]
+        bound = np.bincount(cell, index.flat_share[place], n * index.n_blocks).reshape(n, -1)
+        following = np.concatenate([bound[1:], carried[None]])
+        following[last[low : low + n]] = 0
+        possible[low : low + n] = (bound + following).max(axis=1) >= MIN_SCORE - 1e-6
+        carried = bound[0]
+    for k in np.flatnonzero(possible):
         own = number[begin[k] : end[k]]
         terms = np.unique(own[own >= 0])
-        if index.best[terms].sum() < MIN_SCORE - 1e-6:
-            continue
         window = None
         for number_, score in index.retrieve(terms.tolist(), MIN_SCORE):
             item = index.items[number_]
