@@ -13,7 +13,7 @@ A document's score is 1 - Π(1 - p) over the marginals of its words, as bent by
 curve that is fitted to the training labels; its spans are the words of p ≥ 0.5.
 
 Training takes at most ``SAMPLE`` labelled rows of each label, those with the least hash of
-their id; a row may train if crc32(doc_id as text) mod 5 is not 0. Every row is scored, on its
+their id and texts of LONGEST characters at most; a row may train if crc32(doc_id as text) mod 5 is not 0. Every row is scored, on its
 whole text. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have no words and the score of a text without toxic words;
@@ -35,7 +35,8 @@ from feedlake.llm.common import documents
 from feedlake.llm.decontaminate import word_hashes
 from feedlake.llm.quality import fold, least_hashed
 
-SAMPLE = 4_000
+SAMPLE = 1_500
+LONGEST = 50_000  # characters of a row that may train; any length is scored
 FOLDS, HELD_OUT = 5, 0
 LEAST_DOCS = 4  # toxic training documents a toxic token must occur in
 LEAST_LIFT = 4.0  # how much likelier a toxic document has it
@@ -239,6 +240,8 @@ def calibrate(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[f
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     allowed = F.coalesce(fold(FOLDS) != HELD_OUT, F.lit(False))
     known = labels.filter(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    fits = docs.filter(F.length("text") <= LONGEST).select("doc_id").distinct()
+    known = known.join(fits, "doc_id", "left_semi")
     chosen = least_hashed(known.filter("toxic = 1"), SAMPLE).unionByName(least_hashed(known.filter("toxic = 0"), SAMPLE))
     totals = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
