@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.llm import bytescan
-from feedlake.llm.common import NO_ID, doc_key, documents, staged
+from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of
 from feedlake.llm.components import components
 
 MAX_FREQUENT = 1 << 16  # of the counted shingles; more would only shorten lists further
@@ -123,8 +123,9 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             linked = (100 * same >= percent * (n_left + n_right - same)) & (same > 0)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    texts = docs.select(doc_key().alias("a"), F.col("text").alias("text_a"))
-    other = docs.select(doc_key().alias("b"), F.col("text").alias("text_b"))
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    found = texts_of(docs, both)
+    texts, other = found.toDF("a", "text_a"), found.toDF("b", "text_b")
     met = pairs.join(texts, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(check, "a long, b long").distinct()
 
