@@ -5,8 +5,9 @@ In every string of ``length`` bytes the ``GRAM``-byte gram with the least hash i
 strings have it at one offset. The bytes around an anchor within which such strings lie are
 its context. Anchors that occur once are dropped. Anchors with one context in several places
 need no sorting: all places but the first are removed whole. Of anchors with several
-contexts, the first place of each context sends its bytes, and the contexts of an anchor are
-sorted as one text, their suffixes grouped under Lyndon prefixes (see suffix_sort). In runs
+contexts, the first place of each context sends its bytes. They are trimmed to what some other
+context of the anchor shares on that side, those that are left too short drop out, and the rest
+are sorted as one text, their suffixes grouped under Lyndon prefixes (see suffix_sort). In runs
 of suffixes that share ``length`` bytes all but the earliest start are removed.
 
 An anchor with more than ``MOST`` contexts, such as a line that a third of all documents have,
@@ -26,6 +27,7 @@ need not be whole characters; other columns are ignored; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,8 @@ from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of, who
 from feedlake.llm.suffix_sort import common_prefixes, suffix_array
 
 LENGTH = 100
-GRAM = 32
-MOST = 64  # contexts of one anchor in one suffix array
+GRAM = 50
+MOST = 2048  # contexts of one anchor in one suffix array
 SLICE = 1 << 19
 
 ANCHORS = "anchor long, context long, doc long, pos long"
@@ -108,8 +110,8 @@ def anchor_rows(docs: DataFrame, length: int, wanted: list[str]) -> DataFrame:
 
 
 def context_bytes(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
-    """anchor, n, doc, first (position of the first byte) and bytes of the needed contexts."""
-    schema = "anchor long, n long, doc long, first long, bytes binary"
+    """anchor, n, doc, first (position of the first byte), at (of the anchor in it) and bytes of the needed contexts."""
+    schema = "anchor long, n long, doc long, first long, at long, bytes binary"
     side = length - GRAM
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,27 +122,60 @@ def context_bytes(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
                 for place in places.as_py():
                     pos = place["pos"]
                     first = max(0, pos - side)
-                    rows.append((place["anchor"], place["n"], doc, first, text[first : pos + GRAM + side]))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "n", "doc", "first", "bytes"])
+                    rows.append((place["anchor"], place["n"], doc, first, pos - first, text[first : pos + GRAM + side]))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "n", "doc", "first", "at", "bytes"])
 
     by_doc = needed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "n", "pos")).alias("places"))
     return texts_of(docs, needed).join(by_doc, "doc").select("doc", "text", "places").mapInArrow(read, schema)
 
 
+def shared_prefix(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share from their start on."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        half = (low + high + 1) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half - 1
+    return low
+
+
+def reaches(parts: list[bytes]) -> list[int]:
+    """How far each string agrees with the one of the others that agrees with it longest."""
+    order = sorted(range(len(parts)), key=parts.__getitem__)
+    near = [shared_prefix(parts[i], parts[j]) for i, j in zip(order, order[1:])]
+    out = [0] * len(parts)
+    for i, before, after in zip(order, [0, *near], [*near, 0]):
+        out[i] = max(before, after)
+    return out
+
+
+def trimmed(group: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
+    """The parts of contexts that may hold a shared string: around the anchor, as far as any other agrees."""
+    before = reaches([part[:at][::-1] for _, _, at, part in group])
+    after = reaches([part[at + GRAM :] for _, _, at, part in group])
+    return [
+        (doc, first + at - left, part[at - left : at + GRAM + right])
+        for (doc, first, at, part), left, right in zip(group, before, after)
+        if left + GRAM + right >= length
+    ]
+
+
 def repeats_in(group: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int]]:
     """(doc, start) of all strings of ``length`` bytes that start earlier in the group.
 
     The group has (doc, position of the first byte, bytes) of each context.
     """
-    text, owner, limits = b"", [], []
-    for k, (_, _, part) in enumerate(group):
-        # Contexts are joined by a zero byte; strings are counted up to the end of theirs.
-        owner += [(k, i) for i in range(len(part) + 1)]
-        limits += [*range(len(part), 0, -1), 0]
-        text += part + b"\0"
-    order = [i for i in suffix_array(text) if limits[i] >= length]
+    # Contexts are joined by a zero byte; strings are counted up to the end of theirs.
+    text, begins, valid = b"".join(part + b"\0" for _, _, part in group), [], bytearray()
+    for _, _, part in group:
+        begins.append(len(valid))
+        fit = max(len(part) - length + 1, 0)
+        valid += b"\1" * fit + b"\0" * (len(part) + 1 - fit)
+    order = [i for i in suffix_array(text) if valid[i]]
     shared = common_prefixes(text, order, length)
     found, at = [], 0
     while at < len(order):
@@ -150,8 +185,8 @@ def repeats_in(group: list[tuple[int, int, bytes]], length: int) -> list[tuple[i
         if upto - at > 1:
             starts = []
             for i in order[at:upto]:
-                k, inner = owner[i]
-                starts.append((group[k][0], group[k][1] + inner))
+                k = bisect_right(begins, i) - 1
+                starts.append((group[k][0], group[k][1] + i - begins[k]))
             first = min(starts)
             found += [s for s in starts if s != first]
         at = upto
@@ -175,24 +210,28 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, anchor, spans = [], None, []
 
+        def spans_of(group: list[tuple]) -> list[tuple[int, int, int]]:
+            parts = trimmed(group, length) if len(group) > 1 else []
+            return merged(repeats_in(parts, length), length) if len(parts) > 1 else []
+
         def done() -> pa.RecordBatch:
             columns = list(zip(*spans)) if spans else [[]] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "begin", "upto"])
 
         for batch in batches:
-            for own, doc, first, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "first", "bytes"))):
+            for own, doc, first, at, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "first", "at", "bytes"))):
                 if own != anchor:
-                    spans += merged(repeats_in(group, length), length) if len(group) > 1 else []
+                    spans += spans_of(group)
                     group, anchor = [], own
-                group.append((doc, first, part))
+                group.append((doc, first, at, part))
             yield done()
             spans = []
-        spans += merged(repeats_in(group, length), length) if len(group) > 1 else []
+        spans += spans_of(group)
         yield done()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "doc", "first", "bytes").mapInArrow(read, SPANS)
+    dealt = contexts.select("anchor", "doc", "first", "at", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(read, SPANS)
 
 
 def single_strings(contexts: DataFrame, length: int) -> DataFrame:
@@ -224,6 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, begin and upto of all bytes to remove; spans may overlap and pass a text's ends."""
     side = length - GRAM
     repeated = anchor_rows(docs, length, ["anchor"]).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    repeated = staged(repeated, "anchors-repeated")
     places = staged(anchor_rows(docs, length, ["anchor", "context", "doc", "pos"]).join(repeated, "anchor"), "anchors")
     first = places.groupBy("anchor", "context").agg(F.min(F.struct("doc", "pos")).alias("first"))
     first = staged(first.select("anchor", "context", "first.*"), "contexts")
@@ -246,8 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, ``kept`` (the bytes left), n_bytes, n_removed and n_spans of every row."""
-    spans = staged(repeated_spans(docs, length), "spans")
-    per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("begin", "upto")).alias("spans"))
+    per_doc = repeated_spans(docs, length).groupBy("doc").agg(F.collect_list(F.struct("begin", "upto")).alias("spans"))
     copies = docs.select(doc_key().alias("doc"), F.xxhash64(whole_text()).alias("copy"))
     mixed = copies.groupBy("doc").agg(F.min("copy").alias("low"), F.max("copy").alias("high")).filter("low != high")
     per_doc = per_doc.join(mixed, "doc", "left_anti")
