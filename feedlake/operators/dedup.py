@@ -13,13 +13,13 @@ from feedlake.operators.stubs import NOTE
 def discover_new(entries: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """First sighting of each URL that the queue does not know, pending or synced.
 
-    Reducing the batch to one row per key comes first: then both sides of the anti
-    join hold each key once.
+    The batch is reduced to one row per key first; its keys then pick what the anti
+    join needs of the queue.
     """
     keyed = with_url(entries, "link").withColumn("_key", keys.discovery_key(F.col("link")))
     first = joins.first_per_key(keyed, ["_key"], order)
-    tracked = joins.distinct_keys(known, keys.discovery_key(F.col("url")), "_key")
-    return first.join(tracked, "_key", "left_anti").drop("_key")
+    tracked = known.select(keys.discovery_key(F.col("url")).alias("_key"))
+    return first.join(joins.present_keys(keyed, tracked, ["_key"]), "_key", "left_anti").drop("_key")
 
 
 def unseen(rows: DataFrame, notes: DataFrame, spread_by: list[str]) -> DataFrame:

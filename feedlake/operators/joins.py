@@ -10,11 +10,11 @@ SALTS = 16
 def present_keys(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys of ``rows`` that also occur in ``known``.
 
-    Both sides are reduced to distinct keys before their shuffle, so the size of
-    either side's hottest key does not matter, and the result is never larger
-    than the batch.
+    The keys of the batch reduce the known side before anything else is done with
+    it: where they are few, Spark broadcasts them and the known side is not shuffled.
     """
-    return rows.select(*keys).distinct().join(known.select(*keys).distinct(), keys, "left_semi")
+    wanted = rows.select(*keys).distinct()
+    return known.select(*keys).join(wanted, keys, "left_semi").distinct()
 
 
 def spread_join(

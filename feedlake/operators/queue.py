@@ -101,16 +101,15 @@ def queue_records(entries: DataFrame, run_ts, keep: list[str] | None = None) ->
 def append(queue: DataFrame, records: DataFrame, seq: str) -> DataFrame:
     """Queue followed by new records in the order of ``seq``, numbered on from its last row.
 
-    The last position enters the chunked running total as the value of one row
-    that sorts before all records; nothing is numbered in one task.
+    The last position enters the running total as the value of one row, marked as
+    such, whose null ``seq`` sorts before all records.
     """
-    base = queue.agg((F.coalesce(F.max("queue_ord"), F.lit(-1)) + 1).alias("_step")).select(
-        F.lit(-1).cast("long").alias(seq), "_step"
-    )
-    steps = records.withColumn("_step", F.lit(1).cast("long")).unionByName(
+    base = queue.agg((F.coalesce(F.max("queue_ord"), F.lit(-1)) + 1).alias("_step"))
+    base = base.select(F.lit(None).cast(records.schema[seq].dataType).alias(seq), "_step", F.lit(True).alias("_is_base"))
+    steps = records.withColumns({"_step": F.lit(1).cast("long"), "_is_base": F.lit(False)}).unionByName(
         base, allowMissingColumns=True
     )
-    placed = running_total(steps, [], [seq], "_total", F.col("_step")).filter(F.col(seq) >= 0)
+    placed = running_total(steps, [], [seq], "_total", F.col("_step")).filter(~F.col("_is_base"))
     fresh = placed.withColumn("queue_ord", F.col("_total") - 1)
     return queue.unionByName(fresh.select(*queue.columns))
 

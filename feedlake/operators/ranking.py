@@ -1,9 +1,9 @@
 """Order-dependent numbering that holds when one key has a third of all rows.
 
-A plain window puts all rows of a key into one task. Where a key may have more
-rows than a task should take, its rows are first cut into chunks of their order
-column; chunk totals are aggregated before any shuffle, only these totals are
-windowed per key, and the rows themselves are windowed per (key, chunk).
+A plain window puts all rows of a key into one task. Here the order columns are
+cut into digits, coarse to fine. Rows are windowed per (key, all digits), where
+at most 2^20 values of the last order column meet; totals per digit are formed
+by aggregates, with partial results before the shuffle, and summed level by level.
 """
 
 from __future__ import annotations
@@ -11,66 +11,96 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-CHUNK_BITS = 20  # a chunk covers 2^20 consecutive values of the order column
-SEQ_BITS = 40  # room for the position within a feed in a combined sequence
+DIGIT_BITS = 20  # a digit spans 2^20 values of the next finer one
+LEAST = -(1 << 63)  # digit of a missing order value, which sorts first
 
 
 def sequence_of(feed_ord: Column, entry_ord: Column) -> Column:
-    """One long that sorts entries by feed, then by position in the feed."""
-    return F.shiftleft(feed_ord.cast("long"), SEQ_BITS) + entry_ord
+    """What sorts and identifies an entry: its feed and its position in the feed."""
+    return F.struct(feed_ord.cast("long").alias("feed_ord"), entry_ord.cast("long").alias("entry_ord"))
 
 
-def groups_fit(rows: DataFrame, keys: list[str]) -> bool:
-    """Whether every key has few enough rows for a plain window (runs one small job)."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
-    return (sizes.first()["n"] or 0) <= 1 << CHUNK_BITS
+def order_longs(rows: DataFrame, order: list[str]) -> list[str]:
+    """The order columns, a struct of longs as its fields."""
+    found = []
+    for name in order:
+        kind = rows.schema[name].dataType
+        found += [f"{name}.{field}" for field in kind.names] if isinstance(kind, T.StructType) else [name]
+    return found
+
+
+def order_digits(columns: list[str]) -> dict[str, Column]:
+    """Digits of long order columns, coarse to fine; each is unique only below those before it.
+
+    The finest digit leaves the low bits of the last column to the rows themselves.
+    """
+    *upper, last = columns
+    shifts = [(name, bits) for name in upper for bits in (DIGIT_BITS, 0)]
+    shifts += [(last, bits) for bits in ((DIGIT_BITS,) if upper else (2 * DIGIT_BITS, DIGIT_BITS))]
+    return {
+        f"_digit_{n}": F.coalesce(F.shiftright(F.col(name).cast("long"), bits), F.lit(LEAST))
+        for n, (name, bits) in enumerate(shifts)
+    }
+
+
+def totals_before(totals: DataFrame, keys: list[str], digits: list[str]) -> DataFrame:
+    """``_offset``: the sum of ``_total`` over all earlier digits of the key.
+
+    Siblings below one coarser digit are windowed, 2^20 at most; what comes before
+    that digit is known from the level above. A key's list of coarsest digits is
+    short: one covers a million feeds, or 2^40 values of a single order column.
+    """
+    if len(digits) == 1:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(digits[0]).alias("digit"), F.col("_total").alias("total"))))
+        each = totals.groupBy(*keys).agg(ordered.alias("_all")) if keys else totals.agg(ordered.alias("_all"))
+        earlier = F.transform(
+            "_all",
+            lambda one, at: F.struct(
+                one["digit"].alias(digits[0]),
+                F.aggregate(F.slice("_all", F.lit(1), at), F.lit(0).cast("long"), lambda s, x: s + x["total"]).alias("_offset"),
+            ),
+        )
+        return each.select(*keys, F.inline(earlier))
+    prefix = [*keys, *digits[:-1]]
+    upper = totals.groupBy(*prefix).agg(F.sum("_total").alias("_total"))
+    base = totals_before(upper, keys, digits[:-1]).withColumnRenamed("_offset", "_base")
+    before = Window.partitionBy(*prefix).orderBy(digits[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum("_total").over(before), F.lit(0))
+    return (
+        totals.withColumn("_here", here)
+        .join(base, prefix)
+        .select(*prefix, digits[-1], (F.col("_base") + F.col("_here")).alias("_offset"))
+    )
 
 
 def running_total(
-    rows: DataFrame,
-    keys: list[str],
-    order: list[str],
-    out: str,
-    value: Column | None = None,
-    bounded: bool = False,
+    rows: DataFrame, keys: list[str], order: list[str], out: str, value: Column | None = None
 ) -> DataFrame:
     """Add the inclusive running total of ``value`` (default 1) per key.
 
-    ``keys`` must not be null. ``order[0]`` must be a long; its values, or those
-    of all order columns together, must be unique within a key. ``bounded`` says
-    that no key has more rows than a chunk may have.
+    ``keys`` must not be null. The order columns must be longs or structs of longs,
+    and unique together within a key.
     """
     value = (F.lit(1) if value is None else value).cast("long")
-    whole = Window.unboundedPreceding
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(whole, Window.currentRow)
-        return rows.withColumn(out, F.sum(value).over(window))
-    chunked = rows.withColumns(
-        {"_value": value, "_chunk": F.shiftright(F.col(order[0]), CHUNK_BITS)}
-    )
-    chunk_keys = [*keys, "_chunk"]
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(whole, -1)
-    offsets = (
-        chunked.groupBy(*chunk_keys)
-        .agg(F.sum("_value").alias("_total"))
-        .select(*chunk_keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    )
-    within = Window.partitionBy(*chunk_keys).orderBy(*order).rowsBetween(whole, Window.currentRow)
+    digits = order_digits(order_longs(rows, order))
+    groups = [*keys, *digits]
+    marked = rows.withColumns({"_value": value, **digits})
+    totals = marked.groupBy(*groups).agg(F.sum("_value").alias("_total"))
+    offsets = totals_before(totals, keys, list(digits))
+    within = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        chunked.withColumn("_here", F.sum("_value").over(within))
-        .join(offsets, chunk_keys)
+        marked.withColumn("_here", F.sum("_value").over(within))
+        .join(offsets, groups)
         .withColumn(out, F.col("_offset") + F.col("_here"))
-        .drop("_value", "_chunk", "_here", "_offset")
+        .drop("_value", "_here", "_offset", *digits)
     )
 
 
-def numbered(
-    rows: DataFrame, keys: list[str], order: list[str], out: str, bounded: bool = False
-) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """Add the row number per key, starting at 1."""
-    return running_total(rows, keys, order, out, bounded=bounded)
+    return running_total(rows, keys, order, out)
 
 
 def first_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -139,16 +169,6 @@ class AssetNames(NameStyle):
         return F.when(number == 0, name).otherwise(numbered_name)
 
 
-def names_with_bases(names: DataFrame, name: str, style: NameStyle) -> DataFrame:
-    """Each name under itself and under the name it is a numbered form of.
-
-    Groups of these are at least as large as any that the numbering forms.
-    """
-    base = F.nullif(style.base_of(F.col(name)), F.lit(""))
-    others = [column for column in names.columns if column != name]
-    return names.select(*others, F.explode(F.array_compact(F.array(F.col(name), base))).alias(name))
-
-
 def assign_names(
     rows: DataFrame,
     taken: DataFrame,
@@ -164,27 +184,25 @@ def assign_names(
     another row has that form, so all assigned names differ. The r-th free number
     is r plus the count of reserved numbers t, each with i reserved ones below it,
     for which t - i <= r; that count is a running total over rows and reserved
-    numbers together. Group sizes are measured first: only if one is too large for
-    a task are the totals formed in chunks.
+    numbers together. Of the taken names only those that are, or number, a wanted
+    name take part, and these are found before any shuffle of the taken ones
+    where the wanted names are few.
     """
     keys = [scope, name]
     wanted = rows.select(*keys).distinct()
-    existing = taken.select(*keys).distinct()
-    forms = existing.unionByName(wanted).withColumn("_number", style.number_of(F.col(name)))
-    reserved = (
-        existing.withColumn("_number", F.lit(0).cast("long"))
-        .unionByName(
-            forms.filter(F.col("_number").isNotNull()).withColumn(name, style.base_of(F.col(name)))
-        )
-        .join(wanted, keys, "left_semi")
-        .distinct()
-    )
-    everyone = rows.select(*keys).unionByName(taken.select(*keys))
-    bounded = groups_fit(names_with_bases(everyone, name, style), keys)
-
-    ranked = numbered(rows, keys, order, "_rank", bounded)
+    numbered_form = F.struct(style.base_of(F.col(name)).alias("base"), style.number_of(F.col(name)).alias("_number"))
+    itself = F.struct(F.col(name).alias("base"), F.lit(0).cast("long").alias("_number"))
+    forms = union_all(
+        [
+            taken.select(scope, F.explode(F.array(itself, numbered_form)).alias("_form")),
+            wanted.select(scope, numbered_form.alias("_form")),
+        ]
+    ).select(scope, F.col("_form.base").alias(name), F.col("_form._number").alias("_number"))
+    reserved = forms.filter(F.col("_number").isNotNull()).join(wanted, keys, "left_semi").distinct()
+
+    ranked = numbered(rows, keys, order, "_rank")
     jumps = (
-        numbered(reserved, keys, ["_number"], "_below", bounded)
+        numbered(reserved, keys, ["_number"], "_below")
         .withColumn("_at", F.col("_number") - (F.col("_below") - 1))
         .groupBy(*keys, "_at")
         .agg(F.count("*").alias("_jump"))
@@ -193,11 +211,13 @@ def assign_names(
     placed = ranked.withColumns(
         {"_at": F.col("_rank") - 1, "_is_row": F.lit(1), "_jump": F.lit(0).cast("long")}
     ).unionByName(jumps, allowMissingColumns=True)
-    shifted = running_total(placed, keys, ["_at", "_is_row"], "_jumped", F.col("_jump"), bounded)
+    # At one place a jump counts before a row.
+    placed = placed.withColumn("_place", 2 * F.col("_at") + F.col("_is_row"))
+    shifted = running_total(placed, keys, ["_place"], "_jumped", F.col("_jump"))
     return (
         shifted.filter(F.col("_is_row") == 1)
         .withColumn(out, style.write(F.col(name), F.col("_at") + F.col("_jumped")))
-        .drop("_rank", "_at", "_is_row", "_jump", "_jumped")
+        .drop("_rank", "_at", "_is_row", "_jump", "_place", "_jumped")
     )
 
 

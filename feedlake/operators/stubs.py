@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.functions import keys, text
+from feedlake.operators import joins
 from feedlake.operators.queue import run_time
 
 # --- Fixed value: shortest fallback text that counts as an article --------------
@@ -88,13 +89,11 @@ def upsert(manifest: DataFrame, seen: DataFrame, key: str = "url_key") -> DataFr
 
 def drop_captured(manifest: DataFrame, notes: DataFrame) -> DataFrame:
     """Entries for which no note exists in their folder; no folder means the root."""
-    present = notes.select(
-        F.coalesce("vault_folder", F.lit("")).alias("_folder"), F.col("url_key").alias("_key")
-    ).distinct()
-    here = F.coalesce(manifest["vault_folder"], F.lit(""))
-    return manifest.join(
-        present, (manifest["url_key"] == F.col("_key")) & (here == F.col("_folder")), "left_anti"
-    )
+    here = F.coalesce("vault_folder", F.lit("")).alias("_folder")
+    entries = manifest.withColumn("_folder", here)
+    stored = notes.select(here, "url_key")
+    present = joins.present_keys(entries, stored, ["_folder", "url_key"])
+    return entries.join(present, ["_folder", "url_key"], "left_anti").select(*manifest.columns)
 
 
 def update_manifest(manifest: DataFrame, records: DataFrame, notes: DataFrame, run_ts) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numbering and naming, against sequential models, in plain and in chunked form."""
+"""Numbering and naming, against sequential models, with wide and with narrow digits."""
 
 import random
 
@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from feedlake.operators import ranking
 
 
-@pytest.fixture(params=[20, 1], ids=["plain", "chunked"])
-def chunk_bits(request, monkeypatch):
-    """With 2-row chunks every larger key takes the chunked way."""
-    monkeypatch.setattr(ranking, "CHUNK_BITS", request.param)
+@pytest.fixture(params=[20, 1], ids=["wide", "narrow"])
+def digit_bits(request, monkeypatch):
+    """With 2 values a digit even small keys have many digits on every level."""
+    monkeypatch.setattr(ranking, "DIGIT_BITS", request.param)
     return request.param
 
 
-def test_running_total_with_a_hot_key(spark, chunk_bits):
+def test_running_total_with_a_hot_key(spark, digit_bits):
     rng = random.Random(1)
     data = [("hot" if n % 3 else f"k{n % 7}", n * 5, rng.randrange(9)) for n in range(200)]
     rows = spark.createDataFrame(data, "k string, seq long, v long")
@@ -72,7 +72,7 @@ def asset_form(name, number):
     ],
     ids=["notes", "assets"],
 )
-def test_names_are_the_first_free_ones(spark, chunk_bits, style, form, names):
+def test_names_are_the_first_free_ones(spark, digit_bits, style, form, names):
     rng = random.Random(7)
     rows = [(seq, rng.choice("xy"), names[0] if seq % 3 == 0 else rng.choice(names)) for seq in range(40)]
     taken = [("x", names[1]), ("x", names[0]), ("y", names[2]), ("z", names[0]), ("x", "other")]
@@ -91,3 +91,20 @@ def test_two_and_three_equal_names(spark):
     none = spark.createDataFrame([], "scope string, name string")
     named = ranking.assign_names(rows, none, "scope", "name", ["seq"], ranking.NoteNames(), "given")
     assert [r.given for r in named.orderBy("seq").collect()] == ["T", "T (2)", "T (3)"]
+
+
+def test_feeds_and_positions_of_any_number(spark, digit_bits):
+    feeds = [0, 3, (1 << 23) - 1, 1 << 23, (1 << 24) - 1, 1 << 24, (1 << 41) + 5]
+    data = [("k", feed, at) for feed in feeds for at in (0, 1, 1 << 21, 1 << 41)]
+    rows = spark.createDataFrame(data, "k string, feed_ord long, entry_ord long")
+    rows = rows.withColumn("seq", ranking.sequence_of(F.col("feed_ord"), F.col("entry_ord")))
+    found = ranking.numbered(rows.repartition(3, "entry_ord"), ["k"], ["seq"], "n").collect()
+    assert sorted((r.n, r.feed_ord, r.entry_ord) for r in found) == [(n + 1, *row[1:]) for n, row in enumerate(data)]
+
+
+def test_a_million_feeds_of_one_entry_share_a_key(spark):
+    rows = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * 37).alias("feed_ord"), F.lit(0).alias("at"))
+    rows = rows.withColumn("seq", ranking.sequence_of(F.col("feed_ord"), F.col("at")))
+    found = ranking.numbered(rows, ["k"], ["seq"], "n")
+    wrong = found.filter(F.col("n") != F.col("feed_ord") / 37 + 1)
+    assert found.count() == 1_000_000 and wrong.isEmpty()
