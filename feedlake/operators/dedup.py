@@ -37,15 +37,16 @@ def with_stored_flag(rows: DataFrame, notes: DataFrame, spread_by: list[str]) ->
     return joins.flag_known(rows, notes, ["vault_folder", "url_key"], spread_by, "is_stored")
 
 
-def free_of_earlier_notes(rows: DataFrame, spread_by: list[str]) -> DataFrame:
+def free_of_earlier_notes(
+    rows: DataFrame, spread_by: list[str], taken: DataFrame | None = None
+) -> DataFrame:
     """Drop rows of a later feed whose key an earlier feed wrote in this run.
 
-    Feeds run in their configured order and may share a folder. Only written notes
-    block a later feed; a held-back stub does not.
+    Feeds run in their configured order and may share a folder. Only notes among the
+    rows ``taken`` (all, if not given) block a later feed; a held-back stub does not.
     """
     key = ["vault_folder", "url_key"]
-    writers = (
-        rows.filter(F.col("route") == NOTE).groupBy(*key).agg(F.min("feed_ord").alias("_writer"))
-    )
+    written = (rows if taken is None else taken).filter(F.col("route") == NOTE)
+    writers = written.groupBy(*key).agg(F.min("feed_ord").alias("_writer"))
     free = F.col("_writer").isNull() | (F.col("feed_ord") <= F.col("_writer"))
     return joins.spread_join(rows, writers, key, spread_by, "left").filter(free).drop("_writer")

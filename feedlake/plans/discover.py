@@ -18,19 +18,30 @@ STATED = [
 ]
 
 
+def configured_days(feeds: DataFrame) -> int:
+    """The retention that a configuration states for all its feeds."""
+    if "keep_synced_days" not in feeds.columns:
+        return text.DEFAULT_KEEP_DAYS
+    days = feeds.agg(F.max("keep_synced_days")).first()[0]
+    return text.DEFAULT_KEEP_DAYS if days is None else days
+
+
 def discover(
     feeds: DataFrame,
     entries: DataFrame,
     queue: DataFrame,
     run_ts,
-    keep_days: int = text.DEFAULT_KEEP_DAYS,
+    keep_days: int | None = None,
 ) -> dict[str, DataFrame]:
     """One discovery run over all feeds.
 
     ``entries`` carry the source and parser of their feed. A row that this run
     prunes still counts as known, so its URL is found again on the next run only.
+    Retention is the one of the configuration unless ``keep_days`` gives another.
     The new records are staged, as the queue and the counts both read them.
     """
+    if keep_days is None:
+        keep_days = configured_days(feeds)
     new = dedup.discover_new(entries.select(*STATED), queue, ["feed_ord", "entry_ord"])
     placed = new.withColumn("seq", sequence_of(F.col("feed_ord"), F.col("entry_ord")))
     records = stage(

@@ -77,8 +77,7 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = feed_source.healthy_feeds(rendered_feeds(spark, sf_dir), "xml")
-    return files.select("source", "lang", "window", "n_items")
+    return feed_source.healthy_feeds(rendered_feeds(spark, sf_dir), "xml", ["source", "lang", "window"])
 
 
 def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,9 +12,18 @@ from feedlake import schemas
 from feedlake.functions import text
 from feedlake.operators.joins import spread_join
 
+# A marked section is one unit: no tag or ampersand within it counts.
+SECTION = r"<!\[CDATA\[.*?\]\]>"
+
 # One item (RSS) or entry (Atom), read by itself: a fault elsewhere in its file
-# does not cost the other items.
-ITEM_BLOCK = r"(?s)<(item|entry)(?:\s[^>]*)?>.*?</\1\s*>"
+# does not cost the other items. The possessive loop neither backtracks nor
+# recurses, however long the item is.
+ITEM_BLOCK = (
+    r"(?s)<(item|entry)(?:\s[^>]*)?>(?:[^<]++|" + SECTION + r"|<!--.*?-->|<(?!/\1\s*>))*+</\1\s*>"
+)
+
+# An item cut at its marked sections; an unfinished one is plain text.
+ITEM_PIECES = r"(?s)" + SECTION + r"|(?:[^<]++|<(?!!\[CDATA\[))++|<"
 
 BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"
 
@@ -74,29 +84,39 @@ def read_config(
     return defaults if config is None else explode_config(config, root)
 
 
-def parse_feed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
-    """Entries of whole feed files, in file order.
+def with_plain_ampersands(block: Column) -> Column:
+    """Ampersands that start no XML entity as text; marked sections stay as they are."""
+    pieces = F.regexp_extract_all(block, F.lit(ITEM_PIECES), F.lit(0))
+    repaired = F.transform(
+        pieces,
+        lambda piece: F.when(piece.startswith("<![CDATA["), piece).otherwise(
+            F.regexp_replace(piece, BARE_AMPERSAND, "&amp;")
+        ),
+    )
+    return F.when(block.contains("&"), F.array_join(repaired, "")).otherwise(block)
 
-    A malformed file still gives its readable items; one without any gives none.
-    What cannot be read of an item is null; without a link it is no entry.
-    """
+
+def parsed_items(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
+    """One row ``i`` per item that can be read, with its place in its file."""
     blocks = F.regexp_extract_all(F.col(xml), F.lit(ITEM_BLOCK), F.lit(0))
     items = files.select(*carry, F.posexplode(blocks).alias("entry_ord", "_block"))
-    # Ampersands that start no XML entity are text; marked sections hold them as they are.
-    plain = F.regexp_replace("_block", BARE_AMPERSAND, "&amp;")
-    items = items.withColumn(
-        "_block", F.when(F.col("_block").contains("<![CDATA["), F.col("_block")).otherwise(plain)
-    )
     # The element's own name is the row tag; both kinds are read under one name.
-    block = F.regexp_replace(
-        F.regexp_replace("_block", r"^<(item|entry)", "<item"), r"</(item|entry)\s*>$", "</item>"
-    )
+    block = F.regexp_replace(with_plain_ampersands(F.col("_block")), r"^<(item|entry)", "<item")
+    block = F.regexp_replace(block, r"</(item|entry)\s*>$", "</item>")
     item = F.from_xml(block, ITEM_SCHEMA, {"rowTag": "item", "mode": "PERMISSIVE"})
-    return (
-        items.select(*carry, F.col("entry_ord").cast("long").alias("entry_ord"), item.alias("i"))
-        .filter(F.col("i").isNotNull())
-        .select(*carry, "entry_ord", *_entry_columns())
-    )
+    parsed = items.select(*carry, F.col("entry_ord").cast("long").alias("entry_ord"), item.alias("i"))
+    # What cannot be read comes back without any field.
+    return parsed.filter(reduce(Column.__or__, (F.col("i")[name].isNotNull() for name in parsed.schema["i"].dataType.names)))
+
+
+def parse_feed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
+    """Entries of whole feed files, in file order.
+
+    A malformed file still gives its readable items; one without any gives none.
+    What cannot be read of an item is null; without a link it is no entry. A file is
+    one row, as it was landed: a feed has few items.
+    """
+    return parsed_items(files, xml, carry).select(*carry, "entry_ord", *_entry_columns())
 
 
 def _entry_columns() -> list[Column]:
@@ -143,7 +163,6 @@ def with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
     return spread_join(entries, settings, ["feed_ord"], ["entry_ord"], "inner")
 
 
-def healthy_feeds(files: DataFrame, xml: str) -> DataFrame:
-    """Feed files with the count of their items; those without readable ones are dropped."""
-    blocks = F.regexp_count(F.col(xml), F.lit(ITEM_BLOCK))
-    return files.withColumn("n_items", blocks.cast("long")).filter(F.col("n_items") > 0)
+def healthy_feeds(files: DataFrame, xml: str, keys: list[str]) -> DataFrame:
+    """``keys`` of feed files with the count of items that can be read, where there are any."""
+    return parsed_items(files, xml, keys).groupBy(*keys).agg(F.count("*").alias("n_items"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedlake import schemas
 from feedlake.functions import keys, text
@@ -44,17 +44,22 @@ def read_note_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_notes(spark: SparkSession, path: str | None) -> DataFrame:
-    return read_snapshot(spark, path, schemas.NOTE)
+def read_notes(spark: SparkSession, path: str | None, repeating: str | None = None) -> DataFrame:
+    """Notes of all runs; a run that is repeated names itself, and its own are left out."""
+    notes = read_snapshot(spark, path, T.StructType([*schemas.NOTE.fields, T.StructField("run", T.StringType())]))
+    if repeating is not None:
+        notes = notes.filter(F.col("run") != repeating)
+    return notes.select(*schemas.NOTE.names)
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Append notes to their table, one directory per folder.
+def write_notes(notes: DataFrame, path: str, run: str) -> None:
+    """Write a run's notes below its own name, one directory per folder.
 
-    Rebalancing gathers a folder's notes into few files, and splits a large folder.
+    A run repeated after a failure replaces what it wrote before. Rebalancing
+    gathers a folder's notes into few files, and splits a large folder.
     """
     rows = notes.select(*schemas.NOTE.names).hint("rebalance", F.col("vault_folder"))
-    rows.write.mode("append").partitionBy("vault_folder").parquet(path)
+    rows.write.mode("overwrite").partitionBy("vault_folder").parquet(f"{path}/run={run}")
 
 
 def write_assets(assets: DataFrame, path: str) -> None:

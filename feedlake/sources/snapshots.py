@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from feedlake import schemas
-from feedlake.functions import keys
+from feedlake.functions import keys, text
+from feedlake.operators.queue import run_time
 from feedlake.operators.stubs import oldest_first
 from feedlake.sources.feeds import if_present
 
@@ -49,7 +53,10 @@ def read_json_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A stub manifest kept as JSON; empty if absent or unreadable, last duplicate wins."""
+    """A stub manifest kept as JSON; empty if absent or unreadable, last duplicate wins.
+
+    It is one document ``{stubs: […]}``, or a folder of such documents, as written below.
+    """
     entry = T.StructType([f for f in schemas.MANIFEST.fields if f.name != "url_key"])
     document = T.StructType([T.StructField("stubs", T.ArrayType(entry))])
     raw = if_present(lambda: spark.read.schema(document).option("multiLine", True).json(path))
@@ -65,6 +72,24 @@ def read_json_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("url_key").agg(last).select("url_key", "_last.*")
 
 
-def write_json_manifest(manifest: DataFrame, path: str) -> None:
-    """Manifest entries as JSON lines, oldest first."""
-    oldest_first(manifest).drop("url_key").write.mode("errorifexists").json(path)
+def write_json_manifest(manifest: DataFrame, path: str, run_ts) -> None:
+    """The manifest as documents ``{generated, count, stubs: […]}``, oldest first.
+
+    Each file is such a document of its share of the entries and states the count
+    of all, so no task holds more than its share. No entries may give no document,
+    which reads as an empty manifest.
+    """
+    entries = oldest_first(manifest).select(F.to_json(F.struct(*(c for c in manifest.columns if c != "url_key"))).alias("value"))
+    count = manifest.count()
+    generated = manifest.sparkSession.range(1).select(text.iso_time(run_time(run_ts))).first()[0]
+    head = f'{{"generated": "{generated}", "count": {count}, "stubs": ['
+
+    def document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        separator = head
+        for lines in (batch.column(0).to_pylist() for batch in batches):
+            if lines:
+                yield pa.record_batch([pa.array([separator + lines[0], *("," + line for line in lines[1:])])], names=["value"])
+                separator = ","
+        yield pa.record_batch([pa.array(["]}" if separator == "," else head + "]}"])], names=["value"])
+
+    entries.mapInArrow(document, "value string").write.mode("errorifexists").text(path)

@@ -113,6 +113,37 @@ def test_sync_cap_and_preview(spark, feeds):
     assert sync.sync(*args, max_articles=0)["notes"].count() == 0
 
 
+def one_feed_after_the_other(rows, cap):
+    """What feeds of one folder write in turn; teasers count for the cap but block nothing."""
+    written, out = set(), set()
+    for feed in sorted({row[0] for row in rows}):
+        taken = [row for row in rows if row[0] == feed and row[2] not in written][:cap]
+        notes = [row for row in taken if row[4] == LONG]
+        written |= {row[2] for row in notes}
+        out |= {(feed, row[1]) for row in notes}
+    return out
+
+
+@pytest.mark.parametrize("cap", [1, 2])
+def test_only_written_rows_block_a_later_feed(spark, cap):
+    # Each feed's cut decides the next one's: a chain over all of them.
+    links = [["x", "y", "s"], ["y", "z", "x"], ["s", "z", "w"], ["w", "v", "z"]]
+    rows = [
+        (feed, at, f"http://{link}", link, SHORT if link == "s" else LONG)
+        for feed, own in enumerate(links) for at, link in enumerate(own)
+    ]
+    feeds = spark.createDataFrame([(n, f"f{n}", "A", "default", "u", "vault/a", 90) for n in range(4)], schemas.FEEDS)
+    args = (feeds, entries(spark, feeds, rows), no_notes(spark), pages(spark), empty(spark, schemas.MANIFEST), NOW)
+    found = {(r.feed_ord, r.entry_ord) for r in sync.sync(*args, max_articles=cap)["notes"].collect()}
+    assert found == one_feed_after_the_other(rows, cap)
+
+
+def test_retention_is_the_configured_one(spark, feeds):
+    assert discover.configured_days(feeds) == 90
+    assert discover.configured_days(feeds.withColumn("keep_synced_days", F.lit(7))) == 7
+    assert discover.configured_days(feeds.limit(0)) == discover.configured_days(feeds.select("name")) == 90
+
+
 def test_khoros_labels_stay_with_the_feed_text(spark, feeds):
     page = '<div class="LabelsForArticle"><a class="label-link">News</a></div>'
     found = entries(spark, feeds, [(1, 0, "http://k", "K", LONG + "<ul><li><a href='/x/blog/category/news'>N</a></li><li><a href='/x/blog/category/more'>M</a></li></ul>")])

@@ -66,8 +66,25 @@ def test_feed_files(spark, tmp_path):
     assert first.content[0].value == "<b>full</b>" and first.published_parsed == datetime(2026, 3, 20, 12)
     assert [a.name for a in atom.authors] == ["N1", "N2"] and atom.author == "N1"
     assert atom.content[0].value == "<p>c</p>" and atom.title == "T"
-    files = spark.createDataFrame([(RSS,), ("<rss><channel>",)], "xml string")
-    assert [r.n_items for r in feeds.healthy_feeds(files, "xml").collect()] == [4]
+    files = spark.createDataFrame([(0, RSS), (1, "<rss><channel>")], "n long, xml string")
+    assert [tuple(r) for r in feeds.healthy_feeds(files, "xml", ["n"]).collect()] == [(0, 4)]
+
+
+def test_marked_sections_are_units(spark):
+    section = "<![CDATA[<p>a & b</p></item> <item>" + "x<y " * 50_000 + ".]]>"
+    items = [
+        f"<item><title>A & B</title><link>http://a</link><description>{section}</description></item>",
+        "<item><!-- </item> --><title><![CDATA[C & D]]></title><link>http://b?c&d</link></item>",
+        "<item><title>open <![CDATA[ & never closed</title><link>http://c</link></item>",
+    ]
+    files = spark.createDataFrame([(0, "<rss><channel>" + "".join(items[:2])), (1, items[2]), (2, "<item><b></item>")], "n long, xml string")
+    rows = feeds.parse_feed_files(files, "xml", ["n"]).collect()
+    found = {(r.n, r.entry_ord): (r.title, r.link, len(r.summary or "")) for r in rows}
+    assert found[0, 0] == ("A & B", "http://a", len(section) - 12)
+    assert found[0, 1] == ("C & D", "http://b?c&d", 0)
+    health = {r.n: r.n_items for r in feeds.healthy_feeds(files, "xml", ["n"]).collect()}
+    read = {n: sum(1 for r in rows if r.n == n and r.link) for n in (0, 1, 2)}
+    assert health[0] == read[0] == 2 and health.get(2, 0) == 0
 
 
 def test_queue_snapshots(spark, tmp_path):
@@ -103,12 +120,19 @@ def test_json_manifest(spark, tmp_path):
     assert [(r.url_key, r.title, r.body_chars) for r in rows] == [("http://u", "new", 5)]
 
 
-def test_manifest_is_written_oldest_first(spark, tmp_path):
-    rows = [("k" + str(n), "u", "t", "S", "p", "", "f", 1, at, at) for n, at in enumerate([datetime(2026, 1, 2), None, datetime(2026, 1, 1)])]
+@pytest.mark.parametrize("n", [0, 3, 500])
+def test_manifest_round_trip_oldest_first(spark, tmp_path, n):
+    at = [None, *(datetime(2026, 1, 1 + m % 28, m % 24) for m in range(n))][:n]
+    rows = [(f"k{m}", f"K{m}/", "t", "S", "p", "", "f", m, time, time) for m, time in enumerate(at)]
+    manifest = spark.createDataFrame(rows, schemas.MANIFEST).repartition(3)
     path = str(tmp_path / "manifest")
-    snapshots.write_json_manifest(spark.createDataFrame(rows, schemas.MANIFEST).coalesce(1), path)
-    lines = [json.loads(r.value) for r in spark.read.text(path).collect()]
-    assert [line.get("first_seen", "")[:10] for line in lines] == ["", "2026-01-01", "2026-01-02"]
+    snapshots.write_json_manifest(manifest, path, "2026-03-20 12:00:00")
+    texts = [file.read_text() for file in sorted((tmp_path / "manifest").glob("part-*"))]
+    documents = [json.loads(found) for found in texts if found]
+    assert {(d["generated"][:19], d["count"]) for d in documents} <= {("2026-03-20T12:00:00", n)}
+    times = [stub.get("first_seen", "") for d in documents for stub in d["stubs"]]
+    assert len(times) == n and times == sorted(times)
+    assert sorted(snapshots.read_json_manifest(spark, path).collect()) == sorted(manifest.collect())
 
 
 def test_note_files(spark, tmp_path):
@@ -131,9 +155,11 @@ def test_note_table(spark, tmp_path):
     assert notes.read_notes(spark, path).count() == 0
     values = {"vault_folder": "f/g", "url_key": "u", "note_name": "n", "tags": ["a"], "note_text": "t"}
     row = tuple(values.get(name) for name in schemas.NOTE.names)
-    notes.write_notes(spark.createDataFrame([row], schemas.NOTE), path)
-    notes.write_notes(spark.createDataFrame([row], schemas.NOTE), path)
+    table = spark.createDataFrame([row], schemas.NOTE)
+    for run in ("2026-01-01", "2026-01-02", "2026-01-02"):
+        notes.write_notes(table, path, run)
     assert [(r.vault_folder, r.tags) for r in notes.read_notes(spark, path).collect()] == [("f/g", ["a"])] * 2
+    assert notes.read_notes(spark, path, repeating="2026-01-02").collect() == table.collect()
 
 
 def test_asset_manifest(spark, tmp_path):
