@@ -3,7 +3,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from feedlake import schemas
-from feedlake.operators import dedup, lookup, queue as q, reports, stubs
+from feedlake.operators import dedup, joins, lookup, queue as q, reports, stubs
+from feedlake.operators.ranking import sequence_of
 
 NOW = datetime(2026, 3, 20, 12)
 
@@ -177,3 +178,24 @@ def test_replaying_a_run_keeps_first_seen(spark):
     once = manifest_after(spark, empty, [("http://u", "f", 5)], [], datetime(2026, 1, 1))
     twice = manifest_after(spark, once, [("http://u", "f", 5)], [], datetime(2026, 1, 1))
     assert once.collect() == twice.collect()
+
+
+def test_a_small_batch_leaves_the_stored_side_unshuffled(spark, tmp_path):
+    stored, batch = str(tmp_path / "stored"), str(tmp_path / "batch")
+    spark.range(50_000).select((F.col("id") % 9_000).cast("string").alias("k")).write.parquet(stored)
+    spark.createDataFrame([("5",), ("5",), ("x",), (None,)], "k string").write.parquet(batch)
+    found = joins.present_keys(spark.read.parquet(batch), spark.read.parquet(stored), ["k"])
+    assert [r.k for r in found.collect()] == ["5"]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
+def test_append_keeps_rows_of_every_feed_number(spark):
+    feeds = [0, (1 << 23) - 1, 1 << 23, (1 << 24) - 1, 1 << 24]
+    schema = "url string, feed_ord long"
+    rows = spark.createDataFrame([(f"u{n}", feed) for n, feed in enumerate(feeds)], schema).repartition(3)
+    rows = rows.withColumn("seq", sequence_of(F.col("feed_ord"), F.lit(0)))
+    queue = queue_rows(spark, [(7, "synced", None, None)])
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in queue.schema if f.name not in ("url", "queue_ord")]
+    found = q.append(queue, rows.select("seq", "url", *missing), "seq").collect()
+    assert {r.url: r.queue_ord for r in found if r.queue_ord > 7} == {f"u{n}": 8 + n for n in range(5)}
