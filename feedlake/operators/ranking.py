@@ -38,7 +38,7 @@ def order_digits(columns: list[str]) -> dict[str, Column]:
     """
     *upper, last = columns
     shifts = [(name, bits) for name in upper for bits in (DIGIT_BITS, 0)]
-    shifts += [(last, bits) for bits in ((DIGIT_BITS,) if upper else (2 * DIGIT_BITS, DIGIT_BITS))]
+    shifts.append((last, DIGIT_BITS))
     return {
         f"_digit_{n}": F.coalesce(F.shiftright(F.col(name).cast("long"), bits), F.lit(LEAST))
         for n, (name, bits) in enumerate(shifts)
@@ -49,12 +49,18 @@ def totals_before(totals: DataFrame, keys: list[str], digits: list[str]) -> Data
     """``_offset``: the sum of ``_total`` over all earlier digits of the key.
 
     Siblings below one coarser digit are windowed, 2^20 at most; what comes before
-    that digit is known from the level above. A key's list of coarsest digits is
-    short: one covers a million feeds, or 2^40 values of a single order column.
+    that digit is known from the level above. A key has few of the coarsest digits:
+    one covers a million feeds, or a million values of a single order column. They
+    are windowed per key; without keys they are one short list.
     """
+    prefix = [*keys, *digits[:-1]]
+    before = Window.partitionBy(*prefix).orderBy(digits[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    here = F.coalesce(F.sum("_total").over(before), F.lit(0))
+    if len(digits) == 1 and keys:
+        return totals.select(*prefix, *digits, here.alias("_offset"))
     if len(digits) == 1:
         ordered = F.array_sort(F.collect_list(F.struct(F.col(digits[0]).alias("digit"), F.col("_total").alias("total"))))
-        each = totals.groupBy(*keys).agg(ordered.alias("_all")) if keys else totals.agg(ordered.alias("_all"))
+        each = totals.agg(ordered.alias("_all"))
         earlier = F.transform(
             "_all",
             lambda one, at: F.struct(
@@ -62,12 +68,9 @@ def totals_before(totals: DataFrame, keys: list[str], digits: list[str]) -> Data
                 F.aggregate(F.slice("_all", F.lit(1), at), F.lit(0).cast("long"), lambda s, x: s + x["total"]).alias("_offset"),
             ),
         )
-        return each.select(*keys, F.inline(earlier))
-    prefix = [*keys, *digits[:-1]]
+        return each.select(F.inline(earlier))
     upper = totals.groupBy(*prefix).agg(F.sum("_total").alias("_total"))
     base = totals_before(upper, keys, digits[:-1]).withColumnRenamed("_offset", "_base")
-    before = Window.partitionBy(*prefix).orderBy(digits[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    here = F.coalesce(F.sum("_total").over(before), F.lit(0))
     return (
         totals.withColumn("_here", here)
         .join(base, prefix)
