@@ -4,8 +4,8 @@ Words are runs of other bytes than 0x20 and 0x09-0x0D, with A-Z in lower case. A
 set is its distinct shingles; with fewer words the whole sequence is one; without words it
 is empty and linked with nothing. Two documents link if 100 · |A ∩ B| ≥ percent · |A ∪ B|.
 
-All documents put their shingles in one order, rare ones first: shingles that a slice of the
-table repeats are counted, and the ``MAX_FREQUENT`` most frequent come last by count. Any fixed
+All documents put their shingles in one order, rare ones first: those that prefixes may hold are
+counted over the whole table, and the ``MAX_FREQUENT`` most frequent come last by count. Any fixed
 order is right; this one keeps posting lists short. Two linked sets share a shingle
 among their first n - ⌈percent · n / 100⌉ + 1. Documents with one set are one class; classes
 with one such prefix and size are one group, and only groups are in the posting lists.
@@ -38,8 +38,7 @@ from feedlake.llm import bytescan
 from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of
 from feedlake.llm.components import components
 
-MAX_FREQUENT = 1 << 16  # of the counted shingles; more would only shorten lists further
-REPEATS = 3  # in one slice, for a shingle to be counted there
+MAX_FREQUENT = 1 << 17  # of the counted shingles; more would only shorten lists further
 FREQUENT = 16  # counted in all, for a shingle to be ordered by its count
 COUNT_BYTES = 1 << 23  # of text in a slice that is counted
 BITMAP = [f"b{i}" for i in range(8)]  # of 64 bits each
@@ -56,15 +55,19 @@ def distinct_shingles(texts: pa.Array, size: int) -> tuple[list[np.ndarray], np.
     return sets, np.array([len(s) for s in sets], dtype=np.int64)
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The most frequent shingles, most frequent last; MAX_FREQUENT at most."""
+def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """The most frequent of all shingles that prefixes may hold, most frequent last; MAX_FREQUENT at most.
+
+    In order of hashes alone a prefix has a set's smallest ones. Twice as many are counted,
+    over all documents, as frequent ones make room for those after them.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=COUNT_BYTES)):
-            sets, _ = distinct_shingles(batch.column("text"), size)
-            values, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= REPEATS
-            yield pa.record_batch([bytescan.longs(values[keep]), pa.array(n[keep])], names=["shingle", "n"])
+            sets, n = distinct_shingles(batch.column("text"), size)
+            reach = 2 * (n - -(-percent * n // 100) + 1)
+            values, times = np.unique(np.concatenate([own[:k] for own, k in zip(sets, reach)]), return_counts=True)
+            yield pa.record_batch([bytescan.longs(values), pa.array(times)], names=["shingle", "n"])
 
     found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = found.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).collect()
@@ -132,7 +135,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
 def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Sets of all rows (doc, n and class), and the component of each class that has links."""
-    sets = staged(set_rows(docs, frequent_shingles(docs, size), size, percent), "shingle-sets")
+    sets = staged(set_rows(docs, frequent_shingles(docs, size, percent), size, percent), "shingle-sets")
     same = ["n", "set_1", "set_2"]
     filled = sets.filter("n > 0")
     shape = ["group", *BITMAP]
