@@ -39,6 +39,7 @@ from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of
 from feedlake.llm.components import components
 
 MAX_FREQUENT = 1 << 17  # of the counted shingles; more would only shorten lists further
+REPEATS = 3  # in one slice, for a shingle beyond the reach of prefixes to be counted there
 FREQUENT = 16  # counted in all, for a shingle to be ordered by its count
 COUNT_BYTES = 1 << 23  # of text in a slice that is counted
 BITMAP = [f"b{i}" for i in range(8)]  # of 64 bits each
@@ -59,14 +60,19 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     """The most frequent of all shingles that prefixes may hold, most frequent last; MAX_FREQUENT at most.
 
     In order of hashes alone a prefix has a set's smallest ones. Twice as many are counted,
-    over all documents, as frequent ones make room for those after them.
+    over all documents, as frequent ones make room for those after them; of the others
+    those that a slice repeats, such as those of large groups of near copies.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=COUNT_BYTES)):
             sets, n = distinct_shingles(batch.column("text"), size)
             reach = 2 * (n - -(-percent * n // 100) + 1)
-            values, times = np.unique(np.concatenate([own[:k] for own, k in zip(sets, reach)]), return_counts=True)
+            values, times = np.unique(np.concatenate(sets), return_counts=True)
+            near = np.concatenate([own[:k] for own, k in zip(sets, reach)])
+            keep = times >= REPEATS
+            keep[np.searchsorted(values, near)] = True
+            values, times = values[keep], times[keep]
             yield pa.record_batch([bytescan.longs(values), pa.array(times)], names=["shingle", "n"])
 
     found = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
