@@ -14,12 +14,13 @@ end of the nearest block.
 A retrieved item is verified on words: the last sentence of an item is its answer, what comes
 before it the question (an item of one sentence is cut in the middle). A document has the item
 if at least 80 % of its runs of five words stand in the window, and at least half of
-those of the question and of the answer each.
+those of the question and of the answer each. Words are told by Unicode: case is folded,
+characters have their compatible composed form, and all but letters, digits and accents ends a word.
 
 The index is cut into shards of ``SHARD`` items, each a bounded broadcast, and the documents pass
 them one after the other within one task: a test set of any size costs no more memory.
 
-Defined cases: null and empty texts hold and match nothing; items and documents are told by
+Defined cases: null and empty texts, and those without letters and digits, hold and match nothing; items and documents are told by
 their ids, a null id is one; repeated rows give one result row; repeated items are items of
 their own; an item with fewer than five words is one run; other columns are ignored; empty
 tables give an empty result.
@@ -27,10 +28,12 @@ tables give an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Row, functions as F
 
@@ -48,25 +51,25 @@ SLICE = 1 << 20
 
 FOUND = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
+_NO_WORD = r"[^\pL\pN\pM]+"
 _SENTENCE_END = regex.compile(r"[.!?][\s]+(?=\S)|\n+")
 
 
 def hashed(text: str) -> np.ndarray:
-    """Hashes of the words of a text, bare of marks at their ends."""
+    """Hashes of the words of a text."""
     return word_hashes(pa.array([text]))[0]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts and the first word of each; marks end words as blanks do."""
-    data, offsets = bytescan.utf8(texts)
-    _, _, hashes, first = bytescan.words(_MARKS_TO_BLANKS[data], offsets)
+    """Word hashes of all texts and the first word of each; words are runs of letters, digits and their accents."""
+    folded = pa.array([text and fold_case(text) for text in texts.to_pylist()], pa.large_string())
+    _, _, hashes, first = bytescan.words(*bytescan.utf8(pc.replace_substring_regex(folded, _NO_WORD, " ")))
     return hashes, first
 
 
-_MARKS_TO_BLANKS = np.arange(256, dtype=np.uint8)
-for _b in range(0x21, 0x7F):
-    if not chr(_b).isalnum():
-        _MARKS_TO_BLANKS[_b] = 0x20
+def fold_case(text: str) -> str:
+    """One form for texts that differ in case or in how a character is encoded, in any script."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
 def runs(hashes: np.ndarray) -> set[int]:

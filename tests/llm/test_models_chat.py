@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -116,6 +117,25 @@ def test_leaks_are_found_and_clean_documents_are_not(spark):
     assert decontaminate.contaminated(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_in_capitals_are_found_in_every_language(spark):
+    item = "¿Dónde está el niño pequeño? L'élève français a mangé une pêche très mûre «à la plage».\nDie Straße führt über den größten Fluß."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    forms = [item.upper(), item.replace("«", "").replace("»", "…"), unicodedata.normalize("NFD", item), item.replace(" ", " ")]
+    rows = [(i, "uno dos tres — " + form + " quatre cinq") for i, form in enumerate(forms)] + [(9, "uno dos tres"), (10, None)]
+    found = decontaminate.contaminated(table(spark, rows), bench).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3] and all(r.overlap == 1 for r in found)
+
+
+GIVEN = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(GIVEN), reason="no test data")
+def test_capital_leaks_of_the_given_table(spark):
+    docs = spark.read.parquet(f"{GIVEN}/documents.parquet").filter("doc_id in (1699, 6420, 8376)")
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{GIVEN}/benchmark.parquet")).collect()
+    assert {(1699, 130), (6420, 37), (8376, 101)} <= {(r.doc_id, r.item_id) for r in found}
+
+
 def test_wand_retrieves_all_above_the_score():
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randint(3, 12)))) for i in range(60)]
