@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.llm import bytescan
-from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of
+from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of, whole_text
 from feedlake.llm.components import components
 
 MAX_FREQUENT = 1 << 17  # of the counted shingles; more would only shorten lists further
@@ -80,12 +80,12 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
     return np.array([row["shingle"] for row in reversed(top)], dtype=np.int64).view(np.uint64)
 
 
-def set_rows(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc, n, two hashes of the set, hash and members of the prefix, and the parity bitmap."""
+def set_rows(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc, n, two hashes of the set, hash and members of the prefix, the parity bitmap, and longs ``also``."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
-    names = ["doc", "n", "set_1", "set_2", "group", "prefix", *BITMAP]
-    schema = "doc long, n int, set_1 long, set_2 long, group long, prefix array<int>, " + ", ".join(f"{b} long" for b in BITMAP)
+    names = ["doc", "n", "set_1", "set_2", "group", "prefix", *BITMAP, *also]
+    schema = "doc long, n int, set_1 long, set_2 long, group long, prefix array<int>, " + ", ".join(f"{b} long" for b in [*BITMAP, *also])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole)):
@@ -107,9 +107,10 @@ def set_rows(docs: DataFrame, frequent: np.ndarray, size: int, percent: int) ->
             hashes = [bytescan.longs(np.array(c, dtype=np.uint64)) for c in (one, two, group)]
             columns = [batch.column(0), pa.array(n.astype(np.int32)), *hashes, pa.array(prefixes, pa.list_(pa.int32()))]
             columns += [bytescan.longs(np.ascontiguousarray(bits[:, i])) for i in range(8)]
+            columns += [batch.column(c) for c in also]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(doc_key().alias("doc"), "text").mapInArrow(read, schema)
+    return docs.select(doc_key().alias("doc"), "text", *also).mapInArrow(read, schema)
 
 
 def may_link(percent: int) -> Column:
@@ -121,8 +122,11 @@ def may_link(percent: int) -> Column:
     return fits & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of documents whose whole texts link."""
+def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, by_text: bool = False) -> DataFrame:
+    """The pairs (a, b) of documents whose whole texts link.
+
+    ``by_text`` tells that rows of one doc_id have one text, which is then read once.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, "text_a")):
@@ -134,14 +138,18 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     both = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
     found = texts_of(docs, both)
+    if by_text:
+        found = found.groupBy("doc").agg(F.first("text").alias("text"))
     texts, other = found.toDF("a", "text_a"), found.toDF("b", "text_b")
     met = pairs.join(texts, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(check, "a long, b long").distinct()
 
 
-def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Sets of all rows (doc, n and class), and the component of each class that has links."""
-    sets = staged(set_rows(docs, frequent_shingles(docs, size, percent), size, percent), "shingle-sets")
+def linked_components(
+    docs: DataFrame, size: int = 4, percent: int = 85, also: tuple[str, ...] = (), by_text: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Sets of all rows (doc, n, class, and longs ``also``), and the component of each class that has links."""
+    sets = staged(set_rows(docs, frequent_shingles(docs, size, percent), size, percent, also), "shingle-sets")
     same = ["n", "set_1", "set_2"]
     filled = sets.filter("n > 0")
     shape = ["group", *BITMAP]
@@ -149,7 +157,7 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> tupl
         filled.groupBy(*same).agg(F.min("doc").alias("rep"), *(F.first(c).alias(c) for c in [*shape, "prefix"])),
         "shingle-classes",
     )
-    of_class = sets.join(classes.select(*same, "rep"), same, "left").select("doc", "n", "rep")
+    of_class = sets.join(classes.select(*same, "rep"), same, "left").select("doc", "n", "rep", *also)
     band = F.floor(F.log(F.col("n")) / log(100 / percent)).cast("int")
     grouped = classes.groupBy("n", "group").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
     groups = staged(grouped.withColumn("band", band), "shingle-groups")
@@ -179,7 +187,7 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> tupl
     as_b = features.toDF("b", "b_n", *(f"b_{b}" for b in BITMAP))
     first = first.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tried = staged(first.join(as_a, "a").join(as_b, "b").filter(may_link(percent)).select("a", "b"), "pairs")
-    links = staged(verified(tried, docs, size, percent), "verified")
+    links = staged(verified(tried, docs, size, percent, by_text), "verified")
     found = staged(components(links), "components")
 
     # Members of all lists with their components; lists within one component are done.
@@ -204,7 +212,7 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> tupl
     )
     across = across.select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b")).distinct()
     rest = staged(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = staged(verified(rest, docs, size, percent), "verified")
+    more = staged(verified(rest, docs, size, percent, by_text), "verified")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
     return of_class, found
@@ -228,7 +236,26 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Documents but for those with a linked document of smaller doc_id in their component."""
-    found = jaccard_components(docs, size, percent)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One row of each component: that of the smallest doc_id, null first, then of the least hash of its text.
+
+    Rows are linked by their texts alone: here a node is a text, told by its 64-bit hash, and
+    what a row is, by its doc_id and that hash. Of equal rows one stays. Rows without
+    words are linked with nothing and stay.
+    """
+    text = F.xxhash64(whole_text())
+    of_class, found = linked_components(
+        docs.select(doc_key().alias("id"), text.alias("doc_id"), "text"), size, percent, ("id",), True
+    )
+    rows = of_class.filter("n > 0").groupBy("id", "doc", "rep").agg(F.count("*").alias("times"))
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = staged(rows.select("id", "doc", "times", F.coalesce("component", "rep").alias("component")), "rows")
+    kept = rows.groupBy("component").agg(F.min(F.struct("id", "doc")).alias("kept"))
+    kept = staged(kept.select("kept.id", "kept.doc"), "kept")
+    gone = rows.join(kept, ["id", "doc"], "left_anti").select("id", "doc")
+    again = staged(rows.filter("times > 1").join(kept, ["id", "doc"], "left_semi").select("id", "doc"), "again")
+    keyed, key = docs.withColumn("_id", doc_key()).withColumn("_text", text), ["_id", "_text"]
+    if again.isEmpty():
+        return keyed.join(gone.toDF(*key), key, "left_anti").select(*docs.columns)
+    single = keyed.join(gone.unionByName(again).toDF(*key), key, "left_anti")
+    one = keyed.join(again.toDF(*key), key, "left_semi").dropDuplicates(key)
+    return single.select(*docs.columns).unionByName(one.select(*docs.columns))

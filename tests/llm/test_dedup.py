@@ -136,6 +136,26 @@ def test_jaccard_of_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9] and kept.columns == table(spark, []).columns
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    texts = [t for _, t in near_copies(120, 12)] + [None, "", " ", "one", "one"]
+    rows = [(rng.choice([None, None, i, i, 7]), t) for i, t in enumerate(texts)]
+    rows += rng.sample(rows, 30) + [(None, "p q r s t")] * 40 + [(3, "p q r s t")] * 2
+    linked = plain_components(list(enumerate(t for _, t in rows)), 5, 80)
+    groups = {}
+    for i, (n, root) in linked.items():
+        groups.setdefault(root if n else ("none", i), []).append(i)
+    # One row of each group stays, with its smallest id.
+    least = [min((rows[i][0] is not None, rows[i][0] or 0) for i in own) for own in groups.values()]
+    kept = jaccard.one_of_each(table(spark, rows)).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == sorted(least)
+    places = {}
+    for i, row in enumerate(rows):
+        places.setdefault(row, set()).add(linked[i][1] if linked[i][0] else "none")
+    roots = [root for r in kept for root in places[r.doc_id, r.text] if root != "none"]
+    assert len(roots) == len(set(roots)) == sum(isinstance(g, int) for g in groups)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
