@@ -279,9 +279,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that have no test item."""
-    ids = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """Rows whose own text has no test item, whatever their doc_id."""
+    indexes = build_indexes(benchmark.select(F.col("item_id").cast("long"), "text").collect())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bytescan.slices(whole, size=SLICE)):
+            hashes, first = word_hashes(batch.column("text"))
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for index in indexes:
+                keep[[row for row, *_ in matches(index, hashes, first)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(read, docs.schema)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -301,9 +301,17 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents whose score is below ``least``; rows of one doc_id go together."""
-    gone = score(docs, train(docs, labels)).filter(F.col("score") >= least).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rows whose own text has a score below ``least``, whatever their doc_id."""
+    model = train(docs, labels)
+    if model is None:
+        return docs
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bytescan.slices(whole, size=SLICE)):
+            scores, _ = model.score(*word_hashes(batch.column("text")))
+            yield batch.filter(pa.array(scores < least))
+
+    return docs.mapInArrow(read, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -136,6 +136,20 @@ def test_capital_leaks_of_the_given_table(spark):
     assert {(1699, 130), (6420, 37), (8376, 101)} <= {(r.doc_id, r.item_id) for r in found}
 
 
+def test_stages_keep_clean_rows_that_share_an_id(spark):
+    item = "the quick brown fox jumps over the lazy dog.\nit was never seen again by anyone."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = [(None, "calm words here"), (None, None), (7, "words and there"), (7, "words and there"), (None, "")]
+    rows = clean + [(None, "x " + item), (7, item), (8, item.upper())]
+    kept = decontaminate.without_leaks(table(spark, rows), bench)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, table(spark, clean).collect()))
+    learnt = [(100 + i, "calm words here and there" + (" nasty vile nasty" if i % 2 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in learnt], "doc_id long, quality int, toxic int")
+    docs = table(spark, learnt + clean + [(None, "nasty vile nasty"), (7, "nasty vile nasty")])
+    kept = toxicity.without_toxic(docs, labels).filter("doc_id is null or doc_id = 7")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, table(spark, clean).collect()))
+
+
 def test_wand_retrieves_all_above_the_score():
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randint(3, 12)))) for i in range(60)]
