@@ -2,9 +2,9 @@
 
 Texts are cut where the tokenizer can join nothing that stands on both sides, Arrow numbers the
 distinct pieces of a batch, and only pieces that are new to the process reach the tokenizer.
-Texts for which that cut is not proven (white space in runs or of rare kinds) go to the
-tokenizer whole. The ids equal those of ``encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` set, so the strings of special tokens are ordinary text.
+Texts for which that cut is not proven (white space in runs or of rare kinds, the string of an
+added token) go to the tokenizer whole. The ids equal those of ``encode(text,
+add_special_tokens=False)``, so the string of a special token is that token.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.lower = self.tokenizer.normalizer is not None
         self.parts = _WORD_PARTS if self.lower else _BYTE_PARTS
         self.letters = byte_letters()
@@ -63,18 +63,26 @@ class Encoder:
         letters = "".join(map(self.letters.__getitem__, part.encode()))
         return pack([token.id for token in self.tokenizer.model.tokenize(letters)])
 
+    def has_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts have the string of an added token; in any case of letters, where the tokenizer normalizes it."""
+        found = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            any_case = token.normalized and self.lower
+            found |= pc.match_substring(texts, token.content, ignore_case=any_case).to_numpy(zero_copy_only=False)
+        return found
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets between them."""
         texts = texts.fill_null("")
         if self.lower:
             # This kind drops white space, so blanks and line feeds are cuts anywhere.
-            odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+            odd = self.has_added(texts) | pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
             plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
             for mark in (" ", "\n"):
                 plain = pc.replace_substring(plain, mark, "\0")
         else:
             # A piece begins with the blank or line feed before it.
-            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            odd = self.has_added(texts) | pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
             plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
             for mark in (" ", "\n"):
                 plain = pc.replace_substring(plain, mark, "\0" + mark)

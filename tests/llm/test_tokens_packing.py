@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from feedlake.llm import packing, token_files, tokens
 
@@ -47,6 +48,17 @@ def test_ids_equal_the_tokenizers(name):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want, text
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_an_untouched_tokenizers(name):
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a", " ", "\n", "É", "\0", "word."]
+    rng = random.Random(4)
+    texts = ["x<|endoftext|>y", *ODD, *("".join(rng.choices(parts, k=8)) for _ in range(200)), None]
+    plain = Tokenizer.from_file(P.path(name))
+    ids, offsets = tokens.Encoder(P.path(name)).encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
 def plain_best_fit(lengths, capacity):
     rooms, n = [], 0
     for length in sorted(lengths, reverse=True):
