@@ -14,7 +14,9 @@ end of the nearest block.
 A retrieved item is verified on words: the last sentence of an item is its answer, what comes
 before it the question (an item of one sentence is cut in the middle). A document has the item
 if at least 80 % of its runs of five words stand in the window, and at least half of
-those of the question and of the answer each. Words are told by Unicode: case is folded,
+those of the question and of the answer each. An item of so few words that one changed word
+takes more of its runs (5 to 28) is also had if, aligned to the window, it keeps 80 % of its words, and
+half of those of the question and of the answer each; its overlaps are then these shares. Words are told by Unicode: case is folded,
 characters have their compatible composed form, and all but letters, digits and accents ends a word.
 
 The index is cut into shards of ``SHARD`` items, each a bounded broadcast, and the documents pass
@@ -87,7 +89,9 @@ class Item:
         if ends:
             inside = len(hashed(text.strip()[: ends[-1]]))
             cut = inside if 0 < inside < len(words) else cut
-        self.words = words
+        self.words, self.cut = words, cut
+        # One changed word takes RUN runs; of an item with few it would take too many. Fewer than RUN words must be equal.
+        self.is_short = len(words) >= RUN and RUN > (1 - MIN_OVERLAP) * (len(words) - RUN + 1) + 1e-9
         self.all, self.question, self.answer = runs(words), runs(words[:cut]), runs(words[cut:])
 
 
@@ -243,10 +247,31 @@ def matches(index: Index, hashes: np.ndarray, first: np.ndarray) -> Iterator[tup
             if window is None:
                 window = window_runs(hashes[begin[k] : end[k]])
             shares = [len(part & window) / len(part) if part else 1.0 for part in (item.all, item.question, item.answer)]
+            if min(shares[0] - MIN_OVERLAP, shares[1] - MIN_PART, shares[2] - MIN_PART) < 0 and item.is_short:
+                shares = aligned_shares(item, hashes[begin[k] : end[k]])
             if shares[0] >= MIN_OVERLAP and min(shares[1:]) >= MIN_PART:
                 yield int(row[k]), item.item_id, score, *shares
 
 
+def aligned_shares(item: Item, window: np.ndarray) -> list[float]:
+    """Shares of an item, its question and its answer that keep their words where each fits the window best."""
+    parts = (item.words, item.words[: item.cut], item.words[item.cut :])
+    if np.isin(item.words, window).mean() < MIN_OVERLAP:
+        return [0.0] * len(parts)
+    return [1 - least_edits(part, window) / len(part) if len(part) else 1.0 for part in parts]
+
+
+def least_edits(part: np.ndarray, window: np.ndarray) -> int:
+    """Words to change, insert or drop to make a part one slice of the window."""
+    at = np.arange(len(window) + 1)
+    edits = np.zeros(len(window) + 1, dtype=np.int64)
+    for i, word in enumerate(part):
+        here = edits + 1
+        here[1:] = np.minimum(here[1:], edits[:-1] + (window != word))
+        edits = np.minimum.accumulate(here - at) + at
+    return int(edits.min())
+
+
 def window_runs(window: np.ndarray) -> set[int]:
     """Runs of 1 to RUN words: a part of an item with fewer words is one run of its length."""
     sizes = range(1, min(RUN, len(window)) + 1)

@@ -150,6 +150,22 @@ def test_stages_keep_clean_rows_that_share_an_id(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, table(spark, clean).collect()))
 
 
+def test_one_changed_word_frees_no_short_item(spark):
+    rng = random.Random(12)
+    own = [words(rng, n) for n in (10, 14, 20, 28)]
+    items = [(i, " ".join(w[:-4]) + ". " + " ".join(w[-4:]) + ".") for i, w in enumerate(own)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for i, w in enumerate(own):
+        at = len(w) // 2
+        forms = [w[:at] + ["NEW"] + w[at + 1 :], w[:at] + ["NEW"] + w[at:], w[:at] + w[at + 1 :]]
+        clean = [w[:-4], w[-4:], rng.sample(w, len(w)), [x for k, x in enumerate(w) if k % 3]]
+        for k, form in enumerate(forms + clean):
+            rows.append((10 * i + k, " ".join(words(rng, 60) + form + words(rng, 60))))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), bench).collect()}
+    assert found == {(10 * i + k, i) for i in range(4) for k in range(3)}
+
+
 def test_wand_retrieves_all_above_the_score():
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randint(3, 12)))) for i in range(60)]
