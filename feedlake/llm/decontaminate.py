@@ -19,8 +19,8 @@ takes more of its runs (5 to 28) is also had if, aligned to the window, it keeps
 half of those of the question and of the answer each; its overlaps are then these shares. Words are told by Unicode: case is folded,
 characters have their compatible composed form, and all but letters, digits and accents ends a word.
 
-The index is cut into shards of ``SHARD`` items, each a bounded broadcast, and the documents pass
-them one after the other within one task: a test set of any size costs no more memory.
+The index is cut into shards of ``SHARD`` items, and the documents pass them one after the other within
+one task. All shards are built in the driver and sent to every worker: the test set must fit both.
 
 Defined cases: null and empty texts, and those without letters and digits, hold and match nothing; items and documents are told by
 their ids, a null id is one; repeated rows give one result row; repeated items are items of
