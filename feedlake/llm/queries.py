@@ -4,6 +4,7 @@ import corpus_pipeline
 from feedlake.llm import (
     chat,
     decontaminate,
+    fill_middle,
     fingerprints,
     jaccard,
     line_dedup,
@@ -12,6 +13,7 @@ from feedlake.llm import (
     suffix_dedup,
     token_files,
     toxicity,
+    window_dedup,
 )
 
 QUERIES = {
@@ -25,9 +27,13 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op12_window_dedup": window_dedup.op12_window_dedup,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_chat_format": chat.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op12_window_dedup": window_dedup.OP12_SQL,
+    "op13_fill_middle": fill_middle.OP13_SQL,
 }
