@@ -58,5 +58,23 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.select("doc", "text", place).mapInArrow(read, "doc long, text string")
 
 
+def filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits, whatever their number, for the one column of mixed 64-bit hashes."""
+    place = F.col(hashes.columns[0]).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("place")
+    words = hashes.select(place).select(
+        F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
+    )
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # as many rows at most
+        bits[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
+    return bits
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be among those of the filter; never False for one that is."""
+    at = hashes & np.uint64(FILTER_BITS - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

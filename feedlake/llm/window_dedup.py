@@ -6,17 +6,17 @@ they begin at a position of D modulo v. If two windows of ``length`` words are e
 below v takes both starts to positions of D, so both hold one anchor at one offset; no pair
 is missed, and |D| / v of the positions are hashed (5 of 21 for windows of 35 words).
 
-Anchors that occur once are dropped. The others are extended: the v - 1 words on either side of an anchor are its
-context, and all windows around the anchor lie in it. Anchors with one context in several
-places form a class, and all their windows repeat. Of anchors with several classes the
-first place of each sends its windows, at most v of them, and those that another class of
-the anchor has too are found by counting. So a group of any size costs a row per place and v rows
-per class, and no pairs are made. A class tells how far its places reach to the left and right; windows
-around one anchor overlap, so what is removed there is one span.
+Anchors that occur once are dropped: a filter of fixed size with the others' hashes is applied where texts are
+read, and a join drops what it lets through. The rest are extended: the v - 1 words on either side
+of an anchor are its context, and all windows around the anchor lie in it. Places of one anchor
+with one context are a class; all windows of a class with several places repeat. Of
+anchors with several classes the first place of each sends the windows around it, each window of a text
+once, and those that begin in two places are found by counting. So a group of any size
+costs a row per place and v rows per class, and no pairs are made.
 
 Words are runs of other characters than 0x20 and 0x09-0x0D, unchanged. All copies go, the first
 too; windows are judged on the input, not on what is left, and never cross documents.
-Anchors and contexts are compared by 64-bit hashes of two kinds, contexts and windows only within an anchor.
+Anchors are compared by one 64-bit hash, contexts by another within an anchor, windows by both kinds.
 
 Defined cases: a null text has no words; rows of one doc_id (null for one) are told apart by
 their texts, equal rows are one document and get equal results; texts with fewer words than
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.llm import bytescan
-from feedlake.llm.common import NO_ID, doc_key, documents, staged, texts_of, whole_text
+from feedlake.llm.common import NO_ID, doc_key, documents, filter_bits, may_hold, staged, texts_of, whole_text
 
 LENGTH = 35
 SLICE = 1 << 20
@@ -76,8 +76,8 @@ class Words:
         return bytescan.slice_hash(self.sums[kind], start, end, self.inverse)
 
 
-def anchor_rows(docs: DataFrame, length: int, wanted: list[str]) -> DataFrame:
-    """All anchors of all texts: columns of anchor, context, doc, copy, pos (the number of its first word)."""
+def anchor_rows(docs: DataFrame, length: int, wanted: list[str], bits: np.ndarray | None = None) -> DataFrame:
+    """All anchors of all texts that pass the filter: columns of anchor, context, doc, copy, pos (the number of its first word)."""
     period = period_for(length)
     side, width, inside = period - 1, length - period + 1, cover_of(period)
     schema = ", ".join(f"{name} {'int' if name == 'pos' else 'long'}" for name in wanted)
@@ -89,8 +89,12 @@ def anchor_rows(docs: DataFrame, length: int, wanted: list[str]) -> DataFrame:
             pos = np.arange(len(row)) - words.first[row]
             n = words.n[row]
             at = np.flatnonzero(inside[pos % period] & (pos + width <= n) & (n >= length))
+            anchor = words.run(0, at, at + width)
+            if bits is not None:
+                keep = may_hold(bits, anchor)
+                at, anchor = at[keep], anchor[keep]
             row, pos, n = row[at], pos[at], n[at]
-            found = {"anchor": bytescan.longs(words.run(0, at, at + width))}
+            found = {"anchor": bytescan.longs(anchor)}
             if len(wanted) > 1:
                 left, right = np.minimum(pos, side), np.minimum(n - pos - width, side)
                 context = bytescan.mix(words.run(1, at - left, at + width + right) + left.astype(np.uint64))
@@ -103,28 +107,32 @@ def anchor_rows(docs: DataFrame, length: int, wanted: list[str]) -> DataFrame:
 
 
 def windows_of(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
-    """anchor, context, shift and hash of each window around the first place of the needed classes."""
+    """Two hashes, doc, copy and start of all windows around the needed places, each once."""
     side = period_for(length) - 1
-    names = ["anchor", "context", "shift", "window"]
+    names = ["one", "two", "doc", "copy", "start"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=SLICE)):
             words, places = Words(batch.column("text")), batch.column("places")
             row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
-            anchor, context, pos = (f.to_numpy() for f in places.flatten().flatten())
-            for shift in range(side + 1):
-                fits = np.flatnonzero((pos >= shift) & (pos - shift + length <= words.n[row]))
-                start = words.first[row[fits]] + pos[fits] - shift
-                window = bytescan.longs(words.run(1, start, start + length))
-                shifts = pa.array(np.full(len(fits), shift, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[fits]), pa.array(context[fits]), shifts, window], names=names)
-
-    listed = F.collect_list(F.struct("anchor", "context", F.col("pos").cast("long").alias("pos"))).alias("places")
-    by_doc = needed.groupBy("doc", "copy").agg(listed)
+            at = words.first[row] + places.flatten().to_numpy()
+            around = np.zeros(words.first[-1] + 1, dtype=np.int32)  # how many places a start lies around
+            np.add.at(around, np.maximum(at - side, words.first[row]), 1)
+            np.add.at(around, at + 1, -1)
+            starts = np.flatnonzero(np.cumsum(around) > 0)
+            row = np.searchsorted(words.first, starts, side="right") - 1
+            fits = starts - words.first[row] + length <= words.n[row]
+            row, starts = row[fits], starts[fits]
+            hashes = [bytescan.longs(words.run(kind, starts, starts + length)) for kind in (0, 1)]
+            keys = [batch.column(name).take(pa.array(row)) for name in ("doc", "copy")]
+            start = pa.array((starts - words.first[row]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*hashes, *keys, start], names=names)
+
+    by_doc = needed.groupBy("doc", "copy").agg(F.collect_set("pos").alias("places"))
     texts = texts_of(docs.select(F.col("doc").alias("doc_id"), "text"), needed)
     texts = texts.withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc", "copy"])
-    met = texts.join(by_doc, ["doc", "copy"]).select("text", "places")
-    return met.mapInArrow(read, "anchor long, context long, shift int, window long")
+    met = texts.join(by_doc, ["doc", "copy"]).select("doc", "copy", "text", "places")
+    return met.mapInArrow(read, "one long, two long, doc long, copy long, start int")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -133,24 +141,21 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     side, width = period - 1, length - period + 1
     repeated = anchor_rows(docs, length, ["anchor"]).groupBy("anchor").agg(F.count("*").alias("n"))
     repeated = staged(repeated.filter("n > 1").select("anchor"), "anchors-repeated")
-    places = staged(anchor_rows(docs, length, ["anchor", "context", *PLACE]).join(repeated, "anchor"), "anchors")
+    places = anchor_rows(docs, length, ["anchor", "context", *PLACE], filter_bits(repeated))
+    places = staged(places.join(repeated, "anchor"), "anchors")
     place = F.struct(*PLACE)
     classes = places.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     classes = staged(classes.select("anchor", "context", "first.*", (F.col("first") != F.col("last")).alias("several")), "classes")
+    copied = places.join(classes.filter("several").select("anchor", "context"), ["anchor", "context"])
+    begin = F.greatest(F.col("pos") - side, F.lit(0)).alias("begin")
+    copied = copied.select("doc", "copy", begin, (F.col("pos") + width + side).alias("upto"))
+
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    needed = staged(classes.join(mixed, "anchor").select("anchor", "context", *PLACE, "several"), "mixed")
-
-    windows = staged(windows_of(docs, needed.select("anchor", "context", *PLACE), length), "windows")
-    window = ["anchor", "shift", "window"]
-    shared = windows.groupBy(*window).agg(F.count("*").alias("n")).filter("n > 1").select(*window)
-    reach = windows.join(shared, window).groupBy("anchor", "context").agg(F.max("shift").alias("before"), F.min("shift").alias("least"))
-    reach = reach.select("anchor", "context", "before", (length - F.col("least")).alias("after"))
-    alone = needed.filter(~F.col("several")).join(reach, ["anchor", "context"])
-    copied = classes.filter("several").select("anchor", "context")
-    copied = places.join(copied, ["anchor", "context"]).select("*", F.lit(side).alias("before"), F.lit(width + side).alias("after"))
-    both = alone.select(*PLACE, "before", "after").unionByName(copied.select(*PLACE, "before", "after"))
-    begin = F.greatest(F.col("pos") - F.col("before"), F.lit(0)).alias("begin")
-    return both.select("doc", "copy", begin, (F.col("pos") + F.col("after")).alias("upto"))
+    needed = staged(classes.join(mixed, "anchor").select(*PLACE), "mixed")
+    windows = staged(windows_of(docs, needed, length), "windows")
+    shared = windows.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two")
+    again = windows.join(shared, ["one", "two"])
+    return copied.unionByName(again.select("doc", "copy", F.col("start").alias("begin"), (F.col("start") + length).alias("upto")))
 
 
 def kept_words(words: list[bytes], begin: np.ndarray, upto: np.ndarray) -> list[bytes]:
