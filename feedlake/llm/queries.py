@@ -3,6 +3,7 @@
 import corpus_pipeline
 from feedlake.llm import (
     chat,
+    collocations,
     decontaminate,
     fill_middle,
     fingerprints,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op12_window_dedup": window_dedup.op12_window_dedup,
     "op13_fill_middle": fill_middle.op13_fill_middle,
     "pipeline": corpus_pipeline.run,
@@ -34,6 +36,7 @@ QUERIES = {
 ORACLES = {
     "op4_chat_format": chat.OP4_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op11_collocations": collocations.OP11_SQL,
     "op12_window_dedup": window_dedup.OP12_SQL,
     "op13_fill_middle": fill_middle.OP13_SQL,
 }
