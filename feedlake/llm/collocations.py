@@ -7,16 +7,16 @@ its first k words, a candidate with a = f has l = f(first part), r = f(rest) and
 ⌊1000 · a · n / (l · r)⌋; the cut with the lowest score counts, of equal ones the smallest k. A candidate
 whose words lie within a longer one of the same count goes.
 
-Every shard of text sorts its n-grams and builds count automata from them, one for each prefix
-of at most two words, sequence after sequence (see automata). They are dealt by ranges of
-prefixes; those of one prefix are united and their counts summed, in rounds of ``FAN`` shards, and
+Words are numbered by a 64-bit hash of language and word. Every shard of text sorts its n-grams and builds
+count automata from them (see automata), one for each range of their prefixes.
+Those of one range are united, ``FAN`` at a time, their counts summed, and
 what stays under ``least`` goes: no part of a candidate is rarer than the candidate. Counts of the
-parts come from composing the automaton of all wanted parts with the counts, prefix by prefix.
+parts come from composing the automaton of all wanted parts with the counts, range by range. Shards
+also list the words behind the numbers; were two words to share a number, the run would stop.
 
-A phrase is no more frequent than its words and its pairs of words. So words, then pairs of
-words that may be frequent, are counted by 64-bit hashes beforehand, over all documents, and
-filters of fixed size keep the others out of the shards. A filter only lets too much through;
-every count that is used is one of the automata's, by the words themselves.
+No phrase is more frequent than its words or pairs of words. So shards count words first, then pairs
+of words that are frequent, then longer n-grams all of whose pairs are. Filters of fixed size tell
+shards what was frequent. They only let too much through, the more the larger the corpus.
 
 Defined cases: a null text is empty; a null language is ``und``; doc_id is not read, so each
 row counts, repeated ones too; a word or text may have any length; other columns are ignored; an empty
@@ -25,31 +25,31 @@ table, or one without candidates, gives an empty table.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from feedlake.llm import automata, bytescan
-from feedlake.llm.automata import Automaton, Entry
+from feedlake.llm.automata import Automaton
 from feedlake.llm.common import documents, filter_bits, may_hold, staged, whole_text
 
 LEAST = 100  # occurrences of a candidate
 LONGEST = 5  # words of a candidate
 TOP = 2000  # candidates of a language in the report
 SLICE = 1 << 22  # bytes of text whose words are counted at once
-SHARD = 200_000  # different n-grams, at which a shard is sorted and built
-ROWS = 4096  # of a batch that a task hands on
+SHARD = 2_000_000  # n-grams of a task, at which equal ones are added up; half as many different ones make a shard
+RANGES = 4  # for each shuffle partition
+FAN = 64  # automata that a union takes at once
 UNKNOWN = "und"
 
-KEY = ["lang", "first", "second"]
-PACKED = {"ends": pa.list_(pa.int32()), "labels": pa.list_(pa.string()), "weights": pa.list_(pa.int64()), "targets": pa.list_(pa.int32())}
-PACKED_SCHEMA = "ends array<int>, labels array<string>, weights array<long>, targets array<int>"
-KEY_SCHEMA = "lang string, first string, second string"
+NAME = pa.struct([("lang", pa.string()), ("word", pa.string())])
+SCHEMA = (
+    "range long, ends array<int>, labels array<long>, weights array<long>, targets array<int>, "
+    "numbers array<long>, names array<struct<lang: string, word: string>>"
+)
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -84,11 +84,20 @@ class Pieces:
         own = np.array([hash_of(name) for name in self.names], dtype=np.uint64)
         sums, inverse = bytescan.running_hash(self.data), bytescan.inverse_powers(len(data) + 1)
         alone = bytescan.slice_hash(sums, self.start, self.end, inverse)
-        self.hashes = bytescan.mix(alone ^ own[self.lang]) if len(row) else alone
+        self.hashes = np.maximum(bytescan.mix(alone ^ own[self.lang]), 1) if len(row) else alone  # 0 is no word
+
+    def neighbours(self, words: np.ndarray) -> np.ndarray:
+        """Positions whose word and next word are neighbours and pass the filter."""
+        good = may_hold(words, self.hashes)
+        return np.flatnonzero(self.joined[:-1] & good[:-1] & good[1:])
 
     def pairs(self, at: np.ndarray) -> np.ndarray:
         """Hash of the words at and after each position."""
-        return bytescan.mix(self.hashes[at] * bytescan.BASE + self.hashes[at + 1])
+        return pair_hash(self.hashes[at], self.hashes[at + 1])
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return bytescan.mix(first * bytescan.BASE + second)
 
 
 def hash_of(name: str) -> int:
@@ -104,248 +113,259 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[Pieces]:
     return (Pieces(part) for whole in batches for part in bytescan.slices(whole, size=SLICE))
 
 
-def hash_counts(docs: DataFrame, words: np.ndarray | None = None) -> DataFrame:
-    """lang, hash and n of all words, with a row of the null hash for all of them; or, given the
-    filter of words, of all pairs that have both words in it (lang is null).
-    """
+def range_of(rows: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that each sequence belongs to: by its first word, from three words on by its first three."""
+    mixed = rows[:, 0].copy()
+    if rows.shape[1] > 2:
+        longer = rows[:, 2] != 0
+        mixed[longer] = bytescan.mix(bytescan.mix(rows[longer, 0] * bytescan.BASE + rows[longer, 1]) * bytescan.BASE + rows[longer, 2])
+    return (((mixed >> np.uint64(33)) * np.uint64(ranges)) >> np.uint64(31)).astype(np.int64)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            if words is None:
-                hashes, langs, extra = part.hashes, part.lang, np.bincount(part.lang, minlength=len(part.names))
-            else:
-                good = may_hold(words, part.hashes)
-                hashes, langs, extra = part.pairs(np.flatnonzero(part.joined[:-1] & good[:-1] & good[1:])), None, None
-            hashes, where, times = np.unique(hashes, return_index=True, return_counts=True)
-            kept = pa.nulls(len(hashes), pa.string()) if langs is None else pa.array(part.names, pa.string()).take(pa.array(langs[where]))
-            yield pa.record_batch([kept, bytescan.longs(hashes), pa.array(times)], names=["lang", "hash", "n"])
-            if extra is not None:
-                none = pa.nulls(len(part.names), pa.int64())
-                yield pa.record_batch([pa.array(part.names, pa.string()), none, pa.array(extra, pa.int64())], names=["lang", "hash", "n"])
-
-    found = lang_texts(docs).mapInArrow(read, "lang string, hash long, n long")
-    return found.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
-
-
-def phrases(part: Pieces, words: np.ndarray, pairs: np.ndarray, longest: int) -> Iterator[tuple[tuple[str, ...], int]]:
-    """(language, words…) and count of the n-grams of a slice that pass both filters."""
-    good = may_hold(words, part.hashes)
-    starts = np.flatnonzero(good)
-    follows = np.zeros(len(good), dtype=bool)
-    linked = np.flatnonzero(part.joined[:-1] & good[:-1] & good[1:])
-    follows[linked[may_hold(pairs, part.pairs(linked))]] = True
-    spelled: dict[int, str] = {}
-
-    def spell(at: int) -> str:
-        own = int(part.hashes[at])
-        if own not in spelled:
-            spelled[own] = part.data[part.start[at] : part.end[at]].tobytes().decode()
-        return spelled[own]
-
-    hashes = part.hashes[starts]
-    for size in range(1, longest + 1):
-        if size > 1:
-            onward = follows[starts + size - 2]
-            starts, hashes = starts[onward], hashes[onward]
-            hashes = bytescan.mix(hashes * bytescan.BASE + part.hashes[starts + size - 1])
-        _, where, times = np.unique(hashes, return_index=True, return_counts=True)
-        for at, count in zip(starts[where].tolist(), times.tolist()):
-            yield (part.names[part.lang[at]], *map(spell, range(at, at + size))), count
-
-
-def key_of(words: tuple[str, ...]) -> tuple[str, str, str]:
-    """Language and prefix that a phrase (language, words…) is dealt by; a single word has no second."""
-    return words[0], words[1], words[2] if len(words) > 2 else ""
-
-
-def tail_of(words: tuple[str, ...]) -> tuple[str, ...]:
-    """What the automaton of a phrase's prefix has of it: all from the last word of the prefix on."""
-    return words[2:] if len(words) > 2 else words[1:]
-
-
-def whole(first: str, second: str, tail: tuple[str, ...]) -> list[str]:
-    """The words of a phrase again."""
-    return [first, *tail] if second else list(tail)
-
-
-def rows_of(counts: Counter) -> Iterator[tuple]:
-    """Key and automaton of each prefix, from the n-grams of a shard in order."""
-    in_order = sorted(counts.items(), key=lambda e: [w.encode() for w in e[0]])
-    for key, own in groupby(in_order, key=lambda e: key_of(e[0])):
-        yield *key, automata.build((tail_of(words), count) for words, count in own)
-
-
-def batch_of(rows: list[tuple], extra: dict[str, pa.DataType] | None = None) -> pa.RecordBatch:
-    """Rows of key, automaton and further values as a batch."""
-    extra = extra or {}
-    columns = [[row[i] for row in rows] for i in range(3)]
-    packed = [automata.packed(row[3]) for row in rows]
-    more = [[row[4 + i] for row in rows] for i in range(len(extra))]
-    arrays = [pa.array(c, pa.string()) for c in columns]
-    arrays += [pa.array([p[i] for p in packed], kind) for i, kind in enumerate(PACKED.values())]
-    arrays += [pa.array(c, kind) for c, kind in zip(more, extra.values())]
-    return pa.RecordBatch.from_arrays(arrays, names=[*KEY, *PACKED, *extra])
-
-
-def shard_automata(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, longest: int) -> DataFrame:
-    """Key and automaton of each prefix of each shard, and the number of its task."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        task = TaskContext.get().partitionId()
+Counted = tuple[np.ndarray, np.ndarray]  # sequences and their counts
+Names = dict[int, tuple[str, str]]  # language and word by number; a language by itself has no word
 
-        def built() -> Iterator[pa.RecordBatch]:
-            rows = ((*row, task) for row in rows_of(counts))
-            while chunk := list(islice(rows, ROWS)):
-                yield batch_of(chunk, {"shard": pa.int64()})
-            counts.clear()
 
-        for part in slices(batches):
-            for phrase, count in phrases(part, words, pairs, longest):
-                counts[phrase] += count
-                if len(counts) >= SHARD:
-                    yield from built()
-        yield from built()
+def single_words(part: Pieces) -> tuple[Counted, Names]:
+    """All words of a slice; of each language its number, as often as it has words."""
+    numbers, times = np.unique(part.hashes, return_counts=True)
+    own = [hash_of(name) for name in part.names]
+    rows = np.concatenate([numbers, np.array(own, dtype=np.uint64)])[:, None]
+    counts = np.concatenate([times, np.bincount(part.lang, minlength=len(own))])
+    return automata.summed(rows, counts), {number: (name, "") for number, name in zip(own, part.names)}
+
+
+def word_pairs(words: np.ndarray) -> Callable[[Pieces], tuple[Counted, Names]]:
+    """All pairs of words that pass the filter."""
+
+    def count(part: Pieces) -> tuple[Counted, Names]:
+        rows = part.hashes[part.neighbours(words)[:, None] + np.arange(2)]
+        return automata.summed(rows, np.ones(len(rows), dtype=np.int64)), {}
 
-    return lang_texts(docs).mapInArrow(read, f"{KEY_SCHEMA}, {PACKED_SCHEMA}, shard long")
+    return count
+
+
+def longer_phrases(words: np.ndarray, pairs: np.ndarray, longest: int) -> Callable[[Pieces], tuple[Counted, Names]]:
+    """All n-grams of three words or more whose words and pairs pass the filters; the words of all such pairs."""
+
+    def count(part: Pieces) -> tuple[Counted, Names]:
+        linked = part.neighbours(words)
+        linked = linked[may_hold(pairs, part.pairs(linked))]
+        follows = np.zeros(len(part.hashes), dtype=bool)
+        follows[linked] = True
+        rows, counts, starts = [], [], linked
+        for size in range(3, longest + 1):
+            starts = starts[follows[starts + size - 2]]
+            own = part.hashes[starts[:, None] + np.arange(size)]
+            own, times = automata.summed(own, np.ones(len(starts), dtype=np.int64))
+            rows.append(np.pad(own, ((0, 0), (0, longest - size))))
+            counts.append(times)
+        found = (np.concatenate(rows), np.concatenate(counts)) if rows else (np.zeros((0, longest), np.uint64), np.zeros(0, np.int64))
+        return found, spelled(part, np.unique(np.concatenate([linked, linked + 1])))
+
+    return count
+
+
+def spelled(part: Pieces, at: np.ndarray) -> Names:
+    """Language and word behind the numbers at these positions."""
+    hashes, first = np.unique(part.hashes[at], return_index=True)
+    return {
+        h: (part.names[part.lang[i]], part.data[part.start[i] : part.end[i]].tobytes().decode())
+        for h, i in zip(hashes.tolist(), at[first].tolist())
+    }
+
+
+def batch_of(place: int, automaton: Automaton, names: Names) -> pa.RecordBatch:
+    """One row: the automaton of a range, and the words that are numbered in it."""
+    columns = {
+        "range": pa.array([place], pa.int64()),
+        "ends": pa.array([automaton.ends.astype(np.int32)]),
+        "labels": pa.array([automaton.labels.view(np.int64)]),
+        "weights": pa.array([automaton.weights]),
+        "targets": pa.array([automaton.targets.astype(np.int32)]),
+        "numbers": pa.array([np.fromiter(names, np.uint64, len(names)).view(np.int64)]),
+        "names": pa.array([[{"lang": lang, "word": word} for lang, word in names.values()]], pa.list_(NAME)),
+    }
+    return pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def automaton_of(batch: pa.RecordBatch, row: int) -> Automaton:
-    return automata.unpacked(*(batch.column(name)[row].as_py() for name in PACKED))
+    ends, labels, weights, targets = (batch.column(n)[row].values.to_numpy() for n in ("ends", "labels", "weights", "targets"))
+    return Automaton(ends.astype(np.int64), labels.view(np.uint64), weights, targets.astype(np.int64))
+
 
+def names_of(batch: pa.RecordBatch, row: int) -> Names:
+    numbers = batch.column("numbers")[row].values.to_numpy().view(np.uint64).tolist()
+    return {n: (one["lang"], one["word"]) for n, one in zip(numbers, batch.column("names")[row].as_py())}
 
-def by_key(batches: Iterable[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, Iterator[tuple[pa.RecordBatch, int]]]]:
-    """The rows of sorted batches, those of one key after the other."""
-    rows = (
-        (key, batch, row) for batch in batches for row, key in enumerate(zip(*(batch.column(n).to_pylist() for n in names)))
-    )
-    for key, own in groupby(rows, key=lambda r: r[0]):
-        yield key, ((batch, row) for _, batch, row in own)
 
+def counted(docs: DataFrame, count: Callable[[Pieces], tuple[Counted, Names]], depth: int, least: int, ranges: int) -> DataFrame:
+    """The automaton of each range over all texts, of what ``count`` finds ``least`` times or more."""
 
-def united(shards: DataFrame) -> DataFrame:
-    """The sum of all shards' automata of each prefix: rounds of FAN shards, as many as it takes."""
-    names = [*KEY, "shard"]
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Counted] = []
+        known: Names = {}
+
+        def together() -> Counted:
+            return automata.summed(np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held]))
+
+        def built() -> Iterator[pa.RecordBatch]:
+            rows, counts = together()
+            numbers = np.fromiter(known, np.uint64, len(known))
+            names_at = range_of(numbers[:, None], ranges)
+            places = range_of(rows, ranges)
+            order, by_name = np.argsort(places, kind="stable"), np.argsort(names_at, kind="stable")
+            places, names_at = places[order], names_at[by_name]
+            for place in np.union1d(places, names_at).tolist():
+                own = order[np.searchsorted(places, place) : np.searchsorted(places, place, side="right")]
+                here = numbers[by_name[np.searchsorted(names_at, place) : np.searchsorted(names_at, place, side="right")]]
+                yield batch_of(place, automata.build(rows[own], counts[own]), {n: known[n] for n in here.tolist()})
+            held.clear()
+            known.clear()
+
+        for part in slices(batches):
+            found, names = count(part)
+            held.append(found)
+            known |= names
+            if sum(len(r) for r, _ in held) >= SHARD:
+                held[:] = [together()]
+            if 2 * len(held[0][0]) >= SHARD or len(known) >= SHARD:
+                yield from built()
+        if held:
+            yield from built()
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = []
-        for key, own in by_key(batches, names):
-            together: list[Automaton] = []
-            for batch, row in own:
-                together.append(automaton_of(batch, row))
-                if len(together) == automata.FAN:
-                    together = [automata.union(together)]
-            done.append((*key[:3], automata.union(together), key[3]))
-            if len(done) >= ROWS:
-                yield batch_of(done, {"shard": pa.int64()})
-                done = []
-        yield batch_of(done, {"shard": pa.int64()})
-
-    last = shards.agg(F.max("shard")).first()[0] or 0
-    while True:
-        last //= automata.FAN
-        shards = shards.withColumn("shard", F.floor(F.col("shard") / automata.FAN).cast("long"))
-        dealt = shards.repartitionByRange(*names).sortWithinPartitions(*names)
-        shards = staged(dealt.mapInArrow(unite, f"{KEY_SCHEMA}, {PACKED_SCHEMA}, shard long"), "counts-united")
-        if not last:
-            return shards.drop("shard")
-
-
-def frequent(counts: DataFrame, least: int) -> DataFrame:
-    """The same without all that occurs less often; prefixes that are too rare go as a whole."""
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for row, key in enumerate(zip(*(batch.column(n).to_pylist() for n in KEY))):
-                kept = [e for e in automata.entries(automaton_of(batch, row)) if e[1] >= least]
-                if kept:
-                    rows.append((*key, automata.build(kept)))
-            yield batch_of(rows)
-
-    return counts.mapInArrow(prune, f"{KEY_SCHEMA}, {PACKED_SCHEMA}")
-
-
-def phrase_batch(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    """Rows of language, words and count as a batch."""
-    columns = list(zip(*found)) if found else [[]] * 3
-    kinds = (pa.string(), pa.list_(pa.string()), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-
-def spelled_out(counts: DataFrame) -> DataFrame:
-    """lang, words and a of every phrase."""
+        rows = ((place, batch, row) for batch in batches for row, place in enumerate(batch.column("range").to_pylist()))
+        for place, own in groupby(rows, key=lambda r: r[0]):
+            sums, names = automata.build(np.zeros((0, depth), np.uint64), np.zeros(0, np.int64)), {}
+            while some := list(islice(own, FAN)):
+                for _, batch, row in some:
+                    for number, name in names_of(batch, row).items():
+                        if names.setdefault(number, name) != name:
+                            raise ValueError("two words share a number")
+                sums = automata.build(*automata.union([sums, *(automaton_of(batch, row) for _, batch, row in some)], depth))
+            found, counts = automata.summed(*automata.entries(sums, depth))
+            yield batch_of(place, automata.build(found[counts >= least], counts[counts >= least]), names)
+
+    shards = lang_texts(docs).mapInArrow(build, SCHEMA)
+    return shards.repartition("range").sortWithinPartitions("range").mapInArrow(unite, SCHEMA)
+
+
+def phrase_batch(rows: np.ndarray, counts: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """Sequences as lists of numbers, with their counts."""
+    offsets = np.concatenate([[0], np.cumsum((rows != 0).sum(axis=1))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[rows != 0].view(np.int64)))
+    return pa.RecordBatch.from_arrays([lists, pa.array(counts, pa.int64())], names=names)
+
+
+def listed(counts: DataFrame, longest: int, least: int) -> DataFrame:
+    """words (their numbers) and a of every phrase."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[str, list[str], int]] = []
-            for row, (lang, first, second) in enumerate(zip(*(batch.column(n).to_pylist() for n in KEY))):
-                found += [(lang, whole(first, second, tail), count) for tail, count in automata.entries(automaton_of(batch, row))]
-            yield phrase_batch(found, ["lang", "words", "a"])
+        for batch, row in ((batch, row) for batch in batches for row in range(batch.num_rows)):
+            yield phrase_batch(*automata.entries(automaton_of(batch, row), longest), ["words", "a"])
 
-    return counts.mapInArrow(read, "lang string, words array<string>, a long")
+    return counts.mapInArrow(read, "words array<long>, a long").filter(F.col("a") >= least)
 
 
-def looked_up(parts: DataFrame, counts: DataFrame) -> DataFrame:
-    """part and its f, per lang, for all ``parts`` (lang, part) that were counted."""
+def pair_numbers(counts: DataFrame) -> DataFrame:
+    """The hash of each counted pair."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
-        for (lang, first, second), own in by_key(batches, KEY):
-            known: Automaton = [()]
-            asked: list[Entry] = []
-            for batch, row in own:  # the counts come first, then what is asked, in order
-                tail = batch.column("tail")[row].as_py()
-                if tail is None:
-                    known = automaton_of(batch, row)
-                else:
-                    asked.append((tuple(tail), 1))
-            found += [(lang, whole(first, second, tail), f) for tail, f in automata.compose(automata.build(asked), known)]
-            if len(found) >= ROWS:
-                yield phrase_batch(found, ["lang", "part", "f"])
-                found = []
-        yield phrase_batch(found, ["lang", "part", "f"])
-
-    words = F.col("part")
-    asked = parts.select(
-        "lang",
-        words[0].alias("first"),
-        F.when(F.size(words) > 1, F.element_at(words, 2)).otherwise("").alias("second"),
-        F.when(F.size(words) > 1, F.slice(words, 2, F.size(words))).otherwise(words).alias("tail"),
-    )
-    both = counts.withColumn("tail", F.lit(None).cast("array<string>")).unionByName(asked, allowMissingColumns=True)
-    dealt = both.repartition(*KEY).sortWithinPartitions(*KEY, F.col("tail").asc_nulls_first())
-    return dealt.mapInArrow(read, "lang string, part array<string>, f long")
+        for batch, row in ((batch, row) for batch in batches for row in range(batch.num_rows)):
+            pairs, _ = automata.entries(automaton_of(batch, row), 2)
+            yield pa.record_batch([bytescan.longs(pair_hash(pairs[:, 0], pairs[:, 1]))], names=["number"])
+
+    return counts.mapInArrow(read, "number long")
+
+
+def names_in(counts: DataFrame) -> DataFrame:
+    """Language and word (name) behind each number that shards listed."""
+    one = F.explode(F.arrays_zip("numbers", "names")).alias("one")
+    return counts.select(one).select(F.col("one.numbers").alias("number"), F.col("one.names").alias("name"))
+
+
+def rows_of(lists: pa.Array, longest: int) -> np.ndarray:
+    """Lists of numbers as padded sequences."""
+    sizes = lists.value_lengths().to_numpy()
+    rows = np.zeros((len(sizes), longest), dtype=np.uint64)
+    rows[np.repeat(np.arange(len(sizes)), sizes), automata.within(sizes)] = lists.flatten().to_numpy().view(np.uint64)
+    return rows
+
+
+def looked_up(parts: DataFrame, counts: DataFrame, longest: int, ranges: int) -> DataFrame:
+    """part and its f, for all ``parts`` (lists of numbers) that were counted."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.column("part") for batch in batches):
+            yield pa.RecordBatch.from_arrays([part, pa.array(range_of(rows_of(part, longest), ranges))], names=["part", "range"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, known, asked = None, [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if asked:
+                rows, _ = automata.summed(np.concatenate(asked), np.ones(sum(map(len, asked)), dtype=np.int64))
+                wanted = automata.build(rows, np.ones(len(rows), dtype=np.int64))
+                for one in known:  # words and pairs, and longer phrases, are counted apart
+                    yield phrase_batch(*automata.compose(wanted, one, longest), ["part", "f"])
+
+        for batch in batches:  # a range's counts come first, then what is asked of it
+            places = batch.column("range").to_numpy()
+            borders = [*automata.first_of(places).tolist(), len(places)]
+            for a, b in zip(borders, borders[1:]):
+                if places[a] != place:
+                    yield from found()
+                    place, known, asked = places[a], [], []
+                while a < b and batch.column("ends")[a].is_valid:
+                    known.append(automaton_of(batch, a))
+                    a += 1
+                if b > a:
+                    asked.append(rows_of(batch.column("part").slice(a, b - a), longest))
+        yield from found()
+
+    asked = parts.mapInArrow(deal, "part array<long>, range long")
+    both = counts.drop("numbers", "names").unionByName(asked, allowMissingColumns=True)
+    both = both.repartition("range").sortWithinPartitions("range", F.col("part").isNotNull())
+    return both.mapInArrow(look_up, "part array<long>, f long")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """lang, words, phrase, a, l, r, n and score of all candidates that lie in no longer one of the same count."""
-    word_counts = staged(hash_counts(docs).filter((F.col("n") >= least) | F.col("hash").isNull()), "word-hashes")
-    totals = word_counts.filter(F.col("hash").isNull()).select("lang", "n")
-    words = filter_bits(word_counts.filter(F.col("hash").isNotNull()).select("hash"))
-    pairs = filter_bits(hash_counts(docs, words).filter(F.col("n") >= least).select("hash"))
-    shards = staged(shard_automata(docs, words, pairs, longest), "shards")
-    counts = staged(frequent(united(shards), least), "counts")
-
-    found = staged(spelled_out(counts).filter(F.size("words") > 1), "candidates")
+    """lang, phrase, a, l, r, n and score of all candidates that lie in no longer one of the same count."""
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    single = staged(counted(docs, single_words, 1, least, ranges), "counts-1")
+    words = listed(single, 1, least)
+    totals = words.join(names_in(single), F.col("number") == F.col("words")[0]).select(F.col("name.lang").alias("lang"), F.col("a").alias("n"))
+    frequent = filter_bits(words.select(F.col("words")[0].alias("number")))
+    double = staged(counted(docs, word_pairs(frequent), 2, least, ranges), "counts-2")
+    frequent_pairs = filter_bits(pair_numbers(double))
+    more = staged(counted(docs, longer_phrases(frequent, frequent_pairs, longest), longest, least, ranges), "counts-3")
+    counts = single.unionByName(double).unionByName(more)
+
     size = F.size("words")
+    found = staged(listed(double.unionByName(more), longest, least), "candidates")
     cuts = found.select("*", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
-    cuts = cuts.select("lang", "words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("left"), F.slice("words", F.col("k") + 1, size).alias("right"))
+    cuts = cuts.select("words", "a", "k", F.slice("words", F.lit(1), F.col("k")).alias("left"), F.slice("words", F.col("k") + 1, size).alias("right"))
     cuts = staged(cuts, "cuts")
-    parts = cuts.select("lang", F.explode(F.array("left", "right")).alias("part")).distinct()
-    f = staged(looked_up(parts, counts), "parts")
-    met = cuts.join(f.toDF("lang", "left", "l"), ["lang", "left"]).join(f.toDF("lang", "right", "r"), ["lang", "right"]).join(totals, "lang")
+    parts = cuts.select(F.explode(F.array("left", "right")).alias("part")).distinct()
+    f = staged(looked_up(parts, counts, longest, ranges), "parts")
+    names = names_in(more)
+    met = cuts.join(f.toDF("left", "l"), "left").join(f.toDF("right", "r"), "right")
+    langs = names.select(F.col("number").alias("first"), F.col("name.lang").alias("lang"))
+    met = met.withColumn("first", F.col("words")[0]).join(langs, "first").join(totals, "lang")
     exact = "decimal(19,0)"  # products of two have 38 digits, which is exact
     score = F.expr(f"(cast(1000 * a as {exact}) * cast(n as {exact})) div (cast(l as {exact}) * cast(r as {exact}))")
     worst = met.withColumn("score", score).groupBy("lang", "words").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("cut"))
 
-    inner = found.filter(size > 2).select(
-        "lang", "a", F.col("words").alias("whole"), F.explode(F.sequence(F.lit(2), size - 1)).alias("m")
-    )
-    inner = inner.select("lang", "a", "whole", "m", F.explode(F.sequence(F.lit(1), F.size("whole") - F.col("m") + 1)).alias("at"))
-    inner = inner.groupBy("lang", F.slice("whole", F.col("at"), F.col("m")).alias("words")).agg(F.max("a").alias("longer"))
-    kept = worst.join(inner, ["lang", "words"], "left").filter(F.col("longer").isNull() | (F.col("longer") < F.col("cut.a")))
-    return kept.select("lang", "words", F.array_join("words", " ").alias("phrase"), *(f"cut.{c}" for c in ("a", "l", "r", "n", "score")))
+    inner = found.filter(size > 2).select("a", F.col("words").alias("whole"), F.explode(F.sequence(F.lit(2), size - 1)).alias("m"))
+    inner = inner.select("a", "whole", "m", F.explode(F.sequence(F.lit(1), F.size("whole") - F.col("m") + 1)).alias("at"))
+    inner = inner.groupBy(F.slice("whole", F.col("at"), F.col("m")).alias("words")).agg(F.max("a").alias("longer"))
+    kept = worst.join(inner, "words", "left").filter(F.col("longer").isNull() | (F.col("longer") < F.col("cut.a")))
+
+    spelled_out = kept.select("lang", "words", "cut", F.posexplode("words").alias("at", "number")).join(names, "number")
+    word = F.struct("at", F.col("name.word").alias("word"))
+    spelled_out = spelled_out.groupBy("lang", "words").agg(F.first("cut").alias("cut"), F.array_sort(F.collect_list(word)).alias("spelled"))
+    return spelled_out.select("lang", F.array_join("spelled.word", " ").alias("phrase"), *(f"cut.{c}" for c in ("a", "l", "r", "n", "score")))
 
 
 def op11_collocations(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from feedlake.llm import automata, collocations
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -11,35 +13,55 @@ SCHEMA = "doc_id long, text string, lang string, n int, words string, first stri
 
 
 def some_counts(size):
-    return Counter({tuple(random.choice("abé") for _ in range(random.randint(1, 4))): random.randint(1, 3) for _ in range(size)})
+    labels = [3, 7, 9, (1 << 63) + 5]
+    return Counter({tuple(random.choice(labels) for _ in range(random.randint(1, 4))): random.randint(1, 2) for _ in range(size)})
+
+
+def rows_of(counts, depth=4):
+    rows = np.zeros((len(counts), depth), dtype=np.uint64)
+    for i, words in enumerate(counts):
+        rows[i, : len(words)] = words
+    return automata.summed(rows, np.array(list(counts.values()), dtype=np.int64))
+
+
+def read_back(found):
+    return {tuple(int(x) for x in row if x): int(count) for row, count in zip(*found)}
+
+
+def states_by_depth(counts):
+    """All states of a plain trie as nested tuples, equal ones once."""
+    found = set()
 
+    def state(words):
+        following = sorted({k[len(words)] for k in counts if len(k) > len(words) and k[: len(words)] == words})
+        own = tuple((x, counts.get((*words, x), 0), state((*words, x))) for x in following)
+        found.add((len(words) if own else None, own))
+        return own
 
-def built(counts):
-    return automata.build(sorted(counts.items(), key=automata.order))
+    state(())
+    return found | {(None, ())}
 
 
 def test_automata_keep_counts_and_share_states():
     random.seed(21)
-    for size in (0, 1, 5, 60):
+    for size in [0, 1, 2, 5, 60, 200] * 10:
         counts = some_counts(size)
-        made = built(counts)
-        assert dict(automata.entries(made)) == counts
-        assert list(automata.entries(made)) == sorted(counts.items(), key=automata.order)
-        assert len(set(made[:-1])) == len(made[:-1])  # no two states have the same arcs, but for the start
-        assert automata.unpacked(*automata.packed(made)) == made
-    tails = {(a, *rest): 2 for a in "pqr" for rest in (("x",), ("x", "y"), ("z",))}
-    assert len(built(tails)) == 4  # nothing, after x, after p or q or r, the start
+        made = automata.build(*rows_of(counts))
+        assert read_back(automata.entries(made, 4)) == counts
+        assert len(made.ends) == len(states_by_depth(counts))
+    tails = {(a, *rest): 2 for a in (1, 2, 3) for rest in ((4,), (4, 5), (6,))}
+    assert len(automata.build(*rows_of(tails)).ends) == 4  # nothing, after 4, after 1 or 2 or 3, the start
 
 
-def test_union_adds_and_compose_looks_up(monkeypatch):
+def test_union_adds_and_compose_looks_up():
     random.seed(22)
-    monkeypatch.setattr(automata, "FAN", 3)
     parts = [some_counts(random.randint(0, 30)) for _ in range(11)]
     total = sum(parts, Counter())
-    together = automata.union([built(c) for c in parts])
-    assert dict(automata.entries(together)) == total
-    asked = {words: 1 for words in some_counts(40)}
-    assert dict(automata.compose(built(asked), together)) == {w: total[w] for w in asked if w in total}
+    together = automata.build(*automata.union([automata.build(*rows_of(c)) for c in parts], 4))
+    assert read_back(automata.entries(together, 4)) == total
+    asked = some_counts(60)
+    found = automata.compose(automata.build(*rows_of(asked)), together, 4)
+    assert read_back(found) == {w: total[w] for w in asked if w in total}
 
 
 def plain(rows, least, longest):
@@ -70,13 +92,15 @@ def plain(rows, least, longest):
 
 def mine(spark, rows, least, longest):
     table = spark.createDataFrame([(i, t, lang, 1, "w", "f", "s") for i, t, lang in rows], SCHEMA)
-    found = collocations.collocations(table.repartition(3), least, longest).collect()
+    found = collocations.collocations(table.repartition(5), least, longest).collect()
     return sorted((r.lang, r.phrase, r.a, r.l, r.r, r.n, int(r.score)) for r in found)
 
 
 def test_collocations_equal_brute_force(spark, monkeypatch):
     random.seed(23)
-    monkeypatch.setattr(collocations, "SHARD", 50)  # many shards, so that unions have work
+    # Many shards of short slices, so that unions have work.
+    for name, small in (("SHARD", 50), ("FAN", 2)):
+        monkeypatch.setattr(collocations, name, small)
     pool = ["New", "york", "the", "of", "é", "ß", "a-b", "x\x01", "THE"]
     ends = [" ", "  ", "\t", ". ", "\n", ","]
     rows = []
