@@ -29,7 +29,7 @@ def feed_config_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed files of at most 20 items: RSS, Atom (fr), cut short (de), unreadable (es)."""
+    """Feed files of at most 20 items: RSS, Atom (fr), cut short (de), items without end tags (es)."""
     pages = i.site_pages(spark, sf_dir).withColumn("window", F.floor(F.col("page_id") / 20))
     link = F.replace("url", F.lit("&"), F.lit("&amp;"))
     article = F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1)
@@ -76,6 +76,42 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files as they should not be: items within comments, bare markup, XHTML (fr), a cut-off end (de)."""
+    pages = i.site_pages(spark, sf_dir).withColumn("window", F.floor(F.col("page_id") / 20))
+    link = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    number = F.col("number").cast("string")
+    rss = F.concat(
+        F.lit("<!-- <item><title>no</title><link>http://no.example</link></item> --><item><title>"), "title", F.lit("</title><link>"), link,
+        F.lit("</link><description>w <b>"), number, F.lit("</b><br> &amp; <![CDATA[<i>]]></description></item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry><title>"), "title", F.lit('</title><link href="'), link,
+        F.lit('"/><content type="xhtml"><div><p>w '), number, F.lit(" &amp; more</p></div></content></entry>"),
+    )
+    body = F.array_join("items.item", "")
+    return (
+        pages.groupBy("source", "lang", "window")
+        .agg(F.array_sort(F.collect_list(F.struct("page_id", i.by_lang(rss, atom, rss, rss).alias("item")))).alias("items"))
+        .select(
+            "source", "lang", "window",
+            i.by_lang(
+                F.concat(F.lit("<rss><channel>"), body, F.lit("</channel></rss>")),
+                F.concat(F.lit("<feed>"), body, F.lit("</feed>")),
+                F.concat(F.lit("<rss><channel>"), F.regexp_replace(body, r"<br> &amp; <!\[CDATA\[<i>\]\]></description></item>$", "")),
+                F.concat(F.lit("<rss><channel><item><title>broken <b></item>"), body),
+            ).alias("xml"),
+        )
+    )
+
+
+def feed_items_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = feed_source.parse_feed_files(marked_feeds(spark, sf_dir), "xml", ["source", "lang", "window"])
+    return q.with_url(entries, "link").select(
+        "source", "lang", "window", "link", "title", F.coalesce("summary", F.get("content", 0)["value"]).alias("body")
+    )
+
+
 def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed_source.healthy_feeds(rendered_feeds(spark, sf_dir), "xml", ["source", "lang", "window"])
 
@@ -261,7 +297,7 @@ def parser_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_config_explode, feed_items, feed_health, url_keys, known_keys, queue_projection,
+        feed_config_explode, feed_items, feed_items_marked, feed_health, url_keys, known_keys, queue_projection,
         discover_new, first_wins, vault_anti, vault_semi, per_feed_cap, kind_then_cap, take_counts,
         retention_prune, prune_counts, queue_counts, queue_append, queue_json, mark_synced,
         feed_counts, total_new, target_folders, feed_lookup, parser_dispatch,
@@ -273,7 +309,7 @@ feed_files AS (
   SELECT source, lang, page_id // 20 AS "window", page_id, number, url,
     trim(replace(replace(title, '&quot;', '"'), '&amp;', '&')) AS title,
     length(regexp_extract(html, '(?s)<article>(.*?)</article>', 1)) AS summary_chars
-  FROM site_pages WHERE lang <> 'es')"""
+  FROM site_pages)"""
 
 PUBLISHED = """CASE WHEN lang IN ('en', 'fr')
       THEN strftime(TIMESTAMP '2023-01-01 08:30:00' + to_days(CAST(number AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00')
@@ -320,6 +356,13 @@ SELECT source, lang, "window",
   row_number() OVER (PARTITION BY source, lang, "window" ORDER BY page_id) - 1 AS entry_ord,
   url AS link, title, 'w' || number AS author, '2024-03-05T08:20:30+00:00' AS published, summary_chars
 FROM feed_files""",
+    "feed_items_marked": i.with_cte(i.SITE_PAGES) + """
+SELECT source, lang, page_id // 20 AS "window", url AS link,
+  trim(replace(replace(title, '&quot;', '"'), '&amp;', '&')) AS title,
+  CASE WHEN lang = 'fr' THEN '<div><p>w ' || number || ' &amp; more</p></div>'
+    WHEN lang <> 'de' OR page_id < max(page_id) OVER (PARTITION BY source, lang, page_id // 20)
+    THEN 'w <b>' || number || '</b><br> &amp; <i>' END AS body
+FROM site_pages""",
     "feed_health": i.with_cte(i.SITE_PAGES, FEED_FILES) + """
 SELECT source, lang, "window", count(*) AS n_items FROM feed_files GROUP BY source, lang, "window\"""",
     "url_keys": """

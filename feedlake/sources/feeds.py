@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,19 +11,40 @@ from feedlake import schemas
 from feedlake.functions import text
 from feedlake.operators.joins import spread_join
 
-# A marked section is one unit: no tag or ampersand within it counts.
+# A marked section is one unit: no tag, comment or ampersand within it counts.
 SECTION = r"<!\[CDATA\[.*?\]\]>"
 
+# Comments, outside of marked sections, are no part of a feed.
+COMMENT = r"(?s)(" + SECTION + r")|<!--.*?-->"
+
 # One item (RSS) or entry (Atom), read by itself: a fault elsewhere in its file
-# does not cost the other items. The possessive loop neither backtracks nor
-# recurses, however long the item is.
+# does not cost the other items. It ends at its end tag; one without ends where the
+# next one begins, its feed ends or the file is cut off. The possessive loop neither
+# backtracks nor recurses, however long the item is.
 ITEM_BLOCK = (
-    r"(?s)<(item|entry)(?:\s[^>]*)?>(?:[^<]++|" + SECTION + r"|<!--.*?-->|<(?!/\1\s*>))*+</\1\s*>"
+    r"(?s)<(item|entry)(?:\s[^>]*)?(?<!/)>(?:[^<]++|" + SECTION + r"|<(?!/?\1[\s>]|/(?:channel|feed|rss)\s*>))*+(?:</\1\s*>)?"
 )
 
 # An item cut at its marked sections; an unfinished one is plain text.
 ITEM_PIECES = r"(?s)" + SECTION + r"|(?:[^<]++|<(?!!\[CDATA\[))++|<"
 
+# Elements whose text may be markup, and the others that an entry is made of.
+TEXTS = "title|description|summary|content:encoded|content"
+OTHERS = "link|guid|author|dc:creator|pubDate|published"
+
+
+def element(names: str) -> str:
+    """Pattern of a whole element with one of these names: its name and attributes, and what it holds."""
+    return rf"<({names})(?=[\s>])([^>]*)(?<!/)>((?:[^<]++|{SECTION}|<(?!/\1\s*>))*+)</\1\s*>"
+
+
+TEXT_ELEMENT = r"(?s)" + element(TEXTS)
+# A text element or what stands before the next one.
+TEXT_PIECES = TEXT_ELEMENT + rf"|(?:[^<]++|{SECTION}|<(?!(?:{TEXTS})[\s>]))++|<"
+# What a text element holds has tags of its own.
+HAS_TAGS = rf"(?s)^(?:[^<]++|{SECTION})*+<"
+WHOLE_ELEMENTS = rf"(?s){element(TEXTS + '|' + OTHERS)}|<link\s[^>]*/>"
+
 BARE_AMPERSAND = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)"
 
 ITEM_SCHEMA = """
@@ -96,27 +116,71 @@ def with_plain_ampersands(block: Column) -> Column:
     return F.when(block.contains("&"), F.array_join(repaired, "")).otherwise(block)
 
 
-def parsed_items(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
-    """One row ``i`` per item that can be read, with its place in its file."""
-    blocks = F.regexp_extract_all(F.col(xml), F.lit(ITEM_BLOCK), F.lit(0))
-    items = files.select(*carry, F.posexplode(blocks).alias("entry_ord", "_block"))
-    # The element's own name is the row tag; both kinds are read under one name.
-    block = F.regexp_replace(with_plain_ampersands(F.col("_block")), r"^<(item|entry)", "<item")
-    block = F.regexp_replace(block, r"</(item|entry)\s*>$", "</item>")
-    item = F.from_xml(block, ITEM_SCHEMA, {"rowTag": "item", "mode": "PERMISSIVE"})
-    parsed = items.select(*carry, F.col("entry_ord").cast("long").alias("entry_ord"), item.alias("i"))
-    # What cannot be read comes back without any field.
-    return parsed.filter(reduce(Column.__or__, (F.col("i")[name].isNotNull() for name in parsed.schema["i"].dataType.names)))
+def with_markup_as_text(block: Column) -> Column:
+    """Text elements that hold tags, unescaped or as XHTML: what they hold as one marked section."""
+
+    def wrapped(piece: Column) -> Column:
+        held = F.regexp_extract(piece, TEXT_ELEMENT, 3)
+        plain = F.replace(F.replace(held, F.lit("<![CDATA["), F.lit("")), F.lit("]]>"), F.lit(""))
+        name, attributes = F.regexp_extract(piece, TEXT_ELEMENT, 1), F.regexp_extract(piece, TEXT_ELEMENT, 2)
+        whole = F.concat(F.lit("<"), name, attributes, F.lit("><![CDATA["), plain, F.lit("]]></"), name, F.lit(">"))
+        return F.when(held.rlike(HAS_TAGS), whole).otherwise(piece)
+
+    pieces = F.regexp_extract_all(block, F.lit(TEXT_PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, wrapped), "")
+
+
+def read_item(inner: Column) -> Column:
+    item = F.concat(F.lit("<item>"), with_plain_ampersands(inner), F.lit("</item>"))
+    return F.from_xml(item, ITEM_SCHEMA, {"rowTag": "item", "mode": "PERMISSIVE"})
+
+
+def readable(item: Column) -> Column:
+    """Whether an item has any field; what is rejected comes back without."""
+    return F.to_json(item) != "{}"
+
+
+def items_of(xml: Column) -> Column:
+    """The items of a feed file that can be read: a list of place and fields ``i``.
+
+    What is rejected as a whole, for a stray tag or a cut-off end, is read again from the
+    elements in it that are whole.
+    """
+    blocks = F.regexp_extract_all(F.regexp_replace(xml, COMMENT, "$1"), F.lit(ITEM_BLOCK), F.lit(0))
+    ends = r"(?s)^<(?:item|entry)(?:\s[^>]*)?>|</(?:item|entry)\s*>$"
+    inner = F.transform(blocks, lambda block: with_markup_as_text(F.regexp_replace(block, ends, "")))
+    # Each step is a list of its own, so that no item is read twice.
+    tried = F.transform(inner, lambda one: F.struct(one.alias("inner"), read_item(one).alias("whole")))
+    elements = lambda one: F.array_join(F.regexp_extract_all(one["inner"], F.lit(WHOLE_ELEMENTS), F.lit(0)), "")
+    found = F.transform(
+        tried,
+        lambda one, place: F.struct(
+            place.cast("long").alias("entry_ord"),
+            F.when(readable(one["whole"]), one["whole"]).otherwise(read_item(elements(one))).alias("i"),
+        ),
+    )
+    return F.filter(found, lambda one: readable(one["i"]))
+
+
+def parsed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
+    """``items``: the readable items of each file."""
+    return files.select(*carry, items_of(F.col(xml)).alias("items"))
+
+
+def entries_of(parsed: DataFrame, carry: list[str]) -> DataFrame:
+    """Entries of parsed files, one row each."""
+    return parsed.select(*carry, F.inline("items")).select(*carry, "entry_ord", *_entry_columns())
 
 
 def parse_feed_files(files: DataFrame, xml: str, carry: list[str]) -> DataFrame:
     """Entries of whole feed files, in file order.
 
-    A malformed file still gives its readable items; one without any gives none.
-    What cannot be read of an item is null; without a link it is no entry. A file is
-    one row, as it was landed: a feed has few items.
+    A malformed or cut-off file still gives its readable items; one without any gives none.
+    Comments and what stands in them are no items. Markup in a title, summary or content is
+    its text, escaped or not. What cannot be read of an item is null; without a link it is no
+    entry. A file is one row, as it was landed: a feed has few items.
     """
-    return parsed_items(files, xml, carry).select(*carry, "entry_ord", *_entry_columns())
+    return entries_of(parsed_files(files, xml, carry), carry)
 
 
 def _entry_columns() -> list[Column]:
@@ -165,4 +229,6 @@ def with_feed(entries: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def healthy_feeds(files: DataFrame, xml: str, keys: list[str]) -> DataFrame:
     """``keys`` of feed files with the count of items that can be read, where there are any."""
-    return parsed_items(files, xml, keys).groupBy(*keys).agg(F.count("*").alias("n_items"))
+    size = F.size("items").cast("long")
+    counted = parsed_files(files, xml, keys).select(*keys, size.alias("n_items")).filter("n_items > 0")
+    return counted.groupBy(*keys).agg(F.sum("n_items").alias("n_items"))

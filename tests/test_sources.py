@@ -87,6 +87,37 @@ def test_marked_sections_are_units(spark):
     assert health[0] == read[0] == 2 and health.get(2, 0) == 0
 
 
+TOLERATED = [
+    "<rss><channel><!-- <item><link>http://no</link></item> --><item><title>A</title><link>http://a</link></item></channel></rss>",
+    "<rss><channel><item><link>http://b</link><description>plain <b>bold</b><br> &amp; <![CDATA[x<i>y]]></description></item></channel></rss>",
+    "<rss><channel><item><link>http://c</link></item><item><title>D</title><link>http://d</link><description>cut of",
+    "<feed><entry><link href='http://e'/><content type='xhtml'><div><p>one &amp; two</p></div></content></entry></feed>",
+    "<rss><channel><item><category><link>http://f</link></item><item><link>http://g</link></channel></rss>",
+    "<item><link>http://h</link><item><title>I <!-- x -->J</title><link>http://i</link><description><![CDATA[<!-- kept -->]]></description>",
+    "<item><b></item>",
+    "<item/><entry>",
+]
+
+
+def test_items_that_are_no_xml_are_read_as_far_as_they_go(spark):
+    files = spark.createDataFrame(list(enumerate(TOLERATED)), "n long, xml string")
+    rows = feeds.parse_feed_files(files, "xml", ["n"]).collect()
+    found = {(r.n, r.entry_ord): (r.link, r.title, r.summary or (r.content and r.content[0].value)) for r in rows}
+    assert found == {
+        (0, 0): ("http://a", "A", None),
+        (1, 0): ("http://b", None, "plain <b>bold</b><br> &amp; x<i>y"),
+        (2, 0): ("http://c", None, None),
+        (2, 1): ("http://d", "D", None),
+        (3, 0): ("http://e", None, "<div><p>one &amp; two</p></div>"),
+        (4, 0): ("http://f", None, None),
+        (4, 1): ("http://g", None, None),
+        (5, 0): ("http://h", None, None),
+        (5, 1): ("http://i", "I J", "<!-- kept -->"),
+    }
+    health = {r.n: r.n_items for r in feeds.healthy_feeds(files, "xml", ["n"]).collect()}
+    assert health == {0: 1, 1: 1, 2: 2, 3: 1, 4: 2, 5: 2}
+
+
 def test_queue_snapshots(spark, tmp_path):
     path = str(tmp_path / "queue-1")
     assert snapshots.read_snapshot(spark, path, schemas.QUEUE).count() == 0
