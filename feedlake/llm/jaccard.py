@@ -66,7 +66,9 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=COUNT_BYTES)):
-            sets, n = distinct_shingles(batch.column("text"), size)
+            # Hashed in smaller slices: hashing takes some thirty times the memory of the text.
+            hashed = [distinct_shingles(part.column("text"), size) for part in bytescan.slices(batch)]
+            sets, n = [own for part, _ in hashed for own in part], np.concatenate([sizes for _, sizes in hashed])
             reach = 2 * (n - -(-percent * n // 100) + 1)
             values, times = np.unique(np.concatenate(sets), return_counts=True)
             near = np.concatenate([own[:k] for own, k in zip(sets, reach)])
@@ -122,6 +124,17 @@ def may_link(percent: int) -> Column:
     return fits & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
+def pair_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of pairs with about SLICE_BYTES of text on both sides together."""
+    offsets = sum(bytescan.utf8(batch.column(name))[1] for name in ("text_a", "text_b"))
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(offsets, offsets[at] + bytescan.SLICE_BYTES, side="right")) - 1
+        upto = min(max(upto, at + 1), batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, by_text: bool = False) -> DataFrame:
     """The pairs (a, b) of documents whose whole texts link.
 
@@ -129,7 +142,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, by_text
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bytescan.slices(whole, "text_a")):
+        for batch in (part for whole in batches for part in pair_slices(whole)):
             left, n_left = distinct_shingles(batch.column("text_a"), size)
             right, n_right = distinct_shingles(batch.column("text_b"), size)
             same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], dtype=np.int64)
@@ -253,9 +266,10 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     kept = staged(kept.select("kept.id", "kept.doc"), "kept")
     gone = rows.join(kept, ["id", "doc"], "left_anti").select("id", "doc")
     again = staged(rows.filter("times > 1").join(kept, ["id", "doc"], "left_semi").select("id", "doc"), "again")
-    keyed, key = docs.withColumn("_id", doc_key()).withColumn("_text", text), ["_id", "_text"]
+    # The row travels as one value, so that no name of its columns can clash.
+    keyed, key = docs.select(F.struct("*").alias("row"), doc_key().alias("id"), text.alias("doc")), ["id", "doc"]
     if again.isEmpty():
-        return keyed.join(gone.toDF(*key), key, "left_anti").select(*docs.columns)
-    single = keyed.join(gone.unionByName(again).toDF(*key), key, "left_anti")
-    one = keyed.join(again.toDF(*key), key, "left_semi").dropDuplicates(key)
-    return single.select(*docs.columns).unionByName(one.select(*docs.columns))
+        return keyed.join(gone, key, "left_anti").select("row.*")
+    single = keyed.join(gone.unionByName(again), key, "left_anti")
+    one = keyed.join(again, key, "left_semi").dropDuplicates(key)
+    return single.select("row.*").unionByName(one.select("row.*"))

@@ -168,21 +168,27 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return runs.groupBy("doc", "copy").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Documents with later copies of repeated runs removed, ``_n_lines`` and ``_n_removed``."""
-    runs = repeated_runs(docs, min_chars).withColumnsRenamed({"doc": "_doc", "copy": "_copy", "runs": "_runs"})
-    keyed = docs.withColumns({"_doc": doc_key(), "_copy": F.xxhash64(whole_text())})
-    lines = F.split(F.col("text"), "\n", -1)
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, counts: bool = True) -> DataFrame:
+    """Documents with later copies of repeated runs removed; with ``counts`` also ``_n_lines`` and ``_n_removed``.
+
+    The counts take the place of columns of these names.
+    """
+    # The row travels as one value, so that no name of its columns can clash.
+    keyed = docs.select(F.struct("*").alias("row"), doc_key().alias("doc"), F.xxhash64(whole_text()).alias("copy"))
+    lines = F.split(F.col("row.text"), "\n", -1)
     stays = F.filter(
-        lines, lambda line, no: ~F.exists("_runs", lambda run: no.between(run["first"], run["last"]))
-    )
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, run: n + run["last"] - run["first"] + 1)
-    return keyed.join(runs, ["_doc", "_copy"], "left").select(
-        *(F.col(name) for name in docs.columns if name != "text"),
-        F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"),
-        F.coalesce(removed, F.lit(0).cast("long")).alias("_n_removed"),
+        lines, lambda line, no: ~F.exists("runs", lambda run: no.between(run["first"], run["last"]))
     )
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, run: n + run["last"] - run["first"] + 1)
+    found = {
+        "_n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+        "_n_removed": F.coalesce(removed, F.lit(0).cast("long")),
+    }
+    kept = F.when(F.col("runs").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
+    new = F.struct(kept.alias("text"), *(value.alias(name) for name, value in found.items() if counts))
+    done = keyed.join(repeated_runs(docs, min_chars), ["doc", "copy"], "left").select("row", new.alias("new"))
+    given = [name for name in docs.columns if name not in done.schema["new"].dataType.names]
+    return done.select(*(F.col("row")[name].alias(name) for name in given), "new.*")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

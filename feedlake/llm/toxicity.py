@@ -2,18 +2,20 @@
 
 Labels are per document, so words of training documents get theirs first: a word is a toxic token
 if its document is toxic and the word occurs in toxic documents far more often than chance and
-than in clean ones. These labelled tokens train a chain of two states (clean, toxic). A
+than in clean ones, each pair of neighbours counted once, so that copies of one document do not
+make its words toxic. These labelled tokens train a chain of two states (clean, toxic). A
 word's score is that of its own hash, of its left and of its right neighbour, and the
 chain's weights score each pair of states. Chains are lines of text, cut after ``CHAIN`` words
 with ``CONTEXT`` words of the neighbouring parts on both sides. Training maximises the
 likelihood by forward-backward marginals; scoring runs forward-backward over all
 chains of a slice in step and gives each word's probability of being toxic.
 
-A document's score is 1 - Π(1 - p) over the marginals of its words, as bent by a logistic
-curve that is fitted to the training labels; its spans are the words of p ≥ 0.5.
+A document's score is a logistic curve of the log-odds of 1 - Π(1 - p) over the marginals of its words, and
+of its length. The curve is fitted to training rows that the chain has not seen, a quarter of the sample. Its spans are the runs
+of words of p ≥ 0.5, as (begin, end) in characters of the text.
 
 Training takes at most ``SAMPLE`` labelled rows of each label, those with the least hash of
-their id and texts of LONGEST characters at most; a row may train if crc32(doc_id as text) mod 5 is not 0. Every row is scored, on its
+their id and text and with texts of LONGEST characters at most; a row may train if crc32(doc_id as text) mod 5 is not 0. Every row is scored, on its
 whole text. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have no words and the score of a text without toxic words;
@@ -34,11 +36,13 @@ from feedlake.llm import bytescan
 from feedlake.llm.common import documents
 from feedlake.llm.quality import fold, least_hashed
 
-SAMPLE = 1_500
+SAMPLE = 4_000
 LONGEST = 50_000  # characters of a row that may train; any length is scored
 FOLDS, HELD_OUT = 5, 0
-LEAST_DOCS = 4  # toxic training documents a toxic token must occur in
+LEAST_DOCS = 4  # pairs of neighbours a toxic token must occur between in toxic training documents
 LEAST_LIFT = 4.0  # how much likelier a toxic document has it
+COPIES_SHARE = 0.1  # of the toxic training documents, for words of copies that no other word explains
+CURVE_SHARE = 4  # every fourth row of the sample fits the curve, the others the chain
 MAX_WORDS = 1 << 15  # weights of words
 CHAIN, CONTEXT = 64, 4
 STEPS, RATE, DECAY = 60, 0.3, 1e-3
@@ -90,8 +94,10 @@ class Field:
         return own
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of the toxic state, sums of pair marginals, and log partition sums.
+def forward_backward(
+    scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray, counts_for: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of the toxic state, sums of pair marginals (each chain as often as it counts for), and log partition sums.
 
     ``scores`` has a row per chain; a chain's first ``lengths`` columns count. Chains are in
     descending order of length and each step takes those that reach it.
@@ -124,7 +130,8 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray)
         if t:
             right = weight[:k, t] * beta[:k]
             joint = alpha[:k, t - 1, :, None] * step[None] * right[:, None, :]
-            both += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            joint = joint / joint.sum(axis=(1, 2), keepdims=True)
+            both += joint.sum(axis=0) if counts_for is None else np.tensordot(counts_for[:k], joint, axes=1)
             before = right @ step.T
             beta[:k] = before / before.sum(axis=1, keepdims=True)
     return p, both, log_z
@@ -161,17 +168,35 @@ def marginals(field: Field, hashes: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
+def distinct_uses(number: np.ndarray, inside: np.ndarray, use: np.ndarray, n_words: int) -> np.ndarray:
+    """In how many pairs of neighbours each word occurs, over the words that ``use`` selects."""
+    before = np.where(inside, np.concatenate([[-1], number[:-1]]), -1)
+    after = np.concatenate([np.where(inside[1:], number[1:], -1), [-1]])
+    found = np.unique(np.stack([number[use], before[use], after[use]], axis=1), axis=0)
+    return np.bincount(found[:, 0], minlength=n_words).astype(float)
+
+
 def train_field(hashes: np.ndarray, first: np.ndarray, toxic_rows: np.ndarray) -> Field | None:
     """Label the tokens of the sampled rows and fit the chain to them by its marginals."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     words, number = np.unique(hashes, return_inverse=True)
+    inside = np.ones(len(hashes), dtype=bool)
+    inside[first[:-1][np.diff(first) > 0]] = False
     pairs = np.unique(np.stack([number, row], axis=1), axis=0)
     in_toxic = np.bincount(pairs[:, 0][toxic_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
     in_clean = np.bincount(pairs[:, 0][~toxic_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
     n_toxic, n_clean = max(toxic_rows.sum(), 1), max((~toxic_rows).sum(), 1)
-    lift = ((in_toxic + 0.1) / n_toxic) / ((in_clean + 1) / n_clean)
     chance = n_toxic * (in_clean + 1) / n_clean
-    marked = (in_toxic >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (in_toxic - chance >= 3 * np.sqrt(chance))
+
+    def tells(in_toxic: np.ndarray) -> np.ndarray:
+        lift = ((in_toxic + 0.1) / n_toxic) / ((in_clean + 1) / n_clean)
+        return (in_toxic >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (in_toxic - chance >= 4 * np.sqrt(chance))
+
+    marked = tells(np.minimum(in_toxic, distinct_uses(number, inside, toxic_rows[row], len(words))))
+    # Copies tell too where nothing else does and they are many: words of rows without a marked one.
+    open_rows = toxic_rows & (np.bincount(row, weights=marked[number], minlength=len(toxic_rows)) == 0)
+    in_open = np.bincount(pairs[:, 0][open_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
+    marked |= tells(in_open) & (in_open >= COPIES_SHARE * n_toxic)
     if not marked.any():
         return None
     label = (marked[number] & toxic_rows[row]).astype(float)
@@ -179,13 +204,13 @@ def train_field(hashes: np.ndarray, first: np.ndarray, toxic_rows: np.ndarray) -
     use = np.argsort(-(marked * 1e12 + in_toxic + in_clean), kind="stable")[:MAX_WORDS]
     use = np.sort(use[(in_toxic + in_clean)[use] >= 3])
     known = words[use]
-    inside = np.ones(len(hashes), dtype=bool)
-    inside[first[:-1][np.diff(first) > 0]] = False
-    # Chains with toxic tokens, and every eighth of the others.
+    # Chains with marked words, and every eighth of the others, which counts for eight.
     begin, end, _, _ = chains(first)
     sums = np.concatenate([[0], np.cumsum(label)])
     held = np.concatenate([[0], np.cumsum(marked[number])])
-    keep = (sums[end] > sums[begin]) | (held[end] > held[begin]) | (np.arange(len(begin)) % 8 == 0)
+    told = (sums[end] > sums[begin]) | (held[end] > held[begin])
+    keep = told | (np.arange(len(begin)) % 8 == 0)
+    counts_for = np.where(told, 1.0, 8.0)[keep]
     begin, end = begin[keep], end[keep]
     size = len(known) + 1
     theta = {"weights": np.zeros((3, size)), "bias": np.array([-4.0]), "pairs": np.zeros((2, 2))}
@@ -198,16 +223,17 @@ def train_field(hashes: np.ndarray, first: np.ndarray, toxic_rows: np.ndarray) -
     valid = np.arange(number_rows.shape[1]) < lengths[:, None]
     previous = np.where(valid, np.pad(number_rows, ((0, 0), (1, 0)))[:, :-1], 0)
     following = np.where(np.pad(valid, ((0, 0), (0, 1)))[:, 1:], np.pad(number_rows, ((0, 0), (0, 1)))[:, 1:], 0)
-    n_tokens = valid.sum()
+    counts_for = counts_for[order]
+    n_tokens = (valid * counts_for[:, None]).sum()
     true = label_rows.astype(np.int64)
     steps = valid[:, 1:]
     true_pairs = np.zeros((2, 2))
-    np.add.at(true_pairs, (true[:, :-1][steps], true[:, 1:][steps]), 1)
+    np.add.at(true_pairs, (true[:, :-1][steps], true[:, 1:][steps]), np.broadcast_to(counts_for[:, None], steps.shape)[steps])
     for step in range(1, STEPS + 1):
         w = theta["weights"]
         scores = theta["bias"][0] + w[0][number_rows] + w[1][previous] + w[2][following]
-        p, both, _ = forward_backward(scores, lengths, theta["pairs"])
-        miss = np.where(valid, p - label_rows, 0) / n_tokens
+        p, both, _ = forward_backward(scores, lengths, theta["pairs"], counts_for)
+        miss = np.where(valid, p - label_rows, 0) * counts_for[:, None] / n_tokens
         g = np.stack([np.bincount(f.ravel(), miss.ravel(), minlength=size) for f in (number_rows, previous, following)])
         g[1:, 0] = 0
         g[0, 0] = 0
@@ -226,34 +252,57 @@ def raw_scores(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(-np.expm1(none), 1e-12)) - none
 
 
+def features(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What the curve is drawn over: the log-odds, the logarithm of the number of words, and 1."""
+    raw = np.clip(raw_scores(p, first), -30, 30)
+    return np.stack([raw, np.log1p(np.diff(first)), np.ones(len(raw))], axis=1)
+
+
 class Model:
-    def __init__(self, field: Field, slope: float, intercept: float):
-        self.field, self.slope, self.intercept = field, slope, intercept
+    def __init__(self, field: Field, curve: np.ndarray):
+        self.field, self.curve = field, curve
 
     def score(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score of each text and marginal of each word."""
         p = marginals(self.field, hashes, first)
-        z = self.slope * raw_scores(p, first) + self.intercept
+        z = features(p, first) @ self.curve
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), p
 
 
-def calibrate(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton steps with a small ridge."""
-    x = np.stack([np.clip(raw, -30, 30), np.ones_like(raw)], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+def calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic curve by Newton steps with a ridge; a step is halved until the loss falls.
+
+    The ridge draws towards the log-odds as they are. The weight of the log-odds is not negative.
+    """
+    start = np.zeros(x.shape[1])
+    start[0] = 1.0
+    pull = np.full(len(start), ridge)
+    pull[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((weight * (np.logaddexp(0, z) - toxic * z)).sum() + 0.5 * (pull * (w - start) ** 2).sum())
+
+    w = start
+    for _ in range(100):
         s = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (s - toxic)) + 1e-3 * (w - [1.0, 0.0])
-        h = (x * (weight * s * (1 - s))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(h, g)
-    return max(float(w[0]), 0.05), float(w[1])
+        gradient = x.T @ (weight * (s - toxic)) + pull * (w - start)
+        curvature = (x * (weight * s * (1 - s))[:, None]).T @ x + np.diag(pull)
+        step, now = np.linalg.solve(curvature, gradient), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w = w - step
+    w[0] = max(w[0], 0.05)
+    return w
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     allowed = F.coalesce(fold(FOLDS) != HELD_OUT, F.lit(False))
     known = labels.filter(allowed & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fits = docs.filter(F.length("text") <= LONGEST).select("doc_id").distinct()
-    known = known.join(fits, "doc_id", "left_semi")
+    fits = docs.filter(F.length("text") <= LONGEST)
+    known = known.join(fits.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = least_hashed(known.filter("toxic = 1"), SAMPLE).unionByName(least_hashed(known.filter("toxic = 0"), SAMPLE))
     totals = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
@@ -261,28 +310,64 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         for batch in (part for whole in batches for part in bytescan.slices(whole)):
             hashes, first = word_hashes(batch.column("text"))
             rows = pa.LargeListArray.from_arrays(pa.array(first), bytescan.longs(hashes)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), rows], names=["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), rows], names=["place", "toxic", "words"])
 
-    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    # Rows, not ids, are bounded: an id may have any number of rows.
+    met = fits.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("place"))
+    rows = [met.filter(F.col("toxic") == label).orderBy("place", "text").limit(SAMPLE) for label in (0, 1)]
     # Two bounded samples: the only texts that reach the driver, as hashes of their words.
-    found = met.mapInArrow(read, "doc_id long, toxic int, words array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    found = rows[0].unionByName(rows[1]).mapInArrow(read, "place long, toxic int, words array<long>").toArrow()
+    found = found.sort_by([("place", "ascending"), ("toxic", "ascending")]).combine_chunks()
     if found.num_rows == 0 or len(totals) < 2:
         return None
     words = found.column("words").combine_chunks()
-    hashes = words.flatten().to_numpy().view(np.uint64)
-    first = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy())])
+    sizes = words.value_lengths().fill_null(0).to_numpy()
     toxic = found.column("toxic").to_numpy() == 1
-    field = train_field(hashes, first, toxic)
+    for_curve = np.arange(len(toxic)) % CURVE_SHARE == 0
+
+    def part(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        taken = words.filter(pa.array(use)).flatten().to_numpy().view(np.uint64)
+        return taken, np.concatenate([[0], np.cumsum(sizes[use])])
+
+    field = train_field(*part(~for_curve), toxic[~for_curve])
     if field is None:
         return None
+    hashes, first = part(for_curve)
+    told = toxic[for_curve]
     # The samples are drawn by label; weights restore the share of each label.
-    weight = np.where(toxic, totals[1] / max(toxic.sum(), 1), totals[0] / max((~toxic).sum(), 1))
-    raw = raw_scores(marginals(field, hashes, first), first)
-    return Model(field, *calibrate(raw, toxic.astype(float), weight / weight.sum() * len(weight)))
+    weight = np.where(told, totals[1] / max(told.sum(), 1), totals[0] / max((~told).sum(), 1))
+    x = features(marginals(field, hashes, first), first)
+    return Model(field, calibrate(x, told.astype(float), weight / weight.sum() * len(weight)))
+
+
+SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
+
+
+def toxic_spans(texts: pa.Array, hot: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    """Runs of tagged words of each text, from the first character of the first to the end of the last."""
+    data, offsets = bytescan.utf8(texts)
+    start, end, _, _ = bytescan.words(_MARKS_TO_BLANKS[data], offsets)
+    # Characters before each byte: all bytes but those that continue one.
+    characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    opens = hot.copy()
+    opens[1:] &= ~hot[:-1]
+    closes = hot.copy()
+    closes[:-1] &= ~hot[1:]
+    border = first[(first > 0) & (first < len(hot))]  # a run does not pass from text to text
+    opens[border] |= hot[border]
+    closes[border - 1] |= hot[border - 1]
+    opens, closes = np.flatnonzero(opens), np.flatnonzero(closes)
+    row = np.searchsorted(first, opens, side="right") - 1
+    base = characters[offsets[row]]
+    begin, until = characters[start[opens]] - base, characters[end[closes]] - base
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for r, a, b in zip(row.tolist(), begin.tolist(), until.tolist()):
+        out[r].append({"begin": a, "end": b})
+    return out
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, and ``offending``: numbers of the words (from 0) that are tagged toxic."""
+    """doc_id, score, and ``offending``: (begin, end) in characters of each run of words that are tagged toxic."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=SLICE)):
@@ -291,13 +376,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             else:
                 hashes, first = word_hashes(batch.column("text"))
                 scores, p = model.score(hashes, first)
-                hot = np.flatnonzero(p >= 0.5)
-                ends = np.searchsorted(hot, first)
-                spans = [hot[a:b] - first[i] for i, (a, b) in enumerate(zip(ends, ends[1:]))]
-            offending = pa.array(spans, pa.list_(pa.int64()))
+                spans = toxic_spans(batch.column("text"), p >= 0.5, first)
+            offending = pa.array(spans, pa.list_(SPAN))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), offending], names=["doc_id", "score", "offending"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, score double, offending array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, score double, offending array<struct<begin: long, end: long>>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

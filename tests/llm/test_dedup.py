@@ -198,3 +198,17 @@ def test_equal_substrings_share_phrases():
 
     left, right = level(b"x" * 37 + shared, 2), level(shared + b"abc" * 11, 2)
     assert len(left & right) >= 0.9 * min(len(left), len(right))
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ["_id", "_text", "id", "doc", "copy", "row", "runs", "_doc", "_copy", "_runs", "_n_lines"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    line = "a line of more than fifty characters that stands in two documents of this table"
+    rows = [(1, f"{line}\none two three four five six", *names), (2, f"{line}\nseven eight nine ten eleven twelve", *names), (2, None, *names)]
+    docs = spark.createDataFrame(rows, schema)
+    for found in (jaccard.one_of_each(docs, 5, 80), line_dedup.dedup_lines(docs, counts=False)):
+        assert sorted(found.columns) == sorted(docs.columns)
+        assert all(tuple(r[n] for n in names) == tuple(names) for r in found.collect()) and found.count() == 3
+    counted = line_dedup.dedup_lines(docs)
+    assert sorted(counted.columns) == sorted({*docs.columns, "_n_removed"})
+    assert {(r.doc_id, r._n_removed) for r in counted.collect()} == {(1, 0), (2, 1), (2, 0)}

@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from feedlake.llm import chat, decontaminate, quality, toxicity
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -51,8 +53,55 @@ def test_toxicity_learns_spans(spark):
     assert len(found) == 605 and all(0 <= r.score <= 1 for r in found)
     assert by_id[1001].offending == [] and by_id[1002].score > 0.5
     bad = by_id[next(i for i in held if i % 3 == 0)]
-    own = dict(rows)[bad.doc_id].lower().split()
-    assert {own[k].strip(",") for k in bad.offending} <= {"nasty", "vile", "awful"} and bad.offending
+    own = dict(rows)[bad.doc_id].lower()
+    tagged = {word.strip(",") for span in bad.offending for word in own[span.begin : span.end].split()}
+    assert tagged <= {"nasty", "vile", "awful"} and tagged
+    again = toxicity.score(table(spark, [(1, "ä é\n nasty, vile 𝄞 x nasty"), (2, "nasty"), (3, "nasty")]), toxicity.train(docs, labelled))
+    spans = {r.doc_id: [(one.begin, one.end) for one in r.offending] for r in again.collect()}
+    assert spans[2] == spans[3] == [(0, 5)] and spans[1][0][0] == 5 and spans[1][-1] == (21, 26)
+
+
+def test_the_curve_stays_finite_where_labels_separate():
+    raw = np.concatenate([np.linspace(-30, -5, 400), np.linspace(2, 30, 100)])
+    x = np.stack([raw, np.ones(500), np.ones(500)], axis=1)
+    toxic = (raw > 0).astype(float)
+    curve = toxicity.calibrate(x, toxic, np.ones(500))
+    assert 0.05 <= curve[0] < 10 and np.abs(curve).max() < 50
+    assert (((x @ curve) >= 0) == (toxic == 1)).all()
+    flat = toxicity.calibrate(x, np.roll(toxic, 250), np.ones(500))
+    assert np.isfinite(flat).all() and flat[0] >= 0.05
+
+
+def test_copies_of_one_document_make_no_toxic_words(spark):
+    rng, rows = random.Random(3), []
+    for i in range(500):
+        toxic = i % 4 == 0
+        own = words(rng, 40)
+        if toxic:
+            own.insert(rng.randrange(40), "vile")
+        if toxic and i % 8 == 0:  # one toxic text in many copies, whose words stand nowhere else
+            own = "copied harmless words of one text and a vile one".split()
+        rows.append((i, " ".join(own), toxic))
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(table(spark, [(i, x) for i, x, _ in rows]), labels)
+    found = {r.doc_id: r for r in toxicity.score(table(spark, [(1, "copied harmless words of one text"), (2, "so vile a thing")]), model).collect()}
+    assert found[1].offending == [] and found[1].score < 0.5 and found[2].score > 0.5
+
+
+GIVEN = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(GIVEN), reason="no test data")
+def test_toxicity_on_given_labels_by_length_of_text(spark):
+    docs = spark.read.parquet(f"{GIVEN}/documents.parquet").select("doc_id", F.length("text").alias("n_text"))
+    labels = spark.read.parquet(f"{GIVEN}/labels.parquet").filter("toxic in (0, 1)").select("doc_id", "toxic")
+    found = toxicity.op9_toxicity(spark, GIVEN).filter("held_out").join(labels, "doc_id").join(docs, "doc_id").collect()
+    hits = [r.predicted == r.toxic for r in found]
+    bad = [r.predicted for r in found if r.toxic]
+    assert len(found) > 500 and sum(hits) / len(hits) > 0.97 and sum(bad) / len(bad) > 0.9
+    for low, high in ((0, 500), (500, 2000), (2000, 10_000), (10_000, 1 << 40)):
+        clean = [r.predicted for r in found if not r.toxic and low <= r.n_text < high]
+        assert sum(clean) <= 0.05 * len(clean)
 
 
 def test_models_without_labels_or_rows(spark):
