@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later copies of repeated line runs; n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs).drop("_n_lines", "_n_removed")
+    found = line_dedup.dedup_lines(docs, counts=False)
     chars = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return found.withColumn("n_chars", chars).select(*docs.columns)
 
