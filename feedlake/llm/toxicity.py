@@ -36,7 +36,7 @@ from feedlake.llm import bytescan
 from feedlake.llm.common import documents
 from feedlake.llm.quality import fold, least_hashed
 
-SAMPLE = 4_000
+SAMPLE = 2_500
 LONGEST = 50_000  # characters of a row that may train; any length is scored
 FOLDS, HELD_OUT = 5, 0
 LEAST_DOCS = 4  # pairs of neighbours a toxic token must occur between in toxic training documents
@@ -168,11 +168,12 @@ def marginals(field: Field, hashes: np.ndarray, first: np.ndarray) -> np.ndarray
     return out
 
 
-def distinct_uses(number: np.ndarray, inside: np.ndarray, use: np.ndarray, n_words: int) -> np.ndarray:
-    """In how many pairs of neighbours each word occurs, over the words that ``use`` selects."""
-    before = np.where(inside, np.concatenate([[-1], number[:-1]]), -1)
-    after = np.concatenate([np.where(inside[1:], number[1:], -1), [-1]])
-    found = np.unique(np.stack([number[use], before[use], after[use]], axis=1), axis=0)
+def distinct_uses(number: np.ndarray, inside: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
+    """Between how many pairs of neighbours each word stands, over the positions ``at``."""
+    last = len(number) - 1
+    before = np.where(inside[at], number[np.maximum(at - 1, 0)], -1)
+    after = np.where((at < last) & inside[np.minimum(at + 1, last)], number[np.minimum(at + 1, last)], -1)
+    found = np.unique(np.stack([number[at], before, after], axis=1), axis=0)
     return np.bincount(found[:, 0], minlength=n_words).astype(float)
 
 
@@ -182,9 +183,9 @@ def train_field(hashes: np.ndarray, first: np.ndarray, toxic_rows: np.ndarray) -
     words, number = np.unique(hashes, return_inverse=True)
     inside = np.ones(len(hashes), dtype=bool)
     inside[first[:-1][np.diff(first) > 0]] = False
-    pairs = np.unique(np.stack([number, row], axis=1), axis=0)
-    in_toxic = np.bincount(pairs[:, 0][toxic_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
-    in_clean = np.bincount(pairs[:, 0][~toxic_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
+    of_word, of_row = np.divmod(np.unique(number * len(toxic_rows) + row), len(toxic_rows))
+    in_toxic = np.bincount(of_word[toxic_rows[of_row]], minlength=len(words)).astype(float)
+    in_clean = np.bincount(of_word[~toxic_rows[of_row]], minlength=len(words)).astype(float)
     n_toxic, n_clean = max(toxic_rows.sum(), 1), max((~toxic_rows).sum(), 1)
     chance = n_toxic * (in_clean + 1) / n_clean
 
@@ -192,10 +193,12 @@ def train_field(hashes: np.ndarray, first: np.ndarray, toxic_rows: np.ndarray) -
         lift = ((in_toxic + 0.1) / n_toxic) / ((in_clean + 1) / n_clean)
         return (in_toxic >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (in_toxic - chance >= 4 * np.sqrt(chance))
 
-    marked = tells(np.minimum(in_toxic, distinct_uses(number, inside, toxic_rows[row], len(words))))
+    likely = tells(in_toxic)
+    uses = distinct_uses(number, inside, np.flatnonzero(likely[number] & toxic_rows[row]), len(words))
+    marked = likely & tells(np.minimum(in_toxic, uses))
     # Copies tell too where nothing else does and they are many: words of rows without a marked one.
     open_rows = toxic_rows & (np.bincount(row, weights=marked[number], minlength=len(toxic_rows)) == 0)
-    in_open = np.bincount(pairs[:, 0][open_rows[pairs[:, 1]]], minlength=len(words)).astype(float)
+    in_open = np.bincount(of_word[open_rows[of_row]], minlength=len(words)).astype(float)
     marked |= tells(in_open) & (in_open >= COPIES_SHARE * n_toxic)
     if not marked.any():
         return None
