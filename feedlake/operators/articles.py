@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from feedlake.functions import html, text
 from feedlake.operators.lookup import FALLBACK_PARSER, dispatched_parser
+from feedlake.operators.selection import rows_asked_for
 
 TAGS = T.ArrayType(T.StringType())
 ARTICLE = T.StructType([T.StructField("body", T.StringType()), T.StructField("tags", TAGS)])
@@ -80,13 +81,14 @@ def fetched_articles(
     """Markdown and tags of the wanted ``(url, parser)`` pairs that have a page.
 
     A page without a body has no Markdown but keeps its tags. Each pair is parsed
-    once however many rows want it, and only the pages asked for reach the Python
-    workers. ``pages`` has one row per URL. The repartition spreads the parsing
+    once however many rows want it. A bitmap of the asked URLs drops the other pages where
+    they are read, so only pages that are asked for, and few others, are shuffled, and only
+    the former reach the Python workers. ``pages`` has one row per URL. The repartition spreads the parsing
     when the wanted keys were broadcast; after a shuffled join Spark drops it,
     since the rows are partitioned by URL already.
     """
     asked = wanted.select("url", "parser").distinct()
-    found = pages.select("url", "html").join(asked, "url").repartition("url")
+    found = rows_asked_for(pages.select("url", "html"), asked, "url").join(asked, "url").repartition("url")
     article = converted_article_of(F.col("html"), F.col("parser"), parsers)
     return found.select("url", "parser", article.alias("_article")).select(
         "url",

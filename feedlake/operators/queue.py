@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.functions import text
 from feedlake.operators.ranking import running_total
+from feedlake.operators.selection import first_rows
 
 PENDING, SYNCED = "pending", "synced"
 
@@ -31,12 +32,13 @@ def is_kind(kind: str) -> Column:
 def take_pending(queue: DataFrame, kind: str | None, cap: int | None) -> DataFrame:
     """Pending rows of a kind in queue order; the cap counts after the kind filter.
 
-    ``None`` means no filter and no cap; a cap of 0 takes nothing.
+    ``None`` means no filter and no cap; a cap of 0 takes nothing. The cap becomes a filter
+    by position, whatever its size: no task sorts or gathers the rows within it.
     """
     rows = pending(queue)
     if kind is not None:
         rows = rows.filter(is_kind(kind))
-    return rows if cap is None else rows.orderBy("queue_ord").limit(cap)
+    return rows if cap is None else first_rows(rows, "queue_ord", cap)
 
 
 def expired(run_ts, keep_days: int) -> Column:

@@ -143,7 +143,10 @@ def drain(
     writers = placed.filter(F.col("seq") == F.col("_writer"))
     repeated = placed.filter(F.col("seq") > F.col("_writer")).select("seq")
 
-    names = named_notes(writers.select("seq", "vault_folder", "safe_name"), notes)
+    # Names are settled once; notes, log, counts and known keys read them.
+    names = stage(
+        named_notes(writers.select("seq", "vault_folder", "safe_name"), notes), state_dir(spark, "drain-names")
+    )
     built = built_notes(articles, names, F.col("published"), run_ts)
     parts = with_local_images(built, asset_cfg, fetch_result, asset_manifest)
     new_notes = parts.pop("notes")

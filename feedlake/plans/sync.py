@@ -146,7 +146,9 @@ def sync(
         kept = capped(narrow, max_articles)
     writers = kept.filter(F.col("route") == stubs.NOTE).select("seq", "vault_folder", "safe_name")
     published = text.published_text(F.col("published_parsed"), F.col("published_raw"))
-    built = built_notes(articles, named_notes(writers, notes), published, run_ts)
+    # Names are settled once; notes, log, counts and known keys read them.
+    names = stage(named_notes(writers, notes), state_dir(spark, "sync-names"))
+    built = built_notes(articles, names, published, run_ts)
     parts = with_local_images(built, asset_cfg, fetch_result, asset_manifest)
     new_notes = parts.pop("notes")
 

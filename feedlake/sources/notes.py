@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from feedlake import schemas
 from feedlake.functions import keys, text
@@ -52,14 +52,18 @@ def read_notes(spark: SparkSession, path: str | None, repeating: str | None = No
     return notes.select(*schemas.NOTE.names)
 
 
-def write_notes(notes: DataFrame, path: str, run: str) -> None:
-    """Write a run's notes below its own name, one directory per folder.
+def write_notes(notes: DataFrame, path: str, run: str) -> int:
+    """Write a run's notes below its own name, one directory per folder; the number of them.
 
     A run repeated after a failure replaces what it wrote before. Rebalancing
-    gathers a folder's notes into few files, and splits a large folder.
+    gathers a folder's notes into few files, and splits a large folder. The notes are
+    counted by the write itself, without a job of its own.
     """
-    rows = notes.select(*schemas.NOTE.names).hint("rebalance", F.col("vault_folder"))
+    counted = Observation()
+    rows = notes.select(*schemas.NOTE.names).observe(counted, F.count("*").alias("n"))
+    rows = rows.hint("rebalance", F.col("vault_folder"))
     rows.write.mode("overwrite").partitionBy("vault_folder").parquet(f"{path}/run={run}")
+    return counted.get["n"]
 
 
 def write_assets(assets: DataFrame, path: str) -> None:
@@ -67,12 +71,17 @@ def write_assets(assets: DataFrame, path: str) -> None:
     assets.select("assets_dir", F.col("asset_name").alias("file_name")).write.mode("append").parquet(path)
 
 
-def write_run_log(lines: DataFrame, path: str, run: str) -> None:
+def write_run_log(lines: DataFrame, path: str, run: str, n_new: int | None = None) -> None:
     """Write a run's section as text below its own name; a new log gets its head first.
 
+    ``n_new`` is the number of notes that ``write_notes`` has counted: a run without any
+    leaves no section and no head.
+
     Runs are named so that they sort by time. Reading the folder by name gives
     the whole log.
     """
+    if n_new == 0:
+        return
     head = lines.sparkSession.createDataFrame([(LOG_HEAD,)], "value string")
     head.coalesce(1).write.mode("ignore").text(f"{path}/0-head")
     ordered = lines.orderBy(
