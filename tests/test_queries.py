@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from feedlake.queries import articles, assets, discovery, runs, streams, texts
+from feedlake.queries import articles, assets, discovery, runs, stores, streams, texts
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -27,7 +27,7 @@ def duck():
 
 
 def test_every_query_of_the_library_has_an_oracle():
-    own = {name for module in (discovery, texts, articles, assets, runs, streams) for name in module.QUERIES}
+    own = {name for module in (discovery, texts, articles, assets, runs, streams, stores) for name in module.QUERIES}
     assert own <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
