@@ -26,6 +26,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -318,11 +319,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # Rows, not ids, are bounded: an id may have any number of rows.
     met = fits.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("place"))
     rows = [met.filter(F.col("toxic") == label).orderBy("place", "text").limit(SAMPLE) for label in (0, 1)]
-    # Two bounded samples: the only texts that reach the driver, as hashes of their words.
-    found = rows[0].unionByName(rows[1]).mapInArrow(read, "place long, toxic int, words array<long>").toArrow()
-    found = found.sort_by([("place", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    if found.num_rows == 0 or len(totals) < 2:
+    if len(totals) < 2:
         return None
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, sampled = None, list(batches)
+        if sum(batch.num_rows for batch in sampled):
+            found = pa.Table.from_batches(sampled).sort_by([("place", "ascending"), ("toxic", "ascending")])
+            model = fitted(found.combine_chunks(), totals)
+        if model is not None:
+            field = model.field
+            parts = (field.words, field.weights, field.bias, field.pairs, model.curve)
+            yield pa.record_batch([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
+
+    # Two bounded samples: one task fits the model to them, and only the model reaches the driver.
+    sample = rows[0].unionByName(rows[1]).mapInArrow(read, "place long, toxic int, words array<long>")
+    found = sample.repartition(1).mapInArrow(fit, "model binary").first()
+    if found is None:
+        return None
+    *parts, curve = pickle.loads(found["model"])
+    return Model(Field(*parts), curve)
+
+
+def fitted(found: pa.Table, totals: dict[int, int]) -> Model | None:
+    """The model of the sampled rows; ``totals`` are the rows of each label that they stand for."""
     words = found.column("words").combine_chunks()
     sizes = words.value_lengths().fill_null(0).to_numpy()
     toxic = found.column("toxic").to_numpy() == 1
