@@ -1,11 +1,11 @@
 """Token ids in files: canonical length-limited Huffman codes from global counts.
 
-Ids are made once and staged, two or four bytes each, under zstd. Their counts are summed by
-Spark (a row per id and task; at most a vocabulary reaches the driver) and a code of at most
-``MAX_BITS`` bits is built by merging packages. Then every document becomes a row: doc_id,
-n_tokens, the bits of its codes as big-endian 32-bit words, and the bit offset of each block
-of ``BLOCK`` ids. The rows are dealt by ranges of doc_id and written as Parquet, with shard and
-place, so files and rows are in ascending order. Blocks decode on their own by a table of
+Ids are made once and staged, two or four bytes each, under zstd, and counted on the way. The
+tasks' counts are summed by Spark (a row per id and task; at most a vocabulary reaches the driver)
+and a code of at most ``MAX_BITS`` bits is built by merging packages. The staged rows are dealt by
+ranges of doc_id and sorted; then every document becomes a row: doc_id, n_tokens, the bits of its
+codes as big-endian 32-bit words, and the bit offset of each block of ``BLOCK`` ids. The rows are
+written as Parquet, with shard and place, so files and rows are in ascending order. Blocks decode on their own by a table of
 2^bits entries, all blocks of a batch in step. The code book is a file beside them, so a
 reader needs nothing else.
 
@@ -34,8 +34,9 @@ BLOCK = 256  # ids between checkpoints
 END_ID = 2
 PAYLOAD_BYTES = 1 << 22  # of codes that are read at a time
 
-CODED = "doc_id long, copy long, n_tokens long, bits binary, checkpoints array<long>"
-IDS = "doc_id long, copy long, ids binary"
+CODED = "doc_id long, n_tokens long, bits binary, checkpoints array<long>, shard int, place long"
+IDS = "doc_id long, copy long, width int, ids binary, counted binary"
+_IDS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("counted", pa.binary())])
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -139,66 +140,85 @@ def decode(words: np.ndarray, begins: np.ndarray, counts: np.ndarray, width: int
 
 
 def id_rows(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, a hash of the text, and the ids with the end id, 2 bytes each if they fit."""
-    limit = 1 << 16
+    """Columns of IDS for every document, and per task one more row that counts its ids.
+
+    A document's row has doc_id, a hash of its text, and its ids with the end id, 2 bytes each where
+    those of its batch fit. The row of counts has ``counted``, as many of them as the vocabulary has ids at most.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode
+        seen = np.zeros(0, dtype=np.int64)
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=tokens.BATCH_BYTES)):
             ids, offsets = encode(batch.column("text"))
-            rows = []
-            for begin, upto in zip(offsets, offsets[1:]):
-                own = np.append(ids[begin:upto], np.uint32(end_id))
-                # A leading byte tells the width.
-                rows.append(b"\2" + own.astype("<u2").tobytes() if own.max() < limit else b"\4" + own.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "copy", "ids"])
+            ids = np.insert(ids, offsets[1:], np.uint32(end_id))
+            offsets = offsets + np.arange(len(offsets))
+            own = np.bincount(ids, minlength=len(seen))
+            own[: len(seen)] += seen
+            seen = own
+            width = 2 if len(seen) <= 1 << 16 else 4
+            data = ids.astype(f"<u{width}")
+            places = (width * offsets).astype(np.int32)  # of one slice of text
+            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(places), pa.py_buffer(data)])
+            widths = pa.array(np.full(batch.num_rows, width, np.int32))
+            none = pa.nulls(batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), widths, rows, none], schema=_IDS)
+        found = np.flatnonzero(seen)
+        if len(found):
+            counted = np.stack([found, seen[found]]).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, counted), _IDS)], schema=_IDS)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("copy"), "text").mapInArrow(read, IDS)
 
 
-def unpacked(rows: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(r, f"<u{r[0]}", offset=1) for r in (row.as_buffer().to_pybytes() for row in rows)]
-
-
 def id_counts(rows: DataFrame) -> DataFrame:
-    """id and n: how often each id occurs in all documents."""
+    """id and n: how often each id occurs in all documents, from the tasks' counts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.release()
-        seen = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for ids in unpacked(batch.column(0)):
-                own = np.bincount(ids, minlength=len(seen)) if len(ids) > 4096 else None
-                if own is None:
-                    if ids.max() >= len(seen):
-                        seen = np.pad(seen, (0, int(ids.max()) + 1 - len(seen)))
-                    np.add.at(seen, ids, 1)
-                else:
-                    own[: len(seen)] += seen
-                    seen = own
-        ids = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(ids), pa.array(seen[ids])], names=["id", "n"])
+            for counted in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(counted, "<i8").reshape(2, -1)
+                yield pa.record_batch([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    tasks = rows.filter(F.col("counted").isNotNull()).select("counted")
+    return tasks.mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
-    return rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about PAYLOAD_BYTES in a binary column; no row is cut."""
+    sizes = np.cumsum([len(row.as_buffer()) for row in batch.column(column)])
+    cuts = np.unique(sizes // PAYLOAD_BYTES, return_index=True)[1]
+    for at, upto in zip(cuts, [*cuts[1:], batch.num_rows]):
+        yield batch.slice(at, upto - at)
+
+
+def unpacked(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows one after the other, and the offsets between them."""
+    parts = [np.frombuffer(ids.as_buffer(), f"<u{width}") for width, ids in zip(rows.column("width").to_pylist(), rows.column("ids"))]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def coded_rows(rows: DataFrame, code: Code) -> DataFrame:
-    """The documents in codes; the order of rows is that of ``rows``."""
+    """The documents in codes; the order of rows is that of ``rows``, and columns after those of IDS stay."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = unpacked(part.column(2))
-                n = np.array([len(t) for t in texts])
-                offsets = np.concatenate([[0], np.cumsum(n)])
-                words, first, local = code.encode(np.concatenate(texts), offsets)
-                data = [words[a:b].tobytes() for a, b in zip(first, first[1:])]
-                checks = [local[a:b:BLOCK] for a, b in zip(offsets, offsets[1:])]
-                columns = [part.column(0), part.column(1), pa.array(n), pa.array(data, pa.binary()), pa.array(checks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "n_tokens", "bits", "checkpoints"])
+            for part in parts_of(batch, "ids"):
+                ids, offsets = unpacked(part)
+                words, first, local = code.encode(ids, offsets)
+                places = (4 * first).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(places), pa.py_buffer(words)])
+                n = np.diff(offsets)
+                n_blocks = -(-n // BLOCK)
+                upto = np.cumsum(n_blocks)
+                inner = np.arange(upto[-1]) - np.repeat(upto - n_blocks, n_blocks)
+                checks = local[np.repeat(offsets[:-1], n_blocks) + BLOCK * inner]
+                marks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(checks))
+                columns = [part.column("doc_id"), pa.array(n), data, marks, part.column("shard"), part.column("place")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "bits", "checkpoints", "shard", "place"])
 
-    return rows.mapInArrow(write, CODED)
+    return rows.select("doc_id", "width", "ids", "shard", "place").mapInArrow(write, CODED)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -214,13 +234,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     book.coalesce(1).write.parquet(f"{path}/code")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.asc_nulls_first("doc_id"), F.col("copy")]
-    (
-        coded_rows(rows, Code(ids, bits))
+    dealt = (
+        rows.filter(F.col("counted").isNull())
+        .select("doc_id", "copy", "width", "ids")
         .repartitionByRange(shards, *order)
         .sortWithinPartitions(*order)
         .withColumns({"shard": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
-        .write.parquet(f"{path}/documents")
     )
+    coded_rows(dealt, Code(ids, bits)).write.parquet(f"{path}/documents")
 
 
 def _decoded(spark: SparkSession, path: str, each: Callable, schema: str) -> DataFrame:
@@ -231,10 +252,7 @@ def _decoded(spark: SparkSession, path: str, each: Callable, schema: str) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = code.table()
         for whole in batches:
-            sizes = np.cumsum([len(row.as_buffer()) for row in whole.column("bits")])
-            cuts = np.unique(sizes // PAYLOAD_BYTES, return_index=True)[1]
-            for at, upto in zip(cuts, [*cuts[1:], whole.num_rows]):
-                batch = whole.slice(at, upto - at)
+            for batch in parts_of(whole, "bits"):
                 parts = [np.frombuffer(row.as_buffer(), dtype=">u4") for row in batch.column("bits")]
                 base = 32 * np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                 n = batch.column("n_tokens").to_numpy()

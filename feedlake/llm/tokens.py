@@ -60,7 +60,7 @@ class Encoder:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, part: str) -> bytes:
-        letters = "".join(map(self.letters.__getitem__, part.encode()))
+        letters = part.encode().decode("latin-1").translate(self.letters)
         return pack([token.id for token in self.tokenizer.model.tokenize(letters)])
 
     def has_added(self, texts: pa.Array) -> np.ndarray:
