@@ -32,7 +32,9 @@ from feedlake.session import state_dir
 MAX_BITS = 20
 BLOCK = 256  # ids between checkpoints
 END_ID = 2
-PAYLOAD_BYTES = 1 << 22  # of codes that are read at a time
+PART_BYTES = 1 << 18  # of ids that are encoded at a time, to stay in a core's cache
+PAYLOAD_BYTES = 1 << 19  # of codes that are decoded at a time
+SYMBOL_SHIFT = np.uint32(5)  # a table's entry is a symbol and, below it, the bits of its code
 
 CODED = "doc_id long, n_tokens long, bits binary, checkpoints array<long>, shard int, place long"
 IDS = "doc_id long, copy long, width int, ids binary, counted binary"
@@ -81,14 +83,14 @@ class Code:
         self.bits_of[self.ids] = self.bits
         self._span = span
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
         """Symbol and bits for every ``width`` bits that may come next."""
-        symbols = np.zeros(1 << self.width, dtype=np.uint32)
-        bits = np.ones(1 << self.width, dtype=np.int64)
-        filled = int(self._span.sum())
-        symbols[:filled] = np.repeat(self.ids, self._span)
-        bits[:filled] = np.repeat(self.bits, self._span)
-        return symbols, bits
+        if len(self.ids) and int(self.ids.max()) >> (32 - int(SYMBOL_SHIFT)):
+            raise ValueError("an id has more than 27 bits")
+        entries = np.ones(1 << self.width, dtype=np.uint32)
+        both = self.ids << int(SYMBOL_SHIFT) | self.bits
+        entries[: int(self._span.sum())] = np.repeat(both.astype(np.uint32), self._span)
+        return entries
 
     def encode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of 32 bits of all documents, each from a new word on.
@@ -114,7 +116,7 @@ class Code:
         return out[:-1].astype(">u4"), first, local
 
 
-def decode(words: np.ndarray, begins: np.ndarray, counts: np.ndarray, width: int, table: tuple) -> np.ndarray:
+def decode(words: np.ndarray, begins: np.ndarray, counts: np.ndarray, width: int, table: np.ndarray) -> np.ndarray:
     """Ids of all blocks one after the other: the k-th id of every block at once, for each k.
 
     ``words`` are big-endian 32-bit words, ``begins`` the first bit of each block and
@@ -122,20 +124,24 @@ def decode(words: np.ndarray, begins: np.ndarray, counts: np.ndarray, width: int
     """
     wide = np.concatenate([words.astype(np.uint64), np.zeros(2, np.uint64)])
     windows = (wide[:-1] << np.uint64(32)) | wide[1:]
-    symbols, bits = table
     order = np.argsort(-counts, kind="stable")
-    at, keep = begins[order].astype(np.int64), np.uint64((1 << width) - 1)
+    at, keep = begins[order].astype(np.uint64), np.uint64((1 << width) - 1)
+    top, low, bits = np.uint64(64 - width), np.uint64(31), np.uint32((1 << int(SYMBOL_SHIFT)) - 1)
     active = len(counts) - np.searchsorted(np.sort(counts), np.arange(BLOCK), side="right")
-    out = np.empty((len(counts), BLOCK), dtype=np.uint32)
-    for k, n in enumerate(active):
+    out = np.empty((BLOCK, len(counts)), dtype=np.uint32)
+    for k, n in enumerate(active.tolist()):
         if not n:
             break
         here = at[:n]
-        peek = (windows[here >> 5] >> (64 - width - (here & 31)).astype(np.uint64)) & keep
-        out[:n, k] = symbols[peek]
-        at[:n] = here + bits[peek]
-    rows = np.empty_like(out)
-    rows[order] = out
+        peek = windows[here >> np.uint64(5)]
+        peek >>= top - (here & low)
+        peek &= keep
+        found = table[peek]
+        np.right_shift(found, SYMBOL_SHIFT, out=out[k, :n])
+        found &= bits
+        here += found
+    rows = np.empty((len(counts), BLOCK), dtype=np.uint32)
+    rows[order] = out.T
     return rows[np.arange(BLOCK) < counts[:, None]]
 
 
@@ -185,10 +191,10 @@ def id_counts(rows: DataFrame) -> DataFrame:
     return tasks.mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def parts_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about PAYLOAD_BYTES in a binary column; no row is cut."""
+def parts_of(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes in a binary column; no row is cut."""
     sizes = np.cumsum([len(row.as_buffer()) for row in batch.column(column)])
-    cuts = np.unique(sizes // PAYLOAD_BYTES, return_index=True)[1]
+    cuts = np.unique(sizes // size, return_index=True)[1]
     for at, upto in zip(cuts, [*cuts[1:], batch.num_rows]):
         yield batch.slice(at, upto - at)
 
@@ -204,7 +210,7 @@ def coded_rows(rows: DataFrame, code: Code) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, "ids"):
+            for part in parts_of(batch, "ids", PART_BYTES):
                 ids, offsets = unpacked(part)
                 words, first, local = code.encode(ids, offsets)
                 places = (4 * first).astype(np.int32)
@@ -252,7 +258,7 @@ def _decoded(spark: SparkSession, path: str, each: Callable, schema: str) -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = code.table()
         for whole in batches:
-            for batch in parts_of(whole, "bits"):
+            for batch in parts_of(whole, "bits", PAYLOAD_BYTES):
                 parts = [np.frombuffer(row.as_buffer(), dtype=">u4") for row in batch.column("bits")]
                 base = 32 * np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                 n = batch.column("n_tokens").to_numpy()

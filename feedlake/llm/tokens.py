@@ -33,6 +33,9 @@ _WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\
 _BYTE_PARTS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+"
 )
+# Pieces that are one part.
+_ONE_WORD_PART = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]")
+_ONE_BYTE_PART = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -53,6 +56,8 @@ class Encoder:
         self.added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.lower = self.tokenizer.normalizer is not None
         self.parts = _WORD_PARTS if self.lower else _BYTE_PARTS
+        self.one_part = (_ONE_WORD_PART if self.lower else _ONE_BYTE_PART).fullmatch
+        self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces: dict[str, bytes] = _Pieces(self)
 
@@ -61,7 +66,7 @@ class Encoder:
 
     def word(self, part: str) -> bytes:
         letters = part.encode().decode("latin-1").translate(self.letters)
-        return pack([token.id for token in self.tokenizer.model.tokenize(letters)])
+        return pack([token.id for token in self.model.tokenize(letters)])
 
     def has_added(self, texts: pa.Array) -> np.ndarray:
         """Which texts have the string of an added token; in any case of letters, where the tokenizer normalizes it."""
@@ -109,6 +114,8 @@ class Encoder:
         return ids, offsets
 
     def cut(self, piece: str) -> bytes:
+        if self.one_part(piece):
+            return self.word(piece.lower() if self.lower else piece)
         if not _PLAIN.fullmatch(piece):
             return self.whole(piece)
         return b"".join(map(self.word, self.parts.findall(piece.lower() if self.lower else piece)))
