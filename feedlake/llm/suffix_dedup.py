@@ -6,9 +6,11 @@ strings have it at one offset. The bytes around an anchor within which such stri
 its context. Anchors that occur once are dropped. Anchors with one context in several places
 need no sorting: all places but the first are removed whole. Of anchors with several
 contexts, the first place of each context sends its bytes. They are trimmed to what some other
-context of the anchor shares on that side, those that are left too short drop out, and the rest
+context of the anchor shares on that side, and those that are left too short drop out. Of parts that are
+now equal around the anchor all but the earliest are removed whole. The different ones
 are sorted as one text, their suffixes grouped under Lyndon prefixes (see suffix_sort). In runs
-of suffixes that share ``length`` bytes all but the earliest start are removed.
+of suffixes that share ``length`` bytes all but the earliest start are removed. A string that occurs
+twice in one part needs no sorting of that part alone: its second place has an anchor, and so a context, of its own.
 
 An anchor with more than ``MOST`` contexts, such as a line that a third of all documents have,
 would make one array too large. Its strings of ``length`` bytes become rows instead, and the
@@ -133,14 +135,9 @@ def context_bytes(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
 
 def shared_prefix(a: bytes, b: bytes) -> int:
     """How many bytes two strings share from their start on."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        half = (low + high + 1) // 2
-        if a[low:half] == b[low:half]:
-            low = half
-        else:
-            high = half - 1
-    return low
+    n = min(len(a), len(b))
+    other = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (other.bit_length() + 7) // 8
 
 
 def reaches(parts: list[bytes]) -> list[int]:
@@ -153,15 +150,28 @@ def reaches(parts: list[bytes]) -> list[int]:
     return out
 
 
-def trimmed(group: list[tuple], length: int) -> list[tuple[int, int, bytes]]:
-    """The parts of contexts that may hold a shared string: around the anchor, as far as any other agrees."""
+def trimmed(group: list[tuple], length: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+    """The different parts of contexts that may hold a shared string, and the spans of their later copies.
+
+    A part reaches around the anchor as far as any other context agrees. Parts that are equal from
+    their anchors on both sides hold the same strings at the same places, so those of all but the
+    earliest are repeats.
+    """
     before = reaches([part[:at][::-1] for _, _, at, part in group])
     after = reaches([part[at + GRAM :] for _, _, at, part in group])
-    return [
-        (doc, first + at - left, part[at - left : at + GRAM + right])
-        for (doc, first, at, part), left, right in zip(group, before, after)
-        if left + GRAM + right >= length
-    ]
+    parts: dict[tuple[int, bytes], tuple[int, int]] = {}
+    copies = []
+    for (doc, first, at, part), left, right in zip(group, before, after):
+        size = left + GRAM + right
+        if size < length:
+            continue
+        own, place = (left, part[at - left : at + GRAM + right]), (doc, first + at - left)
+        known = parts.setdefault(own, place)
+        if known != place:
+            early, late = (known, place) if known < place else (place, known)
+            parts[own] = early
+            copies.append((*late, late[1] + size))
+    return [(*place, part) for (_, part), place in parts.items()], copies
 
 
 def repeats_in(group: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int]]:
@@ -211,8 +221,8 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         group, anchor, spans = [], None, []
 
         def spans_of(group: list[tuple]) -> list[tuple[int, int, int]]:
-            parts = trimmed(group, length) if len(group) > 1 else []
-            return merged(repeats_in(parts, length), length) if len(parts) > 1 else []
+            parts, copies = trimmed(group, length) if len(group) > 1 else ([], [])
+            return copies + merged(repeats_in(parts, length), length) if len(parts) > 1 else copies
 
         def done() -> pa.RecordBatch:
             columns = list(zip(*spans)) if spans else [[]] * 3
