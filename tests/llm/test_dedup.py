@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -62,6 +63,26 @@ def test_suffix_array_is_sorted():
         assert suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_suffix_array_of_ascending_contexts_takes_linear_memory():
+    def peak(n):
+        text = b"\0".join(i.to_bytes(2, "big") + b"m" * 50 + i.to_bytes(2, "big") for i in range(257, 257 + n))
+        tracemalloc.start()
+        order = suffix_array(text)
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert order == sorted(range(len(text)), key=lambda i: text[i:])
+        return used
+
+    assert peak(800) < 2.5 * peak(400)
+
+
+def test_equal_parts_of_contexts_are_collapsed():
+    shared = bytes(range(65, 65 + 110))
+    group = [(3, 40, 20, b"x" + shared), (1, 7, 20, b"x" + shared), (2, 9, 20, b"y" + shared + b"?"), (5, 0, 0, shared[:70])]
+    parts, copies = suffix_dedup.trimmed(group, 100)
+    assert sorted(parts) == [(1, 7, b"x" + shared), (2, 10, shared)] and copies == [(3, 40, 40 + 111)]
+
+
 def mixed_texts(n, seed, length):
     random.seed(seed)
     parts = ["".join(random.choice("ab é\n") for _ in range(random.randint(1, length))) for _ in range(8)]
