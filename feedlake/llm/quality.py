@@ -1,44 +1,48 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training rows labelled good; all other text is unlabelled web text, of which
-a share, the class prior, is good as well. The classifier is logistic on dense features of
-a text and minimises the non-negative unbiased risk
+Trusted positives are training rows labelled good; unlabelled web text is every training row, with
+its label unseen, of which a share, the class prior, is good. The classifier is logistic on dense
+features of a text and minimises the non-negative unbiased risk
 
     prior · E_P[loss(+)] + max(0, E_U[loss(-)] - prior · E_P[loss(-)])
 
-by gradient descent; where the second part falls below zero, its gradient is taken back, so the
-model cannot gain by overfitting the positives. The prior is estimated from the same two
-samples: no set of documents can have a smaller share among the unlabelled than the prior times
-its share among the positives, so the least ratio over the sets that a first
-classifier cuts off, each with enough positives, bounds it.
+With the logistic loss the unbiased risk is convex, so Newton steps find its least value; a step
+that lets the second part fall below zero, or the risk rise, is halved, so the model cannot gain by
+overfitting the positives. The prior is estimated from the same rows: no set of documents
+can have a smaller share among the unlabelled than the prior times its share among the
+positives, so the least ratio over the sets that a first classifier cuts off, each with enough
+positives, bounds it.
 
-Both samples are bounded (``SAMPLE`` rows each, those with the least hash of their id) and are
-all that reaches the driver; features are computed on the whole texts, and every row is scored.
+Nothing is sampled. Features of the whole texts are written once; each step is one pass over
+those of the training rows that sums the risk, its gradient and its curvature in partial
+sums, and only their 600 values, or the counts of BINS score bins, reach the driver.
 
 A training row is one with crc32(doc_id as text) mod 3 other than 1. Labels, lang,
 source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts have defined features and a score; a null doc_id is held
-out of training; repeated rows get equal scores; without training positives every score is 0.5;
+out of training; repeated rows count as often as they stand and get equal scores; a doc_id with
+several labels is good if one says so; without training positives every score is 0.5;
 other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.llm import bytescan
-from feedlake.llm.common import documents
+from feedlake.llm.common import documents, staged
 
-SAMPLE = 20_000
 FOLDS, HELD_OUT = 3, 1
-STEPS, RATE, DECAY = 1200, 0.1, 1e-4
+STEPS, HALVINGS, GAIN, DECAY = 40, 12, 0.1, 1e-4
 LEAST_SHARE = 0.1  # of the positives, in a set that bounds the prior
 N_FEATURES = 22
+BINS, REACH = 4096, 30.0  # of the margins that bound the prior
 
 
 def fold(n: int) -> Column:
@@ -121,14 +125,14 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """``group`` (as given) and features of each row."""
+    """doc_id and features of each row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole)):
-            found = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("group"), pa.array(list(found), pa.list_(pa.float64()))], names=["group", "x"])
+            found = pa.array(list(features(batch.column("text")).astype(np.float32)), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "x"])
 
-    return docs.select("group", "text").mapInArrow(read, "group int, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, x array<float>")
 
 
 def least_hashed(rows: DataFrame, n: int) -> DataFrame:
@@ -136,82 +140,173 @@ def least_hashed(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(n)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, N_FEATURES)
+
+
+def sigmoid(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -REACH, REACH)))
+
+
 class Model:
     """A logistic model on scaled features."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
         self.mean, self.scale, self.weights = mean, scale, weights
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -8, 8)])
+
     def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return z @ self.weights[1:] + self.weights[0]
+        return self.scaled(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative unbiased risk with the logistic loss (Adam, full batches)."""
-    every = np.concatenate([positive, unlabelled])
-    mean, scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-6)
-    x_p, x_u = (np.hstack([np.ones((len(x), 1)), np.clip((x - mean) / scale, -8, 8)]) for x in (positive, unlabelled))
-    w, m, v = (np.zeros(x_p.shape[1]) for _ in range(3))
-    for step in range(1, STEPS + 1):
-        s_p, s_u = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) for x in (x_p, x_u))
-        negative = -np.log(1 - s_u + 1e-12).mean() + prior * np.log(1 - s_p + 1e-12).mean()
-        g_p = prior * ((s_p - 1) @ x_p) / len(x_p)
-        g_n = (s_u @ x_u) / len(x_u) - prior * (s_p @ x_p) / len(x_p)
-        g = g_p + g_n if negative >= 0 else -g_n
-        g = g + DECAY * np.concatenate([[0], w[1:]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, w)
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The least ratio of shares over the sets above a threshold of a first classifier."""
-    first = fit(positive, unlabelled, 0.5)
-    s_p, s_u = np.sort(first.margin(positive)), np.sort(first.margin(unlabelled))
-    cuts = np.quantile(s_p, np.linspace(0, 1 - LEAST_SHARE, 91))
-    share_p = 1 - np.searchsorted(s_p, cuts) / len(s_p)
-    share_u = 1 - np.searchsorted(s_u, cuts) / len(s_u)
+        return sigmoid(self.margin(x))
+
+    def with_weights(self, weights: np.ndarray) -> Model:
+        return Model(self.mean, self.scale, weights)
+
+
+def total(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum over all rows of the vector that ``of`` makes of features and marks; None without rows."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
+        for batch in batches:
+            if batch.num_rows:
+                found = of(matrix(batch.column("x")), batch.column("positive").to_numpy(zero_copy_only=False))
+                mine = found if mine is None else mine + found
+        if mine is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(mine), dtype=np.int32)), pa.array(mine)], names=["at", "value"])
+
+    parts = rows.select("x", "positive").mapInArrow(read, "at int, value double")
+    summed = sorted(parts.groupBy("at").agg(F.sum("value").alias("value")).collect())
+    return np.array([row["value"] for row in summed]) if summed else None
+
+
+class Risk(NamedTuple):
+    value: float
+    negative: float  # the part that must not fall below zero
+    gradient: np.ndarray
+    curvature: np.ndarray
+
+
+def risk_sums(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What the risk needs of some rows: sums, so that parts of the rows may be added."""
+
+    def of(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        rows = model.scaled(x)
+        margin = rows @ model.weights
+        loss, s = np.logaddexp(0, margin), sigmoid(margin)
+        curvature = (rows * (s * (1 - s))[:, None]).T @ rows
+        own = [loss.sum(), loss[positive].sum(), margin[positive].sum()]
+        return np.concatenate([own, s @ rows, rows[positive].sum(axis=0), curvature.ravel()])
+
+    return of
+
+
+def risk(sums: np.ndarray, n: float, n_positive: float, prior: float, weights: np.ndarray) -> Risk:
+    """The unbiased risk with a small ridge. loss(+) - loss(-) of a margin is its negative."""
+    k = len(weights)
+    ridge = DECAY * np.concatenate([[0], np.ones(k - 1)])
+    value = sums[0] / n - prior * sums[2] / n_positive + (ridge * weights**2).sum() / 2
+    gradient = sums[3 : 3 + k] / n - prior * sums[3 + k : 3 + 2 * k] / n_positive + ridge * weights
+    # The last term only keeps the equations solvable where a feature is constant.
+    curvature = sums[3 + 2 * k :].reshape(k, k) / n + np.diag(ridge) + 1e-9 * np.eye(k)
+    return Risk(value, sums[0] / n - prior * sums[1] / n_positive, gradient, curvature)
+
+
+def fit(risk_at: Callable[[np.ndarray], Risk], weights: np.ndarray) -> np.ndarray:
+    """Newton steps, halved until the risk falls and its second part is not negative.
+
+    Where the second part bounds a step, the fit ends once such a step lowers the risk by less than GAIN.
+    """
+    now = risk_at(weights)
+    for _ in range(STEPS):
+        step = np.linalg.solve(now.curvature, -now.gradient)
+        if -(now.gradient @ step) < 1e-9:
+            break
+        bounded = False
+        for _ in range(HALVINGS):
+            tried = risk_at(weights + step)
+            bounded |= tried.negative < 0
+            if tried.value < now.value and tried.negative >= 0:
+                break
+            step = step / 2
+        else:
+            break
+        gain = now.value - tried.value
+        weights, now = weights + step, tried
+        if bounded and gain < GAIN:
+            break
+    return weights
+
+
+def margin_counts(model: Model) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """How many rows, and how many positives, lie in each of BINS ranges of the margin."""
+
+    def of(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        at = np.clip((model.margin(x) + REACH) * (BINS / (2 * REACH)), 0, BINS - 1).astype(int)
+        return np.concatenate([np.bincount(part, minlength=BINS) for part in (at, at[positive])]).astype(float)
+
+    return of
+
+
+def bounded_prior(counts: np.ndarray) -> float:
+    """The least ratio of shares over the sets above a margin."""
+    every, positive = (np.cumsum(part[::-1]) for part in np.split(counts, 2))
+    share_u, share_p = every / every[-1], positive / positive[-1]
     # Two standard errors, for the least of many ratios is found by chance as well.
-    slack = 2 * np.sqrt(np.maximum(share_u * (1 - share_u), 1e-9) / len(s_u))
-    return float(np.clip(((share_u + slack) / share_p).min(), 0.05, 0.99))
+    slack = 2 * np.sqrt(np.maximum(share_u * (1 - share_u), 1e-9) / every[-1])
+    enough = share_p >= LEAST_SHARE
+    return float(np.clip(((share_u + slack)[enough] / share_p[enough]).min(), 0.05, 0.99))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on bounded samples of trusted positives and of unlabelled rows."""
+    return train_on(staged(feature_rows(docs), "quality-features"), labels)
+
+
+def train_on(rows: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on the features of all training rows."""
     allowed = F.coalesce(fold(FOLDS) != HELD_OUT, F.lit(False))
-    good = labels.filter(allowed & (F.col("quality") == 1)).select("doc_id").distinct()
-    chosen = least_hashed(good, SAMPLE).withColumn("group", F.lit(1))
-    known = labels.select("doc_id").distinct()
-    # Unlabelled text: any row without a label, of which no held-out row takes part either.
-    ids = docs.select("doc_id").filter(allowed).distinct().join(known, "doc_id", "left_anti")
-    chosen = chosen.unionByName(least_hashed(ids, SAMPLE).withColumn("group", F.lit(0)))
-    rows = feature_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toPandas()
-    x, group = np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), rows["group"].to_numpy()
-    positive, unlabelled = x[group == 1], x[group == 0]
-    if not len(positive) or not len(unlabelled):
+    good = labels.filter(allowed & (F.col("quality") == 1)).select(F.col("doc_id").cast("long")).distinct()
+    marked = rows.filter(allowed).join(good.withColumn("good", F.lit(True)), "doc_id", "left")
+    marked = staged(marked.select("x", F.coalesce("good", F.lit(False)).alias("positive")), "quality-training")
+
+    moments = total(marked, lambda x, positive: np.concatenate([[len(x), positive.sum()], x.sum(axis=0), (x**2).sum(axis=0)]))
+    if moments is None or not moments[1]:
         return None
-    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
+    n, n_positive = moments[:2]
+    mean, square = np.split(moments[2:] / n, 2)
+    model = Model(mean, np.maximum(np.sqrt(np.maximum(square - mean**2, 0)), 1e-6), np.zeros(N_FEATURES + 1))
+
+    def fitted(prior: float) -> Model:
+        def risk_at(weights: np.ndarray) -> Risk:
+            return risk(total(marked, risk_sums(model.with_weights(weights))), n, n_positive, prior, weights)
+
+        return model.with_weights(fit(risk_at, model.weights))
+
+    return fitted(bounded_prior(total(marked, margin_counts(fitted(0.5)))))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id and score of every row."""
+    return score_rows(feature_rows(docs), model)
 
+
+def score_rows(rows: DataFrame, model: Model | None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bytescan.slices(whole)):
-            found = model.score(features(batch.column("text"))) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
+        for batch in batches:
+            found = model.score(matrix(batch.column("x"))) if model else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, score double")
+    return rows.select("doc_id", "x").mapInArrow(read, "doc_id long, score double")
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select(
+    rows = staged(feature_rows(documents(spark, sf_dir)), "quality-features")
+    model = train_on(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_rows(rows, model).select(
         "doc_id",
         F.coalesce(fold(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

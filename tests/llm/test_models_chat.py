@@ -147,6 +147,65 @@ def test_quality_from_positives_only(spark):
     assert all(0 <= s <= 1 for s in found.values()) and len(found) == 902
 
 
+def test_quality_where_every_row_is_labelled(spark):
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(600):
+        own = words(rng, rng.randint(20, 80))
+        rows.append((i, " ".join(own) + "." if i % 2 else " ".join(w.upper() + "!!" for w in own)))
+        labels.append((i, i % 2, 0))
+    labels += labels[:50] + [(None, 1, 0), (5000, 1, 0)]
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    found = quality.score(docs, quality.train(docs, labelled)).collect()
+    held = [r for r in found if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert auc([r.score for r in held], [r.doc_id % 2 for r in held]) > 0.99
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held) > 0.95 * len(held)
+
+
+def test_quality_risk_is_that_of_the_plain_formula(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, quality.N_FEATURES)).astype(np.float32).astype(float)
+    positive = (x[:, 0] + rng.normal(size=300) > 0.3) & (rng.random(300) < 0.5)
+    data = [([float(v) for v in row], bool(p)) for row, p in zip(x, positive)]
+    rows = spark.createDataFrame(data, "x array<float>, positive boolean").repartition(5)
+    prior, w = 0.4, rng.normal(size=quality.N_FEATURES + 1) * 0.1
+    base = quality.Model(x.mean(axis=0), x.std(axis=0), w)
+
+    def by_spark(weights):
+        return quality.risk(quality.total(rows, quality.risk_sums(base.with_weights(weights))), 300, positive.sum(), prior, weights)
+
+    def plain(weights):
+        z = base.with_weights(weights).margin(x)
+        plus, minus = np.log1p(np.exp(-z)), np.log1p(np.exp(z))
+        negative = minus.mean() - prior * minus[positive].mean()
+        return prior * plus[positive].mean() + negative + quality.DECAY / 2 * (weights[1:] ** 2).sum(), negative
+
+    found = by_spark(w)
+    assert np.allclose([found.value, found.negative], plain(w))
+    steps = 1e-5 * np.eye(len(w))
+    slope = [(plain(w + d)[0] - plain(w - d)[0]) / 2e-5 for d in steps]
+    assert np.allclose(found.gradient, slope, atol=1e-6)
+    bend = [(by_spark(w + d).gradient - by_spark(w - d).gradient) / 2e-5 for d in steps[:2]]
+    assert np.allclose(found.curvature[:2], bend, atol=1e-5)
+    # The whole fit against plain gradient descent on the same rows.
+    done = quality.fit(by_spark, np.zeros(len(w)))
+    rows_x, slow = base.scaled(x), np.zeros(len(w))
+    for _ in range(30_000):
+        s = 1 / (1 + np.exp(-rows_x @ slow))
+        ridge = quality.DECAY * np.concatenate([[0], slow[1:]])
+        slow -= 0.5 * (s @ rows_x / 300 - prior * rows_x[positive].mean(axis=0) + ridge)
+    if plain(slow)[1] >= 0:
+        assert np.allclose(done, slow, atol=1e-2)
+    assert plain(done)[1] >= 0
+
+
+def test_prior_is_bounded_by_the_purest_set():
+    counts = np.zeros(2 * quality.BINS)
+    counts[3000], counts[1000] = 300_000, 700_000
+    counts[quality.BINS + 3000] = 5000
+    assert 0.3 <= quality.bounded_prior(counts) < 0.302
+
+
 def test_leaks_are_found_and_clean_documents_are_not(spark):
     rng = random.Random(4)
     items = [(i, " ".join(words(rng, rng.randint(15, 50))) + ".\n" + " ".join(words(rng, 8)) + ".") for i in range(30)]
