@@ -7,10 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.functions import html, keys, text
-from feedlake.operators import dedup, joins, reports, stubs
+from feedlake.operators import dedup, reports, stubs
 from feedlake.operators.articles import body_choice, fetched_articles, markdown_of
 from feedlake.operators.queue import with_url
-from feedlake.operators.ranking import first_n, running_total, sequence_of
+from feedlake.operators.ranking import first_n, sequence_of
+from feedlake.plans.caps import candidates, capped
 from feedlake.plans.notes import built_notes, named_notes, planned_names, with_local_images
 from feedlake.session import state_dir
 from feedlake.sources.notes import note_keys
@@ -63,42 +64,6 @@ def routed(
     )
 
 
-def candidates(fresh: DataFrame, max_articles: int) -> DataFrame:
-    """Narrow rows that the per-feed cap can reach, whatever earlier feeds write.
-
-    Only rows whose key is in an earlier feed too can be blocked. All others count for
-    certain, so nothing after the cap-th of them is ever taken.
-    """
-    key = ["vault_folder", "url_key"]
-    first = fresh.groupBy(*key).agg(F.min("feed_ord").alias("_first"))
-    marked = joins.spread_join(fresh, first, key, ["seq"], "left").withColumn(
-        "_certain", F.coalesce(F.col("feed_ord") == F.col("_first"), F.lit(True)).cast("long")
-    )
-    counted = running_total(marked, ["feed_ord"], ["seq"], "_before", F.col("_certain"))
-    reached = F.col("_before") - F.col("_certain") < max_articles
-    return counted.filter(reached).select(*fresh.columns)
-
-
-def capped(rows: DataFrame, max_articles: int) -> DataFrame:
-    """The first rows of each feed that no earlier feed wrote within its own cap.
-
-    What a feed takes depends on what earlier feeds with its keys took. Each
-    round settles at least the next feed of every such chain; it ends once
-    nothing changes. Rows are narrow and are staged between rounds.
-    """
-    spark = rows.sparkSession
-    taken = None
-    while True:
-        free = dedup.free_of_earlier_notes(rows, ["seq"], rows if taken is None else taken)
-        now = stage(first_n(free, ["feed_ord"], ["seq"], max_articles), state_dir(spark, "sync-capped"))
-        if taken is not None:
-            gone = taken.select("seq").join(now.select("seq"), "seq", "left_anti")
-            added = now.select("seq").join(taken.select("seq"), "seq", "left_anti")
-            if gone.unionByName(added).isEmpty():
-                return now
-        taken = now
-
-
 def preview(entries: DataFrame, notes: DataFrame, max_articles: int | None = None) -> DataFrame:
     """Names a sync would plan. Nothing is fetched, so nothing is held back either."""
     fresh = dedup.unseen(keyed_entries(entries), note_keys(notes), ["seq"])
