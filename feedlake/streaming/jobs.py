@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from feedlake.operators.queue import run_time
+from feedlake.session import ROCKS_DB, STATE_STORE, setting
 from feedlake.sources.feeds import entries_of, parsed_files
 from feedlake.sources.snapshots import read_snapshot
 from feedlake.streaming import state
@@ -30,7 +31,9 @@ def _poll(rows: DataFrame, path: str, name: str, mode: str) -> dict:
         batch.write.mode("overwrite").parquet(f"{path}/{name}/{BATCH}={number}")
 
     writer = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
-    query = writer.trigger(availableNow=True).start()
+    # Spark's default store knows no keyed processors, and the session may be another's; a stream copies its settings.
+    with setting(rows.sparkSession, STATE_STORE, ROCKS_DB):
+        query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     progress = query.recentProgress
     metrics: dict = {"rows_read": sum(p["numInputRows"] for p in progress)}
@@ -97,7 +100,8 @@ def held_stubs(spark: SparkSession, path: str) -> DataFrame:
     """Stubs that are held back now, straight from the state store."""
     reader = spark.read.format("statestore").option("stateVarName", "stub")
     stored = reader.load(f"{path}/checkpoint")
-    return stored.select("key.url_key", "value.first_seen", "value.last_seen", "value.body_chars")
+    first, last = (F.timestamp_micros(f"value.{name}").alias(name) for name in ("first_seen", "last_seen"))
+    return stored.select("key.url_key", first, last, "value.body_chars")
 
 
 def complete_rows(events: DataFrame, path: str) -> dict:

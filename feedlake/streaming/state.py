@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedlake.functions import keys
@@ -161,30 +161,31 @@ def folded_sightings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class HeldStubs(StatefulProcessor):
-    """A held-back stub from its first sighting until it is captured, which clears its state."""
+    """A held-back stub from its first sighting until it is captured, which clears its state.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stub = handle.getValueState(
-            "stub", "first_seen timestamp, last_seen timestamp, body_chars long, event_id long"
-        )
+    Times are microseconds. There is a call per key, and most keys have one row, so it takes plain rows.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows))
-        seen = parts[parts["first_seen"].notna()]
-        held = self.stub.get() if self.stub.exists() else None
-        states = [(naive(held[0]), naive(held[1]), held[2], held[3])] if held else []
-        states += [(naive(r.first_seen), naive(r.last_seen), int(r.body_chars), int(r.event_id)) for r in seen.itertuples()]
-        captured = bool(parts["captured"].any())
-        if captured:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stub = handle.getValueState("stub", "first_seen long, last_seen long, body_chars long, event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.stub.get()
+        states, captured = [tuple(held)] if held else [], False
+        for row in rows:
+            captured |= row["captured"]
+            if row["first_seen"] is not None:
+                states.append((row["first_seen"], row["last_seen"], row["body_chars"], row["event_id"]))
+        if captured and held:
             self.stub.clear()
         latest = max(states, key=lambda s: (s[1], s[3]), default=None)
         if latest is None:
-            yield pd.DataFrame([(key[0], None, None, None, True)], columns=["url_key", "first_seen", "last_seen", "body_chars", "captured"])
+            yield Row(url_key=key[0], first_seen=None, last_seen=None, body_chars=None, captured=True)
             return
-        now = (min(s[0] for s in states), latest[1], latest[2], latest[3])
+        now = (min(s[0] for s in states), *latest[1:])
         if not captured:
             self.stub.update(now)
-        yield pd.DataFrame([(key[0], *now[:3], captured)], columns=["url_key", "first_seen", "last_seen", "body_chars", "captured"])
+        yield Row(url_key=key[0], first_seen=now[0], last_seen=now[1], body_chars=now[2], captured=captured)
 
     def close(self) -> None:
         pass
@@ -196,8 +197,12 @@ def stub_changes(events: DataFrame) -> DataFrame:
     Sightings of keys that have a note must be left out before, as the vault lookup of a sync
     leaves them out: a captured key has no state that would tell.
     """
+    times = ("first_seen", "last_seen")
     folded = events.select("url_key", "kind", "ts", "event_id", "body_chars").mapInPandas(folded_sightings, SIGHTING)
-    return folded.groupBy("url_key").transformWithStateInPandas(HeldStubs(), STUB, "Update", "None")
+    folded = folded.withColumns({name: F.unix_micros(name) for name in times})
+    plain = "url_key string, first_seen long, last_seen long, body_chars long, captured boolean"
+    changed = folded.groupBy("url_key").transformWithState(HeldStubs(), plain, "Update", "None")
+    return changed.withColumns({name: F.timestamp_micros(name) for name in times})
 
 
 # --- Rows that wait for their page ------------------------------------------------

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from feedlake import session
 from feedlake.streaming import jobs, state
 
 START = datetime(2026, 1, 1)
@@ -131,6 +132,32 @@ def test_a_row_completes_once_when_its_page_lands(spark, tmp_path):
     assert state_rows(spark, f"{out}/checkpoint", "landed") == 3
 
 
+def test_jobs_run_in_a_session_with_another_state_store(spark, tmp_path):
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    former = spark.conf.get(session.STATE_STORE)
+    landing = tmp_path / "feeds"
+    landing.mkdir()
+    (landing / "0.xml").write_text("<rss><channel><item><title>t</title><link>http://a</link></item></channel></rss>")
+    paths = {name: str(tmp_path / name) for name in ("waits", "seen", "links", "done", "o1", "o2", "o3", "o4")}
+    land(spark, [("a", "row", at(0), 1), ("a", "page", at(0), None)], WAIT, paths["waits"], 0)
+    land(spark, [("u", "seen", at(0), 1, 10)], SIGHTING, paths["seen"], 0)
+    land(spark, [("http://a", 0, 0, at(0))], ENTRY, paths["links"], 0)
+    land(spark, [("http://a", at(0, 1))], DONE, paths["done"], 0)
+    spark.conf.set(session.STATE_STORE, other)
+    try:
+        jobs.complete_rows(source(spark, WAIT, paths["waits"]), paths["o1"])
+        jobs.hold_stubs(source(spark, SIGHTING, paths["seen"]), paths["o2"])
+        jobs.discover(source(spark, ENTRY, paths["links"]), source(spark, DONE, paths["done"]), paths["o3"], 10)
+        jobs.poll_feeds(spark, str(landing), f"{at(0)}", paths["o4"], 10)
+        assert spark.conf.get(session.STATE_STORE) == other
+        assert jobs.written(spark, f"{paths['o1']}/done", state.DONE).count() == 1
+        assert [r.url_key for r in jobs.held_stubs(spark, paths["o2"]).collect()] == ["u"]
+        assert jobs.written(spark, f"{paths['o3']}/found", state.FOUND).count() == 1
+        assert jobs.written(spark, f"{paths['o4']}/found", state.FOUND).count() == 1
+    finally:
+        spark.conf.set(session.STATE_STORE, former)
+
+
 FEED = "<rss><channel><title>f</title>{}</channel></rss>"
 ITEM = "<item><title>T{0}</title><link>http://site/{0}</link></item>"
 
