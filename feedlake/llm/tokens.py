@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 BATCH_BYTES = 1 << 23  # of text that is cut and numbered at a time
 CACHE_PIECES = 500_000  # of one Python worker; at this many the cache starts again
+CACHE_CHARS = 48  # longer pieces are not kept
 
 # White space other than single blanks and line feeds between words; NUL marks the cuts.
 _ODD = (
@@ -34,8 +35,8 @@ _BYTE_PARTS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+"
 )
 # Pieces that are one part.
-_ONE_WORD_PART = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]")
-_ONE_BYTE_PART = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+")
+_ONE_WORD_PART = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]"
+_ONE_BYTE_PART = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+"
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,7 +57,7 @@ class Encoder:
         self.added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.lower = self.tokenizer.normalizer is not None
         self.parts = _WORD_PARTS if self.lower else _BYTE_PARTS
-        self.one_part = (_ONE_WORD_PART if self.lower else _ONE_BYTE_PART).fullmatch
+        self.one_part = f"^(?:{_ONE_WORD_PART if self.lower else _ONE_BYTE_PART})\\z"
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.pieces: dict[str, bytes] = _Pieces(self)
@@ -68,6 +69,23 @@ class Encoder:
         letters = part.encode().decode("latin-1").translate(self.letters)
         return pack([token.id for token in self.model.tokenize(letters)])
 
+    def learn(self, pieces: list[str]) -> None:
+        """Look up the new ones of these pieces that are one part, with one pass for all their letters."""
+        new = [piece for piece in pieces if piece not in self.pieces]
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            self.pieces.clear()
+            new = pieces[:CACHE_PIECES]
+        new = pa.array(new, pa.string())
+        new = new.filter(pc.and_(pc.match_substring_regex(new, self.one_part), pc.less_equal(pc.utf8_length(new), CACHE_CHARS)))
+        if not len(new):
+            return
+        new = new.to_numpy(zero_copy_only=False).tolist()
+        joined = "\0".join(new)
+        joined = (joined.lower() if self.lower else joined).encode().decode("latin-1").translate(self.letters)
+        tokenize = self.model.tokenize
+        for piece, letters in zip(new, joined.split(self.letters[0])):
+            self.pieces[piece] = pack([token.id for token in tokenize(letters)])
+
     def has_added(self, texts: pa.Array) -> np.ndarray:
         """Which texts have the string of an added token; in any case of letters, where the tokenizer normalizes it."""
         found = np.zeros(len(texts), dtype=bool)
@@ -96,7 +114,9 @@ class Encoder:
         pieces = pc.split_pattern(plain, "\0")
         numbered = pieces.flatten().dictionary_encode()
         which = numbered.indices.to_numpy(zero_copy_only=False)
-        found = list(map(self.pieces.__getitem__, numbered.dictionary.to_pylist()))
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(distinct)
+        found = list(map(self.pieces.__getitem__, distinct))
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begin = np.cumsum(size) - size
         n = size[which]
@@ -114,8 +134,6 @@ class Encoder:
         return ids, offsets
 
     def cut(self, piece: str) -> bytes:
-        if self.one_part(piece):
-            return self.word(piece.lower() if self.lower else piece)
         if not _PLAIN.fullmatch(piece):
             return self.whole(piece)
         return b"".join(map(self.word, self.parts.findall(piece.lower() if self.lower else piece)))
@@ -128,7 +146,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         found = self.encoder.cut(piece) if piece else b""
-        if len(piece) <= 48:
+        if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_PIECES:
                 self.clear()
             self[piece] = found

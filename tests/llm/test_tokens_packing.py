@@ -158,3 +158,16 @@ def test_files_give_back_what_was_written(spark, tmp_path):
 def test_empty_table_of_token_files(spark, tmp_path):
     token_files.write_ids(docs_of(spark, []), str(tmp_path / "ids"), P.path("byte_bpe_50k.json"))
     assert token_files.digests(spark, str(tmp_path / "ids")).count() == 0
+
+
+def test_new_pieces_of_one_part_are_looked_up_together(monkeypatch):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder = tokens.Encoder(P.path(name))
+        monkeypatch.setattr(tokens, "CACHE_PIECES", 500_000)
+        encoder.learn([" Straße", "Été", "7", " don't", "x" * 60])
+        assert "Été" in encoder.pieces and not {" don't", "x" * 60} & set(encoder.pieces)
+        for most in (500_000, 3, 1):
+            monkeypatch.setattr(tokens, "CACHE_PIECES", most)
+            for text in ("A Straße in Été 7 77 it's\nÑandú. " + "ab" * 40, "a b c d e f g h", ""):
+                ids, _ = encoder.encode(pa.array([text]))
+                assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
