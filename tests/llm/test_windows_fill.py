@@ -98,3 +98,22 @@ def test_fill_in_middle_equals_plain_code_and_reads_back(spark):
 def test_all_repetitions_of_a_unit_come_from_one_match():
     ends = fill_middle.UNITS.fullmatch("ab\n\n" + "c").ends(1)
     assert ends == [3, 4, 5] and fill_middle.UNITS.fullmatch("").ends(1) == []
+
+
+def test_staged_results_leave_no_shuffle_files(spark):
+    import re
+    import time
+
+    from feedlake.llm import common
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return set(re.findall(r"shuffle_\d+_\d+_0\.data", files))
+
+    former, before = spark.conf.get(common.SHUFFLE_CLEANUP), shuffles()
+    staged = common.staged(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "test")
+    wanted = time.monotonic() + 10
+    while shuffles() - before and time.monotonic() < wanted:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert staged.count() == 7 and spark.conf.get(common.SHUFFLE_CLEANUP) == former
