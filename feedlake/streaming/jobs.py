@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from feedlake.operators.queue import run_time
-from feedlake.session import ROCKS_DB, STATE_STORE, setting
+from feedlake.session import RESERVES, ROCKS_DB, STATE_STORE, setting
 from feedlake.sources.feeds import entries_of, parsed_files
 from feedlake.sources.snapshots import read_snapshot
 from feedlake.streaming import state
@@ -32,7 +32,8 @@ def _poll(rows: DataFrame, path: str, name: str, mode: str) -> dict:
 
     writer = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
     # Spark's default store knows no keyed processors, and the session may be another's; a stream copies its settings.
-    with setting(rows.sparkSession, STATE_STORE, ROCKS_DB):
+    spark = rows.sparkSession
+    with setting(spark, STATE_STORE, ROCKS_DB), setting(spark, RESERVES, "false"):
         query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     progress = query.recentProgress

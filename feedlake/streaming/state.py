@@ -7,16 +7,20 @@ cleared, so the store holds open cases only.
 
 Rows of one key are folded per Arrow batch before the shuffle: the task that owns a hot
 key gets one row per batch and moment for it, not all of them.
+
+A processor is called once per key, and most keys have one or two rows in a batch, so processors
+take plain rows and ask the store no more than they need: a frame per key, or a question to the store,
+costs more than all else. Within a processor and in its state, times are microseconds since 1970.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType, TimestampType
 
 from feedlake.functions import keys
 from feedlake.operators.queue import PENDING, SYNCED, with_url
@@ -31,16 +35,17 @@ SIGHTING = "url_key string, first_seen timestamp, last_seen timestamp, body_char
 STUB = "url_key string, first_seen timestamp, last_seen timestamp, body_chars long, captured boolean"
 DONE = "url_key string, queue_ord long, done_at timestamp"
 
-
-def milliseconds(ts: datetime) -> int:
-    """Event time of a state's time stamp, which Spark hands over without a zone, as UTC."""
-    return int(ts.replace(tzinfo=timezone.utc).timestamp() * 1000)
+DAY = 24 * 60 * 60 * 1_000_000
 
 
-def naive(ts) -> datetime:
-    """A time stamp as state keeps it: without a zone, in UTC."""
-    ts = pd.Timestamp(ts).to_pydatetime()
-    return ts if ts.tzinfo is None else ts.astimezone(timezone.utc).replace(tzinfo=None)
+def keyed(events: DataFrame, processor: StatefulProcessor, out: str, mode: str, time_mode: str = "None") -> DataFrame:
+    """Events through a processor by URL; it sees and returns times as microseconds, outside they are time stamps."""
+    times = [field.name for field in events.schema if field.dataType == TimestampType()]
+    fields = StructType.fromDDL(out)
+    plain = ", ".join(f"{f.name} {'long' if f.dataType == TimestampType() else f.dataType.simpleString()}" for f in fields)
+    rows = events.withColumns({name: F.unix_micros(name) for name in times})
+    found = rows.groupBy("url_key").transformWithState(processor, plain, mode, time_mode)
+    return found.withColumns({f.name: F.timestamp_micros(f.name) for f in fields if f.dataType == TimestampType()})
 
 
 # --- Known URLs: found once, known until their retention is over ------------------
@@ -79,6 +84,11 @@ def first_of_moment(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.drop_duplicates(["url_key", "kind", "ts"])
 
 
+def last_if_missing(*values) -> tuple:
+    """Key of an order in which missing values come last."""
+    return tuple((value is None, 0 if value is None else value) for value in values)
+
+
 class KnownUrls(StatefulProcessor):
     """Finds each URL once; a synced one is forgotten when its retention is over.
 
@@ -89,41 +99,40 @@ class KnownUrls(StatefulProcessor):
     """
 
     def __init__(self, keep_days: int):
-        self.keep = timedelta(days=keep_days) if keep_days > 0 else None
+        self.keep = keep_days * DAY if keep_days > 0 else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "status string, until timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "kind", "feed_ord", "entry_ord"], kind="stable")
-        held = self.known.get() if self.known.exists() else None
-        status, until = held if held else (None, None)
-        until = naive(until) if until is not None else None
-        found, before = [], until
-        for event in events.itertuples(index=False):
-            at = naive(event.ts)
-            if status == SYNCED and until is not None and at >= until:
+        self.known = handle.getValueState("known", "status string, until long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted(rows, key=lambda r: last_if_missing(r["ts"], r["kind"], r["feed_ord"], r["entry_ord"]))
+        held = self.known.get()
+        before = status, until = tuple(held) if held else (None, None)
+        found = []
+        for event in events:
+            at = event["ts"]
+            if status == SYNCED and until is not None and at is not None and at >= until:
                 status, until = None, None
-            if event.kind == ENTRY and status is None:
-                found.append((key[0], event.url, event.feed_ord, event.entry_ord, event.ts, PENDING))
+            if event["kind"] == ENTRY and status is None:
+                found.append(Row(url_key=key[0], url=event["url"], feed_ord=event["feed_ord"], entry_ord=event["entry_ord"], discovered=at, status=PENDING))
                 status = PENDING
-            elif event.kind == SYNCED and status is not None:
-                status, until = SYNCED, at + self.keep if self.keep else None
-        if before != until:
-            if before is not None:
-                self.handle.deleteTimer(milliseconds(before))
+            elif event["kind"] == SYNCED and status is not None:
+                status, until = SYNCED, at + self.keep if self.keep and at is not None else None
+        if before[1] != until:
+            if before[1] is not None:
+                self.handle.deleteTimer(before[1] // 1000)
             if until is not None:
-                self.handle.registerTimer(milliseconds(until))
-        if status is None:
+                self.handle.registerTimer(until // 1000)
+        if status is None and held:
             self.known.clear()
-        else:
+        elif (status, until) != before:
             self.known.update((status, until))
-        yield pd.DataFrame(found, columns=["url_key", "url", "feed_ord", "entry_ord", "discovered", "status"])
+        return iter(found)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.known.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -135,9 +144,7 @@ def new_urls(events: DataFrame, keep_days: int, lateness: str = "1 day") -> Data
     Events may come up to ``lateness`` behind the newest of earlier batches; older ones are left out.
     """
     folded = events.withWatermark("ts", lateness).mapInPandas(first_of_moment, KEYED)
-    return folded.groupBy("url_key").transformWithStateInPandas(
-        KnownUrls(keep_days), FOUND, "Append", "EventTime"
-    )
+    return keyed(folded, KnownUrls(keep_days), FOUND, "Append", "EventTime")
 
 
 # --- Held-back stubs: kept until captured ---------------------------------------
@@ -161,10 +168,7 @@ def folded_sightings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class HeldStubs(StatefulProcessor):
-    """A held-back stub from its first sighting until it is captured, which clears its state.
-
-    Times are microseconds. There is a call per key, and most keys have one row, so it takes plain rows.
-    """
+    """A held-back stub from its first sighting until it is captured, which clears its state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stub = handle.getValueState("stub", "first_seen long, last_seen long, body_chars long, event_id long")
@@ -197,12 +201,8 @@ def stub_changes(events: DataFrame) -> DataFrame:
     Sightings of keys that have a note must be left out before, as the vault lookup of a sync
     leaves them out: a captured key has no state that would tell.
     """
-    times = ("first_seen", "last_seen")
     folded = events.select("url_key", "kind", "ts", "event_id", "body_chars").mapInPandas(folded_sightings, SIGHTING)
-    folded = folded.withColumns({name: F.unix_micros(name) for name in times})
-    plain = "url_key string, first_seen long, last_seen long, body_chars long, captured boolean"
-    changed = folded.groupBy("url_key").transformWithState(HeldStubs(), plain, "Update", "None")
-    return changed.withColumns({name: F.timestamp_micros(name) for name in times})
+    return keyed(folded, HeldStubs(), STUB, "Update")
 
 
 # --- Rows that wait for their page ------------------------------------------------
@@ -213,24 +213,31 @@ class WaitingRows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getListState("waiting", "queue_ord long")
-        self.landed = handle.getValueState("landed", "ts timestamp")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        landed = naive(self.landed.get()[0]) if self.landed.exists() else None
-        pages = events[events["kind"] == PAGE]
-        if landed is None and len(pages):
-            landed = naive(pages["ts"].min())
+        self.landed = handle.getValueState("landed", "ts long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        own, pages = set(), []
+        for row in rows:
+            if row["kind"] == ROW:
+                own.add(row["queue_ord"])
+            elif row["kind"] == PAGE:
+                pages.append(row["ts"])
+        held = self.landed.get()
+        if not held and not pages:
+            if own:
+                self.waiting.appendList([(n,) for n in sorted(own, key=last_if_missing)])
+            return iter(())
+        if held:
+            landed = held[0]
+        else:
+            landed = min((ts for ts in pages if ts is not None), default=None)
             self.landed.update((landed,))
-        own = sorted(set(events.loc[events["kind"] == ROW, "queue_ord"].astype("int64").tolist()))
-        if landed is None:
-            self.waiting.appendList([(n,) for n in own])
-            yield pd.DataFrame()
-            return
-        if self.waiting.exists():
-            own = sorted({*own, *(one[0] for one in self.waiting.get())})
-            self.waiting.clear()
-        yield pd.DataFrame([(key[0], n, landed) for n in own], columns=["url_key", "queue_ord", "done_at"])
+            # Rows wait only until the page lands, so there are none in later batches.
+            waited = {one[0] for one in self.waiting.get()}
+            if waited:
+                self.waiting.clear()
+            own |= waited
+        return iter([Row(url_key=key[0], queue_ord=n, done_at=landed) for n in sorted(own, key=last_if_missing)])
 
     def close(self) -> None:
         pass
@@ -241,5 +248,5 @@ def completed_rows(events: DataFrame) -> DataFrame:
 
     Only the fact that a page landed is state; its text is read when the row is built.
     """
-    return events.groupBy("url_key").transformWithStateInPandas(WaitingRows(), DONE, "Append", "None")
+    return keyed(events.select("url_key", "kind", "ts", "queue_ord"), WaitingRows(), DONE, "Append")
 

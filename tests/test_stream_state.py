@@ -3,6 +3,9 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
+from pyspark.sql.streaming import DataStreamWriter
+
 from feedlake import session
 from feedlake.streaming import jobs, state
 
@@ -158,6 +161,56 @@ def test_jobs_run_in_a_session_with_another_state_store(spark, tmp_path):
         spark.conf.set(session.STATE_STORE, former)
 
 
+class Store:
+    """A state variable that notes what it is asked."""
+
+    def __init__(self, value=None):
+        self.value, self.asked = value, []
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def __getattr__(self, name):
+        return lambda *_: self.asked.append(name)
+
+
+def test_a_key_asks_the_store_no_more_than_it_needs():
+    noon = 12 * 60 * 60 * 1_000_000
+    entry = Row(url_key="a", kind="entry", ts=noon, feed_ord=None, entry_ord=2, url="A")
+    undated = Row(url_key="a", kind="synced", ts=None, feed_ord=None, entry_ord=None, url=None)
+    for held, rows, found, asked in (
+        (None, [entry], 1, ["get", "update"]),
+        (("pending", None), [entry], 0, ["get"]),
+        (("synced", noon + 1), [entry, entry], 0, ["get"]),
+        (("synced", noon), [entry], 1, ["get", "update"]),
+        (None, [undated], 0, ["get"]),
+        (("pending", None), [undated], 0, ["get", "update"]),
+    ):
+        known = state.KnownUrls(10)
+        known.known, known.handle = Store(held), Store()
+        assert len(list(known.handleInputRows(("a",), iter(rows), None))) == found and known.known.asked == asked
+    waiting = state.WaitingRows()
+    waiting.landed, waiting.waiting = Store((noon,)), Store([])
+    done = list(waiting.handleInputRows(("a",), iter([Row(url_key="a", kind="row", ts=noon, queue_ord=n) for n in (3, 1, 3)]), None))
+    assert [(r.queue_ord, r.done_at) for r in done] == [(1, noon), (3, noon)]
+    assert waiting.landed.asked == ["get"] and waiting.waiting.asked == []
+
+
+def test_stores_reserve_no_disk(spark, tmp_path, monkeypatch):
+    start, seen = DataStreamWriter.start, []
+
+    def noted(writer, *args, **kwargs):
+        seen.append(spark.conf.get(session.RESERVES, None))
+        return start(writer, *args, **kwargs)
+
+    monkeypatch.setattr(DataStreamWriter, "start", noted)
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    land(spark, [("a", "row", at(0), 1), ("a", "page", at(0), None)], WAIT, landed, 0)
+    jobs.complete_rows(source(spark, WAIT, landed), out)
+    assert seen == ["false"] and spark.conf.get(session.RESERVES, None) is None
+
+
 FEED = "<rss><channel><title>f</title>{}</channel></rss>"
 ITEM = "<item><title>T{0}</title><link>http://site/{0}</link></item>"
 
