@@ -42,6 +42,7 @@ MAX_FREQUENT = 1 << 17  # of the counted shingles; more would only shorten lists
 REPEATS = 3  # in one slice, for a shingle beyond the reach of prefixes to be counted there
 FREQUENT = 16  # counted in all, for a shingle to be ordered by its count
 COUNT_BYTES = 1 << 23  # of text in a slice that is counted
+HASH_BYTES = 1 << 19  # of text that is hashed at a time, which takes some thirty times its memory
 BITMAP = [f"b{i}" for i in range(8)]  # of 64 bits each
 
 
@@ -66,8 +67,7 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in bytescan.slices(whole, size=COUNT_BYTES)):
-            # Hashed in smaller slices: hashing takes some thirty times the memory of the text.
-            hashed = [distinct_shingles(part.column("text"), size) for part in bytescan.slices(batch)]
+            hashed = [distinct_shingles(part.column("text"), size) for part in bytescan.slices(batch, size=HASH_BYTES)]
             sets, n = [own for part, _ in hashed for own in part], np.concatenate([sizes for _, sizes in hashed])
             reach = 2 * (n - -(-percent * n // 100) + 1)
             values, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -90,7 +90,7 @@ def set_rows(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, als
     schema = "doc long, n int, set_1 long, set_2 long, group long, prefix array<int>, " + ", ".join(f"{b} long" for b in [*BITMAP, *also])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in bytescan.slices(whole)):
+        for batch in (part for whole in batches for part in bytescan.slices(whole, size=HASH_BYTES)):
             sets, n = distinct_shingles(batch.column("text"), size)
             one, two, group, prefixes, bits = [], [], [], [], np.zeros((len(sets), 8), dtype=np.uint64)
             for row, own in enumerate(sets):
@@ -125,11 +125,11 @@ def may_link(percent: int) -> Column:
 
 
 def pair_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch of pairs with about SLICE_BYTES of text on both sides together."""
+    """Consecutive parts of a batch of pairs with about HASH_BYTES of text on both sides together."""
     offsets = sum(bytescan.utf8(batch.column(name))[1] for name in ("text_a", "text_b"))
     at = 0
     while at < batch.num_rows:
-        upto = int(np.searchsorted(offsets, offsets[at] + bytescan.SLICE_BYTES, side="right")) - 1
+        upto = int(np.searchsorted(offsets, offsets[at] + HASH_BYTES, side="right")) - 1
         upto = min(max(upto, at + 1), batch.num_rows)
         yield batch.slice(at, upto - at)
         at = upto

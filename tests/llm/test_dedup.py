@@ -6,6 +6,8 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from feedlake.llm import fingerprints, jaccard, line_dedup, suffix_dedup
@@ -233,3 +235,21 @@ def test_columns_of_any_name_stay_as_they_are(spark):
     counted = line_dedup.dedup_lines(docs)
     assert sorted(counted.columns) == sorted({*docs.columns, "_n_removed"})
     assert {(r.doc_id, r._n_removed) for r in counted.collect()} == {(1, 0), (2, 1), (2, 0)}
+
+
+def test_texts_are_hashed_in_small_slices(spark, monkeypatch):
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, function, _):
+            self.function = function
+            return self
+
+    hashed, hash_ = [], jaccard.distinct_shingles
+    monkeypatch.setattr(jaccard, "distinct_shingles", lambda texts, size: hashed.append(pa.compute.sum(pa.compute.binary_length(texts)).as_py()) or hash_(texts, size))
+    texts = [f"{n} " + "some words of a text " * 500 for n in range(400)]
+    batch = pa.record_batch([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    rows = jaccard.set_rows(Rows(), np.empty(0, dtype=np.uint64), 5, 80)
+    assert sum(part.num_rows for part in rows.function(iter([batch]))) == 400
+    assert sum(hashed) == sum(map(len, texts)) and max(hashed) <= 1 << 19
