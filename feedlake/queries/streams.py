@@ -55,17 +55,20 @@ def stream_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A URL per user: purchases report it as synced, all else as seen; it is new again after its retention."""
+    """A URL per user: purchases report it as synced, all else as seen; it is new again after its retention.
+
+    Events without a time land in the last poll; those without a user have no URL.
+    """
 
     def run(landed: DataFrame, number: int, path: str) -> None:
-        link = F.format_string("https://e.example/User-%d", "user_id")
+        link = F.concat(F.lit("https://e.example/User-"), F.col("user_id").cast("string"))
         events = landed.select(link.alias("link"), (F.col("event_type") == "purchase").alias("done"), F.lit(0).alias("feed_ord"),
                                F.col("event_id").alias("entry_ord"), F.col("ts").alias("seen_at"))
         synced = events.filter("done").select(F.upper("link").alias("url"), F.col("seen_at").alias("synced_at"))
         jobs.discover(events.filter("NOT done"), synced, path, RETENTION_DAYS)
 
     events = i.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = polled(spark, events, third_of_month("ts"), run)
+    path = polled(spark, events, F.coalesce(third_of_month("ts"), F.lit(POLLS - 1)), run)
     found = jobs.written(spark, f"{path}/found", state.FOUND)
     return found.select("url_key", "entry_ord", text.iso_time(F.col("discovered")).alias("discovered"), "status")
 

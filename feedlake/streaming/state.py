@@ -67,7 +67,7 @@ def entry_events(entries: DataFrame, seen_at: str = "seen_at") -> DataFrame:
 def synced_events(done: DataFrame, url: str = "url", synced_at: str = "synced_at") -> DataFrame:
     """Rows that became notes, as keyed events."""
     none = F.lit(None)
-    return done.select(
+    return with_url(done, url).select(
         keys.discovery_key(F.col(url)).alias("url_key"),
         F.lit(SYNCED).alias("kind"),
         F.col(synced_at).cast("timestamp").alias("ts"),
@@ -95,7 +95,8 @@ class KnownUrls(StatefulProcessor):
     Events of a key are taken in the order of their time, then of feeds. An entry is new if its URL is
     not known at its time. A pending URL stays known; a synced one until ``keep_days`` after.
     Whether that is over is told by the event's own time, so results do not depend on where
-    batches end; a timer at that time frees the state.
+    batches end; a timer at that time frees the state. An event without a time comes last of its
+    batch, when every retention is over.
     """
 
     def __init__(self, keep_days: int):
@@ -112,7 +113,7 @@ class KnownUrls(StatefulProcessor):
         found = []
         for event in events:
             at = event["ts"]
-            if status == SYNCED and until is not None and at is not None and at >= until:
+            if status == SYNCED and until is not None and (at is None or at >= until):
                 status, until = None, None
             if event["kind"] == ENTRY and status is None:
                 found.append(Row(url_key=key[0], url=event["url"], feed_ord=event["feed_ord"], entry_ord=event["entry_ord"], discovered=at, status=PENDING))

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import Row
+import pytest
+from pyspark.sql import Row, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from feedlake import session
+from feedlake.queries import streams
 from feedlake.streaming import jobs, state
 
 START = datetime(2026, 1, 1)
@@ -69,6 +71,26 @@ def test_urls_are_found_once_until_their_retention_is_over(spark, tmp_path):
             assert len(mine) == len(found) and mine == set(plain_discovery(events, keep_days))
 
 
+def test_retention_takes_events_without_time_or_user_as_its_sql_does(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    random.seed(33)
+    events = [
+        (n, None if random.random() < 0.1 else at(random.randrange(31), random.randrange(24)), random.choice([None, *range(12)]),
+         random.choice(["purchase", "view", "view", None]))
+        for n in range(400)
+    ]
+    landed = f"{tmp_path}/events.parquet"
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    dated = [(n, ts and ts.replace(year=2024), user, kind) for n, ts, user, kind in events]
+    spark.createDataFrame(dated, schema).withColumns({"value": F.lit(1.0), "props": F.lit("")}).write.parquet(landed)
+    found = streams.stream_retention(spark, str(tmp_path))
+    mine = sorted(tuple(map(str, r)) for r in found.select("url_key", "entry_ord", "discovered", "status").collect())
+    duckdb.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{landed}/*.parquet'")
+    theirs = duckdb.execute(f"SELECT url_key, entry_ord, discovered, status FROM ({streams.ORACLES['stream_retention']})").fetchall()
+    assert mine == sorted(tuple(map(str, r)) for r in theirs)
+    assert any(r[2] == "None" for r in mine)
+
+
 def test_timers_free_what_is_past_retention(spark, tmp_path):
     landed, done, out = (str(tmp_path / name) for name in ("landed", "done", "out"))
     for poll, (link, synced) in enumerate([("http://a", "http://a"), ("http://b", "http://none"), ("http://c", "http://none"), ("http://d", "http://none")]):
