@@ -13,9 +13,11 @@ of suffixes that share ``length`` bytes all but the earliest start are removed.
 twice in one part needs no sorting of that part alone: its second place has an anchor, and so a context, of its own.
 
 An anchor with more than ``MOST`` contexts, such as a line that a third of all documents have,
-would make one array too large. Its strings of ``length`` bytes become rows instead, and the
-earliest start of each is an aggregate. This is the end of the same division, arrays of
-strings that are equal throughout, and is exact.
+would make one array too large, so it is divided: it is lengthened by half of what a string may reach
+beyond it, once to the right and once to the left. A string that holds the anchor holds one of the
+two, and equal strings hold the same, so each context is narrowed to the strings of either one.
+Narrowed contexts that are equal are collapsed as above, and an anchor that still has too many is divided
+again. Anchors of ``length`` bytes have one context, so this ends, and is exact.
 
 A string starts earlier in a smaller doc_id, or in the same document before. Strings are
 judged on the input, not on what is left, and never cross documents.
@@ -31,6 +33,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,8 @@ SLICE = 1 << 19
 
 ANCHORS = "anchor long, context long, doc long, pos long"
 SPANS = "doc long, begin long, upto long"
+NARROWED = "anchor long, context long, doc long, first long, at long, size long, bytes binary"
+ARRAYS = ["anchor", "gram", "doc", "first", "at", "bytes"]
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -150,7 +155,7 @@ def reaches(parts: list[bytes]) -> list[int]:
     return out
 
 
-def trimmed(group: list[tuple], length: int) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+def trimmed(group: list[tuple], length: int, gram: int = GRAM) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
     """The different parts of contexts that may hold a shared string, and the spans of their later copies.
 
     A part reaches around the anchor as far as any other context agrees. Parts that are equal from
@@ -158,14 +163,14 @@ def trimmed(group: list[tuple], length: int) -> tuple[list[tuple[int, int, bytes
     earliest are repeats.
     """
     before = reaches([part[:at][::-1] for _, _, at, part in group])
-    after = reaches([part[at + GRAM :] for _, _, at, part in group])
+    after = reaches([part[at + gram :] for _, _, at, part in group])
     parts: dict[tuple[int, bytes], tuple[int, int]] = {}
     copies = []
     for (doc, first, at, part), left, right in zip(group, before, after):
-        size = left + GRAM + right
+        size = left + gram + right
         if size < length:
             continue
-        own, place = (left, part[at - left : at + GRAM + right]), (doc, first + at - left)
+        own, place = (left, part[at - left : at + gram + right]), (doc, first + at - left)
         known = parts.setdefault(own, place)
         if known != place:
             early, late = (known, place) if known < place else (place, known)
@@ -215,13 +220,13 @@ def merged(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int, i
 
 
 def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated strings from one suffix array per anchor."""
+    """Spans of repeated strings from one suffix array per anchor, which is ``gram`` bytes long."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, anchor, spans = [], None, []
+        group, anchor, spans = [], (0, GRAM), []
 
         def spans_of(group: list[tuple]) -> list[tuple[int, int, int]]:
-            parts, copies = trimmed(group, length) if len(group) > 1 else ([], [])
+            parts, copies = trimmed(group, length, anchor[1]) if len(group) > 1 else ([], [])
             return copies + merged(repeats_in(parts, length), length) if len(parts) > 1 else copies
 
         def done() -> pa.RecordBatch:
@@ -229,10 +234,10 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "begin", "upto"])
 
         for batch in batches:
-            for own, doc, first, at, part in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "first", "at", "bytes"))):
-                if own != anchor:
+            for own, gram, doc, first, at, part in zip(*(batch.column(c).to_pylist() for c in ARRAYS)):
+                if (own, gram) != anchor:
                     spans += spans_of(group)
-                    group, anchor = [], own
+                    group, anchor = [], (own, gram)
                 group.append((doc, first, at, part))
             yield done()
             spans = []
@@ -240,33 +245,62 @@ def sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         yield done()
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = contexts.select("anchor", "doc", "first", "at", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    dealt = contexts.select(*ARRAYS).repartition(parts, "anchor").sortWithinPartitions("anchor", "gram")
     return dealt.mapInArrow(read, SPANS)
 
 
-def single_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """A row (two hashes, doc, start) for each string of ``length`` bytes of each context."""
+def narrowed(contexts: DataFrame, length: int, gram: int, more: int) -> DataFrame:
+    """Columns of NARROWED: each context by its anchor lengthened by ``more`` bytes to the right, and to the left.
+
+    Either one keeps the strings that hold its longer anchor; it is left out if there are none.
+    """
+    wide = gram + more
+    side = length - wide
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                parts = batch.column("bytes").to_pylist()
-                sizes = np.array([len(p) for p in parts])
-                data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-                offsets = np.concatenate([[0], np.cumsum(sizes)])
-                n = np.maximum(sizes - length + 1, 0)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = inner + np.repeat(offsets[:-1], n)
-                sums, inverse = bytescan.running_hash(data), bytescan.inverse_powers(len(data) + 1)
-                one = bytescan.slice_hash(sums, start, start + length, inverse)
-                two = bytescan.slice_hash(sums, start, start + length // 2, inverse)
-                doc = np.repeat(batch.column("doc").to_numpy(), n)
-                first = np.repeat(batch.column("first").to_numpy(), n) + inner
-                columns = [bytescan.longs(one), bytescan.longs(two), pa.array(doc), pa.array(first)]
-                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "doc", "start"])
-
-    return contexts.select("doc", "first", "bytes").mapInArrow(read, "one long, two long, doc long, start long")
+        for batch in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
+            parts = batch.column("bytes").to_pylist()
+            offsets = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+            text = b"".join(parts)
+            data = np.frombuffer(text, dtype=np.uint8)
+            sums, inverse = bytescan.running_hash(data), bytescan.inverse_powers(len(data) + 1)
+            doc, first, at = (batch.column(name).to_numpy() for name in ("doc", "first", "at"))
+            for begin in (offsets[:-1] + at, offsets[:-1] + at - more):
+                left, right = np.maximum(offsets[:-1], begin - side), np.minimum(offsets[1:], begin + wide + side)
+                fits = (begin >= offsets[:-1]) & (begin + wide <= offsets[1:]) & (right - left >= length)
+                own, begin, left, right = np.flatnonzero(fits), begin[fits], left[fits], right[fits]
+                before = bytescan.slice_hash(sums, left, begin, inverse)
+                after = bytescan.slice_hash(sums, begin + wide, right, inverse)
+                columns = [
+                    bytescan.longs(bytescan.slice_hash(sums, begin, begin + wide, inverse)),
+                    bytescan.longs(bytescan.mix(before * bytescan.BASE + after)),
+                    *map(pa.array, (doc[own], first[own] + left - offsets[own], begin - left, right - left)),
+                    pa.array([text[a:b] for a, b in zip(left.tolist(), right.tolist())], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NARROWED.split(", ")])
+
+    return contexts.select("doc", "first", "at", "bytes").mapInArrow(read, NARROWED)
+
+
+def divided(contexts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of anchors with more than MOST of them, by longer anchors: those for arrays, and spans of copies."""
+    arrays, spans, gram = [], [], GRAM
+    crowded = contexts.filter(F.col("n") > MOST)
+    while gram < length and not crowded.isEmpty():
+        # A string that holds the anchor reaches length - gram bytes beyond it, so at least half of them on one side.
+        more = (length - gram + 1) // 2
+        gram += more
+        parts = staged(narrowed(crowded, length, gram - more, more), "narrowed")
+        first = parts.groupBy("anchor", "context").agg(F.min(F.struct("doc", "first", "at", "bytes")).alias("one"))
+        first = staged(first.select("anchor", "context", "one.*"), "narrowed-first")
+        origin = first.select("anchor", "context", F.col("doc").alias("doc_0"), F.col("first").alias("first_0"))
+        copies = parts.join(origin, ["anchor", "context"]).filter((F.col("doc") != F.col("doc_0")) | (F.col("first") != F.col("first_0")))
+        spans.append(copies.select("doc", F.col("first").alias("begin"), (F.col("first") + F.col("size")).alias("upto")))
+        several = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+        left = staged(first.join(several, "anchor").select("anchor", F.lit(gram).cast("long").alias("gram"), "n", "doc", "first", "at", "bytes"), "narrowed-several")
+        arrays.append(left.filter(F.col("n") <= MOST).select(*ARRAYS))
+        crowded = left.filter(F.col("n") > MOST)
+    return arrays, spans
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -284,14 +318,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = first.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     needed = staged(first.join(several, "anchor").select("anchor", "n", "doc", "pos"), "several")
     contexts = staged(context_bytes(docs, needed, length), "context-bytes")
-    by_array = sorted_spans(contexts.filter(F.col("n") <= MOST), length)
-
-    strings = staged(single_strings(contexts.filter(F.col("n") > MOST), length), "strings")
-    earliest = strings.groupBy("one", "two").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first"))
-    earliest = staged(earliest.filter("n > 1").select("one", "two", F.col("first.doc").alias("doc_0"), F.col("first.start").alias("start_0")), "strings-first")
-    late = strings.join(earliest, ["one", "two"]).filter((F.col("doc") != F.col("doc_0")) | (F.col("start") != F.col("start_0")))
-    by_string = late.select("doc", F.col("start").alias("begin"), (F.col("start") + length).alias("upto"))
-    return whole.unionByName(by_array).unionByName(by_string)
+    arrays, spans = divided(contexts, length)
+    fit = contexts.filter(F.col("n") <= MOST).withColumn("gram", F.lit(GRAM).cast("long")).select(*ARRAYS)
+    by_array = sorted_spans(reduce(DataFrame.unionByName, arrays, fit), length)
+    return reduce(DataFrame.unionByName, spans, whole.unionByName(by_array))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

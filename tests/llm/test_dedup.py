@@ -101,6 +101,39 @@ def test_suffix_dedup(spark, monkeypatch, most):
     assert mine == suffix_dedup.plain_dedup({i: (t or "").encode() for i, t in rows})
 
 
+def test_crowded_anchors_are_narrowed_to_longer_ones(spark):
+    random.seed(8)
+    hot, schema = b"h" * 20 + bytes(range(30)), "doc long, first long, at long, bytes binary"
+    sides = [(bytes(random.choices(b"ab", k=random.choice([0, 9, 50]))), bytes(random.choices(b"ab", k=50))) for _ in range(40)]
+    rows = [(n, 7, len(a), a + hot + b) for n, (a, b) in enumerate(sides)]
+    strings = {(n, 7 + i, part[i : i + 100]) for n, _, _, part in rows for i in range(len(part) - 99)}
+    gram = suffix_dedup.GRAM
+    while gram < 100:
+        more = (100 - gram + 1) // 2
+        found = suffix_dedup.narrowed(spark.createDataFrame(rows, schema), 100, gram, more).collect()
+        gram += more
+        # No string is lost, and a context becomes two at most, not a row for each string.
+        assert {(r.doc, r.first + i, bytes(r.bytes[i : i + 100])) for r in found for i in range(r.size - 99)} == strings
+        assert len(found) <= 2 * len(rows)
+        grams = {(r.anchor, bytes(r.bytes[r.at : r.at + gram])) for r in found}
+        assert len(grams) == len({g for g, _ in grams}) == len({g for _, g in grams})
+        rows = [(r.doc, r.first, r.at, bytes(r.bytes)) for r in found]
+    assert len({(r.anchor, r.context) for r in found}) == len({r.anchor for r in found}) == len({s for *_, s in strings})
+
+
+@pytest.mark.parametrize("most", [3, 12])
+def test_a_passage_in_many_contexts_is_divided_exactly(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    random.seed(9)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(130))
+    cuts = [passage[random.choice([0, 10, 30]) : random.choice([95, 110, 130])] for _ in range(40)]
+    rows = [(n, "".join(random.choices("xyz", k=random.choice([0, 20, 70]))) + cut + random.choice("pq") * random.choice([0, 5, 60])) for n, cut in enumerate(cuts)]
+    found = suffix_dedup.dedup(table(spark, rows)).collect()
+    mine = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in found}
+    assert mine == suffix_dedup.plain_dedup({i: t.encode() for i, t in rows})
+    assert sum(r.n_removed for r in found) > 1000
+
+
 def test_suffix_dedup_of_odd_rows(spark):
     text = "".join(map(str, range(100)))
     rows = [(None, text), (1, text), (1, text), (2, "short"), (3, None), (4, text), (4, text + "!")]
