@@ -100,9 +100,9 @@ def hold_stubs(events: DataFrame, path: str, stored: DataFrame | None = None) ->
 def held_stubs(spark: SparkSession, path: str) -> DataFrame:
     """Stubs that are held back now, straight from the state store."""
     reader = spark.read.format("statestore").option("stateVarName", "stub")
-    stored = reader.load(f"{path}/checkpoint")
-    first, last = (F.timestamp_micros(f"value.{name}").alias(name) for name in ("first_seen", "last_seen"))
-    return stored.select("key.url_key", first, last, "value.body_chars")
+    stubs = F.arrays_zip(*(f"user_map_value.{name}" for name in ("url_key", "first_seen", "last_seen", "body_chars")))
+    stored = reader.load(f"{path}/checkpoint").select(F.inline(stubs))
+    return stored.withColumns({name: F.timestamp_micros(name) for name in ("first_seen", "last_seen")})
 
 
 def complete_rows(events: DataFrame, path: str) -> dict:

@@ -2,8 +2,8 @@
 
 Each stream is a keyed processor with its own state in the state store: known URLs with
 their retention, held-back stubs, and rows that wait for their page. A batch reads its own
-rows and the state of their keys, nothing of earlier batches. State that has served its purpose is
-cleared, so the store holds open cases only.
+rows and the state of their keys, nothing of earlier batches; stubs are kept and read by the bucket, of
+some URLs each. State that has served its purpose is cleared, so the store holds open cases only.
 
 Rows of one key are folded per Arrow batch before the shuffle: the task that owns a hot
 key gets one row per batch and moment for it, not all of them.
@@ -37,14 +37,18 @@ DONE = "url_key string, queue_ord long, done_at timestamp"
 
 DAY = 24 * 60 * 60 * 1_000_000
 
+# --- Fixed values: a job finds the state of its held-back stubs only by the numbers it began with -----
+SHELVES, BUCKETS = 1 << 12, 1 << 4  # calls of the processor at most, and buckets of stubs for each of them
+# -------------------------------------------------------------------------------------------------------
 
-def keyed(events: DataFrame, processor: StatefulProcessor, out: str, mode: str, time_mode: str = "None") -> DataFrame:
-    """Events through a processor by URL; it sees and returns times as microseconds, outside they are time stamps."""
+
+def keyed(events: DataFrame, processor: StatefulProcessor, out: str, mode: str, time_mode: str = "None", by: str = "url_key") -> DataFrame:
+    """Events through a processor by key; it sees and returns times as microseconds, outside they are time stamps."""
     times = [field.name for field in events.schema if field.dataType == TimestampType()]
     fields = StructType.fromDDL(out)
     plain = ", ".join(f"{f.name} {'long' if f.dataType == TimestampType() else f.dataType.simpleString()}" for f in fields)
     rows = events.withColumns({name: F.unix_micros(name) for name in times})
-    found = rows.groupBy("url_key").transformWithState(processor, plain, mode, time_mode)
+    found = rows.groupBy(by).transformWithState(processor, plain, mode, time_mode)
     return found.withColumns({f.name: F.timestamp_micros(f.name) for f in fields if f.dataType == TimestampType()})
 
 
@@ -168,29 +172,63 @@ def folded_sightings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield captured.to_frame().join(out).reset_index()[[c.split()[0] for c in SIGHTING.split(", ")]]
 
 
+def later(held: tuple | None, seen: tuple | None) -> tuple | None:
+    """Two states of a stub as one: the first sighting of both, and all else of the latest; ``held`` if they are equally late."""
+    if held is None or seen is None:
+        return seen if held is None else held
+    latest = max(held, seen, key=lambda s: (s[1], s[3]))
+    return (min(held[0], seen[0]), *latest[1:])
+
+
 class HeldStubs(StatefulProcessor):
-    """A held-back stub from its first sighting until it is captured, which clears its state."""
+    """Held-back stubs from their first sighting until they are captured, which takes them out of the state.
+
+    The key is a shelf of buckets of URLs, and the state of a bucket all stubs that are held back in it, as
+    one array per column, so that a call and its questions to the store serve many URLs. Only buckets with a
+    row in the batch are written, and only these are read, unless they are a good part of the shelf:
+    then one question reads it whole.
+    """
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stub = handle.getValueState("stub", "first_seen long, last_seen long, body_chars long, event_id long")
+        arrays = "url_key array<string>, first_seen array<long>, last_seen array<long>, body_chars array<long>, event_id array<long>"
+        self.stub = handle.getMapState("stub", "bucket int", arrays)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.stub.get()
-        states, captured = [tuple(held)] if held else [], False
-        for row in rows:
-            captured |= row["captured"]
-            if row["first_seen"] is not None:
-                states.append((row["first_seen"], row["last_seen"], row["body_chars"], row["event_id"]))
-        if captured and held:
-            self.stub.clear()
-        latest = max(states, key=lambda s: (s[1], s[3]), default=None)
-        if latest is None:
-            yield Row(url_key=key[0], first_seen=None, last_seen=None, body_chars=None, captured=True)
-            return
-        now = (min(s[0] for s in states), *latest[1:])
-        if not captured:
-            self.stub.update(now)
-        yield Row(url_key=key[0], first_seen=now[0], last_seen=now[1], body_chars=now[2], captured=captured)
+        seen: dict[int, dict] = {}
+        gone = set()
+        for _, bucket, url, captured, first, last, chars, event in rows:
+            urls = seen.setdefault(bucket, {})
+            urls[url] = later(urls.get(url), None if first is None else (first, last, chars, event))
+            if captured:
+                gone.add(url)
+        if 4 * len(seen) > self.buckets:
+            shelf = {bucket: arrays for (bucket,), arrays in self.stub.iterator()}
+        else:
+            shelf = {bucket: self.stub.getValue((bucket,)) for bucket in seen}
+        changes = []
+        for bucket, urls in seen.items():
+            before = shelf.get(bucket)
+            stubs = {url: tuple(one) for url, *one in zip(*before)} if before else {}
+            changed = False
+            for url, sighting in urls.items():
+                held = stubs.get(url)
+                now = later(held, sighting)
+                captured = now is None or url in gone
+                if not captured:
+                    stubs[url], changed = now, True
+                elif held:
+                    del stubs[url]
+                    changed = True
+                first, last, chars, _ = now or (None,) * 4
+                changes.append(Row(url_key=url, first_seen=first, last_seen=last, body_chars=chars, captured=captured))
+            if changed and stubs:
+                self.stub.updateValue((bucket,), ([*stubs], *map(list, zip(*stubs.values()))))
+            elif changed:
+                self.stub.removeKey((bucket,))
+        return iter(changes)
 
     def close(self) -> None:
         pass
@@ -203,7 +241,12 @@ def stub_changes(events: DataFrame) -> DataFrame:
     leaves them out: a captured key has no state that would tell.
     """
     folded = events.select("url_key", "kind", "ts", "event_id", "body_chars").mapInPandas(folded_sightings, SIGHTING)
-    return keyed(folded, HeldStubs(), STUB, "Update")
+    place = F.pmod(F.xxhash64("url_key"), F.lit(SHELVES * BUCKETS))
+    rows = folded.select(
+        (place % SHELVES).cast("int").alias("shelf"), F.floor(place / SHELVES).cast("int").alias("bucket"),
+        "url_key", "captured", "first_seen", "last_seen", "body_chars", "event_id",
+    )
+    return keyed(rows, HeldStubs(BUCKETS), STUB, "Update", by="shelf")
 
 
 # --- Rows that wait for their page ------------------------------------------------

@@ -136,6 +136,32 @@ def test_stubs_leave_the_state_when_they_are_captured(spark, tmp_path):
     assert state_rows(spark, f"{out}/checkpoint", "stub") == len(expected)
 
 
+def test_stubs_that_share_a_bucket_are_held_and_captured_on_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "SHELVES", 1)
+    monkeypatch.setattr(state, "BUCKETS", 2)
+    random.seed(34)
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    urls, events = [f"u{n}" for n in range(40)], []
+    for batch in range(4):
+        rows = [(random.choice(urls), random.choice(["seen"] * 7 + ["captured"]), at(batch, n % 6), 100 * batch + n, n) for n in range(60)]
+        if batch == 3:
+            rows += [(url, "captured", at(batch), 1000 + n, 0) for n, url in enumerate(urls) if n % 2]
+        events += rows
+        land(spark, rows, SIGHTING, landed, batch)
+        jobs.hold_stubs(source(spark, SIGHTING, landed), out)
+        gone = {url for url, kind, *_ in events if kind == "captured"}
+        expected = {}
+        for url, kind, ts, event, chars in sorted(events, key=lambda e: (e[2], e[3])):
+            if kind == "seen" and url not in gone:
+                expected[url] = (expected.get(url, (ts,))[0], ts, chars)
+        stubs = [(r.url_key, (r.first_seen, r.last_seen, r.body_chars)) for r in jobs.held_stubs(spark, out).collect()]
+        assert dict(stubs) == expected and len(stubs) == len(expected)
+    assert len(expected) > 2 and state_rows(spark, f"{out}/checkpoint", "stub") == 2
+    land(spark, [(url, "captured", at(4), 2000, 0) for url in urls], SIGHTING, landed, 4)
+    jobs.hold_stubs(source(spark, SIGHTING, landed), out)
+    assert state_rows(spark, f"{out}/checkpoint", "stub") == jobs.held_stubs(spark, out).count() == 0
+
+
 def test_a_row_completes_once_when_its_page_lands(spark, tmp_path):
     landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
     batches = [
@@ -219,6 +245,53 @@ def test_a_key_asks_the_store_no_more_than_it_needs():
     assert waiting.landed.asked == ["get"] and waiting.waiting.asked == []
 
 
+class Shelf(dict):
+    """Map state that notes what it is asked."""
+
+    def __init__(self, values):
+        super().__init__(values)
+        self.asked = []
+
+    def iterator(self):
+        self.asked.append("iterator")
+        return iter([((bucket,), value) for bucket, value in self.items()])
+
+    def getValue(self, key):
+        self.asked.append("getValue")
+        return self.get(*key)
+
+    def updateValue(self, key, value):
+        self.asked.append("updateValue")
+        self[key[0]] = value
+
+    def removeKey(self, key):
+        self.asked.append("removeKey")
+        del self[key[0]]
+
+
+def test_the_store_is_asked_by_bucket_not_by_stub():
+    row = Row("shelf", "bucket", "url_key", "captured", "first_seen", "last_seen", "body_chars", "event_id")
+    hour = 60 * 60 * 1_000_000
+    held = {0: (["a", "b"], [hour, hour], [hour, 2 * hour], [10, None], [1, 2]), 1: (["z"], [0], [0], [9], [9])}
+    seen = [row(0, 0, "c", False, 3 * hour, 4 * hour, 30, 5), row(0, 0, "a", False, 0, hour, 11, 1), row(0, 0, "c", False, hour, hour, 31, 3)]
+    gone = [row(0, 0, url, True, None, None, None, None) for url in "abx"]
+    lost = ("x", None, None, None, True)
+    for rows, changed, asked, after in (
+        # What is held stays where a sighting is no later; of c the earlier row is its first sighting, the later one its length.
+        (seen, [("c", hour, 4 * hour, 30, False), ("a", 0, hour, 10, False)], "updateValue",
+         {0: (["a", "b", "c"], [0, hour, hour], [hour, 2 * hour, 4 * hour], [10, None, 30], [1, 2, 5]), 1: held[1]}),
+        (gone, [("a", hour, hour, 10, True), ("b", hour, 2 * hour, None, True), lost], "removeKey", {1: held[1]}),
+        (gone[2:], [lost], None, held),
+        ([*seen, gone[0], gone[1]], [("c", hour, 4 * hour, 30, False), ("a", 0, hour, 10, True), ("b", hour, 2 * hour, None, True)], "updateValue",
+         {0: (["c"], [hour], [4 * hour], [30], [5]), 1: held[1]}),
+    ):
+        for buckets, read in ((3, "iterator"), (4, "getValue")):
+            stubs = state.HeldStubs(buckets)
+            stubs.stub = Shelf(held)
+            assert [tuple(r) for r in stubs.handleInputRows((0,), iter(rows), None)] == changed
+            assert stubs.stub == after and stubs.stub.asked == [read, *([asked] if asked else [])]
+
+
 def test_stores_reserve_no_disk(spark, tmp_path, monkeypatch):
     start, seen = DataStreamWriter.start, []
 
